@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -225,11 +226,17 @@ class Plan:
         return self.sequence[i] + k // self.per[i], self.offset[i] + (k % self.per[i]) * self.length[i]
 
 
+@lru_cache(maxsize=2)
+def writer_of(path: str) -> Transducer:
+    """The counting machine, with the ids themselves for their number; one a Python process."""
+    return Transducer(load(path), annotate=bytes, states=400_000)
+
+
 def tokenised_pieces(documents: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, with the task and the rank among the task's pieces of that length."""
 
     def cut(batches):
-        machine = Transducer(load(path), annotate=lambda ids: np.array(ids, "<u4").tobytes())
+        machine = writer_of(path)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
