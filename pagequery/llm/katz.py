@@ -26,6 +26,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, stored, table
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
 U64 = np.uint64
 
@@ -56,21 +59,19 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Block:
     """Tokens of some documents in local ids, their distinct words and pairs, each with its hash."""
 
-    def __init__(self, texts: list[bytes]):
-        ids: dict[bytes, int] = {}
-        lists = [t.split() for t in texts]
-        for words in lists:
-            for w in words:
-                if w not in ids:
-                    ids[w] = len(ids) + 2
-        self.hashes = np.array([word_hash(b" end"), word_hash(b" begin"), *map(word_hash, ids)], U64)
-        self.sizes = np.array([len(x) + 1 for x in lists], np.int64)
-        get = ids.__getitem__
-        tokens: list[int] = []
-        for words in lists:
-            tokens += map(get, words)
+    def __init__(self, texts: Iterable[bytes]):
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__  # the next free number
+        ids[b" end"], ids[b" begin"]
+        tokens, sizes = array("i"), array("q")
+        for t in texts:  # no text's words outlive its turn
+            before = len(tokens)
+            tokens.extend(map(ids.__getitem__, t.split()))
             tokens.append(END)
-        self.tokens = np.array(tokens, np.int64)
+            sizes.append(len(tokens) - before)
+        self.hashes = np.array([*map(word_hash, ids)], U64)
+        del ids
+        self.sizes, self.tokens = np.array(sizes, np.int64), np.array(tokens, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
@@ -240,7 +241,7 @@ def statistics(answers: DataFrame) -> Statistics:
     return Statistics(words, pairs, int(total[0] or 0), types, int(total[1] or 0))
 
 
-def scored(block: int, texts: list[bytes], held: np.ndarray, word_counts: np.ndarray, pair_answers: np.ndarray, s: Statistics) -> tuple:
+def scored(texts: Iterable[bytes], n_texts: int, word_counts: np.ndarray, pair_answers: np.ndarray, s: Statistics) -> tuple:
     """The documents' sums, the histories they back off from as (document, hash, times), and the owned pairs' sums as (hash, x, y)."""
     b = Block(texts)
     counts = np.empty(len(b.hashes), np.int64)
@@ -260,7 +261,7 @@ def scored(block: int, texts: list[bytes], held: np.ndarray, word_counts: np.nda
     sums = lambda x: np.add.reduceat(x, b.starts)
     documents = (b.sizes, sums((counts[b.tokens] > 0).astype(np.int64)), sums(base), sums(per_token))
     backs = ((c == 0) & (of > 0))[b.pair]
-    doc = np.repeat(np.arange(len(texts)), b.sizes)[backs]
+    doc = np.repeat(np.arange(n_texts), b.sizes)[backs]
     pairs, times = np.unique(doc << 32 | b.before[backs], return_counts=True)
     mine = owner & (c > 0)
     x = np.bincount(b.first[mine], ((1 - d) * c)[mine], len(b.hashes))
@@ -291,9 +292,9 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         got = {-1: [], 1: []}
         for bucket, n, a in zip(*(right.column(k).to_pylist() for k in ("bucket", "n", "answer")), strict=True):
             got[1 if bucket > 0 else -1].append(loosened(a, n))
-        texts = [zlib.decompress(x) for x in left.column("text").to_pylist()]
-        docs, backs, owned = scored(block, texts, None, np.concatenate(got[-1]), np.concatenate(got[1]), s)
-        n, nb, no = len(texts), len(backs[0]), len(owned[0])
+        texts = (zlib.decompress(x.as_py()) for x in left.column("text"))
+        docs, backs, owned = scored(texts, len(left), np.concatenate(got[-1]), np.concatenate(got[1]), s)
+        n, nb, no = len(left), len(backs[0]), len(owned[0])
         long, double = pa.int64(), pa.float64()
         none = lambda k, t: pa.nulls(k, t)
         columns = [
