@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pagequery.errors import SelectionError
@@ -12,7 +12,9 @@ from pagequery.plans.ast import Node
 from pagequery.plans.compile import GROUP_COLUMNS, Plan, page_set
 from pagequery.plans.parser import is_index_filter, parse_criteria, parse_indices, parse_pattern, validate_filter
 
-GROUP = Window.partitionBy("doc_id", "group_ix")
+
+def group() -> WindowSpec:
+    return Window.partitionBy("doc_id", "group_ix")
 
 
 def nested(selection: DataFrame) -> DataFrame:
@@ -64,8 +66,8 @@ def split_at(selection: DataFrame, pages: DataFrame, start: str | None = None, e
     opens = F.when((F.row_number().over(in_group) == 1) | F.col("__opens") | F.coalesce(F.lag("__closes").over(in_group), F.lit(False)), 1).otherwise(0)
     df = df.withColumn("__new", opens).withColumn("__part", F.sum("__new").over(in_group.rowsBetween(Window.unboundedPreceding, 0)))
     df = renumbered(df, "group_ix", "__part")
-    low, high, n = F.min("page_no").over(GROUP), F.max("page_no").over(GROUP), F.count("page_no").over(GROUP)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("page_no").over(GROUP)), lambda x: x.cast("string")), ",")
+    low, high, n = F.min("page_no").over(group()), F.max("page_no").over(group()), F.count("page_no").over(group())
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("page_no").over(group())), lambda x: x.cast("string")), ",")
     spec = F.when(n == 1, F.concat(F.lit("page"), low.cast("string"))).when(high - low + 1 == n, F.concat(F.lit("pages"), low.cast("string"), F.lit("-"), high.cast("string"))).otherwise(F.concat(F.lit("pages"), listed))
     out = df.withColumns({"__spec": spec, "__n": n})
     return out.select("doc_id", "group_ix", F.col("page_no").alias("pos"), "page_no", F.col("__spec").alias("spec"), (F.col("__n") > 1).alias("is_range"), F.lit(False).alias("preserve_order"))
@@ -88,7 +90,7 @@ def kept_flag(selection: DataFrame, pages: DataFrame, criteria: str) -> DataFram
         warnings.warn(f"{e}: no group is kept", stacklevel=2)
         return selection.withColumn("kept", F.lit(False))
     found = page_set(pages, node).withColumn("__in", F.lit(True))
-    return selection.join(found, ["doc_id", "page_no"], "left").withColumn("kept", F.coalesce(F.max("__in").over(GROUP), F.lit(False))).drop("__in")
+    return selection.join(found, ["doc_id", "page_no"], "left").withColumn("kept", F.coalesce(F.max("__in").over(group()), F.lit(False))).drop("__in")
 
 
 def keep_groups(selection: DataFrame, pages: DataFrame, criteria: str | None) -> DataFrame:

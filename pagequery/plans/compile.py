@@ -9,7 +9,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pagequery.errors import SelectionError
@@ -18,10 +18,22 @@ from pagequery.functions.text import java_regex, lines, trim_ws
 
 from .ast import All, And, Argument, First, Last, Match, Node, Not, Or, Section, Selection, Shift, Span, Step
 
-DOCUMENT = Window.partitionBy("doc_id")
-ORDERED = DOCUMENT.orderBy("page_no")
-SO_FAR = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-FROM_HERE = ORDERED.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+
+def document() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
+def ordered() -> WindowSpec:
+    return document().orderBy("page_no")
+
+
+def so_far() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def from_here() -> WindowSpec:
+    return ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def predicate(node: Match) -> Column:
@@ -83,14 +95,14 @@ class Plan:
     @property
     def n(self) -> Column:
         """The document's number of pages."""
-        return self.add("n", F.max("page_no").over(DOCUMENT))
+        return self.add("n", F.max("page_no").over(document()))
 
     def section_end(self, node: Section) -> Column:
         """On a start page that has one, the nearest end page at or after it; else null."""
         key = ("end", node)
         if key not in self.columns:
             start, end = self.column(node.start), self.column(node.end)
-            nearest = self.add(("nearest", node.end), F.min(F.when(end, F.col("page_no"))).over(FROM_HERE))
+            nearest = self.add(("nearest", node.end), F.min(F.when(end, F.col("page_no"))).over(from_here()))
             self.add(key, F.when(start, nearest))
         return self.columns[key]
 
@@ -120,18 +132,18 @@ class Plan:
             return self.column(node.left) | self.column(node.right)
         if isinstance(node, Shift):
             of = self.column(node.node)
-            return self.add(node, F.coalesce(F.lag(of, node.by).over(ORDERED) if node.by > 0 else F.lead(of, -node.by).over(ORDERED), F.lit(False)))
+            return self.add(node, F.coalesce(F.lag(of, node.by).over(ordered()) if node.by > 0 else F.lead(of, -node.by).over(ordered()), F.lit(False)))
         if isinstance(node, Section):
             # the end of a later start is never before that of an earlier one, so the last one seen decides
             end = self.section_end(node)
-            return self.add(node, F.coalesce(F.last(end, ignorenulls=True).over(SO_FAR) >= page, F.lit(False)))
+            return self.add(node, F.coalesce(F.last(end, ignorenulls=True).over(so_far()) >= page, F.lit(False)))
         raise SelectionError(f"no plan for {node}")
 
     def holds(self, argument: Argument) -> Column | None:
         """Whether the argument is valid in the document; None: in any."""
         if isinstance(argument.node, Section):
             end = self.section_end(argument.node)
-            return self.add(("pairs", argument.node), F.count(end).over(DOCUMENT)) > 0
+            return self.add(("pairs", argument.node), F.count(end).over(document())) > 0
         if argument.form in ("numeric", "page") and (needed := bounds(argument.node)):
             return F.lit(min(needed) >= 1) & (self.n >= max(needed))
         return None
@@ -164,14 +176,14 @@ def select(pages: DataFrame, selection: Selection, on_error: str = "skip") -> Da
         ignored = holds if on_error == "ignore" and holds is not None and not isinstance(a.node, Section) else F.lit(True)
         if isinstance(a.node, Section):
             end = plan.section_end(a.node)
-            number = plan.add(("number", k, a.node), F.count(end).over(SO_FAR))
+            number = plan.add(("number", k, a.node), F.count(end).over(so_far()))
             group, spec = (base + number - 1).cast("int"), F.concat(F.lit(f"{a.spec} (section "), number.cast("string"), F.lit(")"))
             made = _section_rows(page, end, group, spec)
             rows.append(F.when(end.isNotNull(), made).otherwise(F.array().cast(row_type)).cast(row_type))
             base = base + plan.columns["pairs", a.node]
         else:
             member = plan.column(a.node) & ignored
-            is_range = F.lit(a.is_range) if a.is_range is not None else plan.add(("size", a.node), F.sum(member.cast("int")).over(DOCUMENT)) > 1
+            is_range = F.lit(a.is_range) if a.is_range is not None else plan.add(("size", a.node), F.sum(member.cast("int")).over(document())) > 1
             pos = -page if isinstance(a.node, Span) and a.node.reverse else page
             one = F.struct(base.cast("int").alias("group_ix"), pos.cast("int").alias("pos"), page.cast("int").alias("page_no"), F.lit(a.spec).alias("spec"), is_range.alias("is_range"))
             rows.append(F.when(member, F.array(one)).otherwise(F.array().cast(row_type)).cast(row_type))
