@@ -62,7 +62,7 @@ def split_at(selection: DataFrame, pages: DataFrame, start: str | None = None, e
     flags = [plan.column(n) if n else F.lit(False) for n in nodes]
     marks = plan.df.select("doc_id", "page_no", flags[0].alias("__opens"), flags[1].alias("__closes"))
     in_group = Window.partitionBy("doc_id", "group_ix").orderBy("page_no", "pos")
-    df = selection.join(marks, ["doc_id", "page_no"])
+    df = selection.join(marks, ["doc_id", "page_no"]).repartition("doc_id")  # one exchange serves the windows of groups and of documents
     opens = F.when((F.row_number().over(in_group) == 1) | F.col("__opens") | F.coalesce(F.lag("__closes").over(in_group), F.lit(False)), 1).otherwise(0)
     df = df.withColumn("__new", opens).withColumn("__part", F.sum("__new").over(in_group.rowsBetween(Window.unboundedPreceding, 0)))
     df = renumbered(df, "group_ix", "__part")
