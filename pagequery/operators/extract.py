@@ -162,6 +162,28 @@ def extract(pages: DataFrame, patterns: list[Pattern], source_page: int = 1) ->
     return joined.select("doc_id", "pattern", "variable", (F.size(selected) > 0).alias("success"), "n_matches", selected.alias("selected"), warned.alias("warnings"))
 
 
+def debug(pages: DataFrame, pattern: Pattern) -> DataFrame:
+    """doc_id, page_no, line, word, match_text, line_text, target (line and word after the moves, null if outside), extracted: how each match came about."""
+
+    def run(batches):
+        names = ["doc_id", "page_no", "line", "word", "match_text", "line_text", "target_line", "target_word", "extracted"]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                page = (text or "").split("\n")
+                for line, word, matched in find(text, pattern.keyword):
+                    to = moved(page, line, word, pattern.moves)
+                    at.append(i)
+                    rows.append((line, word, matched, page[line], *(to or (None, None)), taken(page, *to, pattern) if to else None))
+            at = pa.array(at, pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("page_no").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    return pages.select("doc_id", "page_no", "text").mapInArrow(run, f"doc_id {kind}, page_no int, line int, word int, match_text string, line_text string, target_line int, target_word int, extracted string")
+
+
 def variables(pages: DataFrame, patterns: list[Pattern], source_page: int = 1) -> DataFrame:
     """doc_id and a column for each variable: its first selected content, No_Match without one."""
     rows = extract(pages, patterns, source_page)

@@ -114,6 +114,17 @@ def test_d9_to_d12(spark):
     assert extracted(spark, "X:l1wd3_$ch1pg3", pages).selected == ["cX"]  # D12: _ first, then trimming
 
 
+def test_l24_debug_and_sql(spark):
+    from pagequery.sql import register
+
+    row = extract.debug(document(spark, [INVOICE]), parse_pattern("Amount:r1nb1")).first()
+    assert (row.line, row.word, row.target_line, row.target_word, row.extracted) == (5, 0, 5, 1, "1,250.00")
+    register(spark, invoice_pages=document(spark, [INVOICE, "Total: 7"]))
+    assert [r.extracted for r in spark.sql("SELECT m.extracted FROM invoice_pages p, LATERAL keyword_matches(p.text, 'Total:r1nb1') m").collect()] == ["1,375.00", "7"]
+    nested = "(SELECT doc_id, array_sort(collect_list(struct(page_no, text))) AS d FROM invoice_pages GROUP BY doc_id)"
+    assert [tuple(r) for r in spark.sql(f"SELECT s.* FROM {nested} t, LATERAL text_fields(t.d, 'Total:r1nb1pg0mt-1') s").collect()] == [("total", 2, "7")]
+
+
 def test_l17_variables(spark):
     df = extract.variables(document(spark, [INVOICE]), [parse_pattern("Amount:r1nb1"), parse_pattern("x=Nothing:wd1")])
     assert df.first().asDict() == {"doc_id": "d", "amount": "1,250.00", "x": "No_Match"}
