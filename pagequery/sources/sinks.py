@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequery.errors import ConflictError
@@ -42,17 +42,23 @@ def split_to_pages(pages: DataFrame) -> DataFrame:
 
 def write_outputs(rows: DataFrame, path: str, conflict: str = "fail", by: str = "output") -> str:
     """Parquet, one folder an output; gives the path that was written."""
-    path = resolved(path, conflict)
+    path = resolved(path, conflict, lambda p: path_exists(rows.sparkSession, p))
     rows.write.partitionBy(by).mode(SAVE.get(conflict, "errorifexists")).parquet(path)
     return path
 
 
-def resolved(path: str, conflict: str) -> str:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """On whatever file system the path is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def resolved(path: str, conflict: str, exists=os.path.exists) -> str:
     if conflict not in (*SAVE, "rename", "ask"):
         raise ValueError(f"unknown conflict strategy: {conflict}")
-    if conflict == "fail" and os.path.exists(path):
+    if conflict == "fail" and exists(path):
         raise ConflictError(f"{path} exists", [path])
-    return unique_name(path) if conflict in ("rename", "ask") else path
+    return unique_name(path, exists) if conflict in ("rename", "ask") else path
 
 
 def unique_name(path: str, exists=os.path.exists) -> str:
