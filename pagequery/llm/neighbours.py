@@ -134,7 +134,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, query_rows: int
     candidates = packed(valid, candidate_rows, floats)
     n_blocks = queries.count()
     block = Window.partitionBy("dim").orderBy("part", "ix")
-    queries = queries.withColumn("block", F.row_number().over(block))
+    numbered = queries.select("dim", "part", "ix").withColumn("block", F.row_number().over(block))  # a few bytes a query block
+    queries = queries.join(stored(numbered, "blocks"), ["dim", "part", "ix"])
     per_dim = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()} if n_blocks else {}
     slots = max(2 * spark.sparkContext.defaultParallelism, -(-valid.count() // slot_rows))
     blocks = F.create_map(*[F.lit(x) for kv in per_dim.items() for x in kv]) if per_dim else F.create_map(F.lit(0), F.lit(0))
