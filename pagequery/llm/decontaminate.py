@@ -88,4 +88,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_decontamination": op7_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sql(least: float = 0.5, shortest: int = 5, reach: int = 8) -> str:
+    """The same by joining the windows' words themselves."""
+    words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    widest = max(map(len, MASKS))
+
+    def windows(source: str, row: str) -> str:
+        parts = []
+        for m in MASKS:
+            key = ", ".join(f"w[p + {i + 1}]" for i, c in enumerate(m) if c == "1")
+            parts.append(f"SELECT {row}, p, '{m}' AS m, concat_ws(' ', {key}) AS k FROM {source} WHERE p + {len(m)} <= len(w)")
+        parts.append(f"SELECT {row}, p, CAST(n AS VARCHAR) AS m, array_to_string(w[p + 1:p + n], ' ') AS k FROM {source}, short WHERE p + n <= len(w)" + (" AND len(w) = n" if source == "bp" else ""))
+        return " UNION ALL ".join(parts)
+
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+             b AS (SELECT row_number() OVER () AS i, item_id, {words} AS w FROM benchmark WHERE len({words}) >= {shortest}),
+             short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) < {widest}),
+             dp AS (SELECT r, w, unnest(range(len(w))) AS p FROM d WHERE len(w) >= {shortest}),
+             bp AS (SELECT i, w, unnest(range(len(w))) AS p FROM b),
+             dk AS ({windows("dp", "r")}), bk AS ({windows("bp", "i")}),
+             h AS (SELECT r, i, dk.p AS p, bk.p AS q FROM dk JOIN bk ON dk.m = bk.m AND dk.k = bk.k),
+             o AS (SELECT h.r, h.i, d.doc_id, b.item_id, d.w AS dw, b.w AS bw, p, q,
+                          unnest(range(greatest(-{reach}, -p, -q), least({widest + reach}, len(d.w) - p, len(b.w) - q))) AS j
+                   FROM h JOIN d ON d.r = h.r JOIN b ON b.i = h.i),
+             a AS (SELECT r, i, doc_id, item_id, len(bw) AS n_words, count(DISTINCT q + j) AS n_matched
+                   FROM o WHERE dw[p + j + 1] = bw[q + j + 1] GROUP BY 1, 2, 3, 4, 5)
+        SELECT doc_id, item_id, CAST(n_words AS INTEGER) AS n_words, n_matched, round(n_matched / n_words, 6) AS overlap FROM a WHERE n_matched >= {least} * n_words"""
+
+
+ORACLE_SQL = {"op7_decontamination": _sql()}
