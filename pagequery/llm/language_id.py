@@ -169,11 +169,11 @@ def identify(documents: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def identified(documents: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of documents whose language was identified, with a score above least; other columns stay as they are."""
+    """The rows of documents whose language was identified, with a score of least or more; other columns stay as they are."""
     fold = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     names, profiles = prototypes(documents.where(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     judged = predicted(documents, names, profiles, "__pq_lang", "__pq_score", keep_text=True)
-    return judged.where((F.col("__pq_lang") != UNDETERMINED) & (F.col("__pq_score") > least)).drop("__pq_lang", "__pq_score")
+    return judged.where((F.col("__pq_lang") != UNDETERMINED) & (F.col("__pq_score") >= least)).drop("__pq_lang", "__pq_score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
