@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,5 +49,22 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hashed_sample(df: DataFrame, most: int) -> list:
+    """Rows of df of least hash, at most so many, in that order. What reaches the driver is a few times that, on any number of tasks."""
+    kept = stored(df, "sample")
+    total, names, scale = kept.count(), [f"`{c}`" for c in kept.columns], 1 << 30
+    place = F.pmod(F.xxhash64(*names), F.lit(scale))
+    if total > 4 * most:
+        kept = kept.where(place < scale * 2 * most // total)
+    return kept.orderBy(place, *names).limit(most).collect()
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,7 +9,7 @@
 Discounts are Good-Turing: r* / r with r* = (r + 1) N(r + 1) / N(r) for the low counts where that is between 0 and r, and by the
 log-linear fit to N(r) beyond. Every count keeps a discount below one, so every history has mass to back off with.
 
-How it moves. A block is some millions of tokens of one input partition. Each block sends its distinct words and pairs, as sorted
+How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition. Each block sends its distinct words and pairs, as sorted
 64-bit hashes packed by difference, to buckets by hash. A bucket adds up the training counts and answers each block in the block's
 own order, so that answers hold a small number a pair and no key; it also marks one block as the owner of each pair. The answers,
 partitioned by block, are the model's count table. A block then scores its documents but for the backoff weights: it sums what
@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, stored, table
+from .common import release_memory, remainder, stored, table
 
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 800_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
 U64 = np.uint64
 
@@ -123,8 +123,8 @@ def by_bucket(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], edges, [len(hashes)]])
 
 
-def blocks_of(batches, columns: list[str]):
-    """(block, texts as lower-case bytes, the batches' other columns) of about BLOCK_TOKENS tokens; the same for each reading of a partition."""
+def blocks_of(batches, columns: list[str], block_tokens: int):
+    """(block, texts as lower-case bytes, the batches' other columns) of about block_tokens tokens; the same for each reading of a partition."""
     part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         start = 0
@@ -132,7 +132,7 @@ def blocks_of(batches, columns: list[str]):
             b = t.encode().lower() if t else b""
             texts.append(b)
             size += len(b) // 6 + 1
-            if size >= BLOCK_TOKENS:
+            if size >= block_tokens:
                 held.append(batch.slice(start, i + 1 - start).select(columns))
                 yield (part << 24) + number, texts, pa.Table.from_batches(held)
                 start, number, texts, held, size = i + 1, number + 1, [], [], 0
@@ -190,11 +190,12 @@ ANSWER = "block long, bucket int, n int, answer binary, r array<int>, types arra
 PART = "kind string, block long, ix int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, hash long, x double, y double"
 
 
-def requests(df: DataFrame, bits: int) -> DataFrame:
+def requests(df: DataFrame, bits: int, block_tokens: int) -> DataFrame:
     """Distinct words (negative buckets) and pairs of each block, with their training counts."""
 
     def run(batches):
-        for block, texts, rest in blocks_of(batches, ["held_out"]):
+        for block, texts, rest in blocks_of(batches, ["held_out"], block_tokens):
+            release_memory()
             b = Block(texts)
             train = ~np.array(rest.column("held_out").to_pylist(), bool)
             for sign, hashes, counts in zip((-1, 1), (b.hashes, b.pair_hashes), b.counted(train), strict=True):
@@ -208,6 +209,7 @@ def requests(df: DataFrame, bits: int) -> DataFrame:
 
 def answer(rows: pa.Table) -> pa.Table:
     """A bucket's answers: to each block twice the training count of each of its hashes, plus one where the block is the owner."""
+    release_memory()
     rows = rows.sort_by("block")
     bucket = rows.column("bucket")[0].as_py()
     sizes = np.array(rows.column("n").to_pylist())
@@ -256,10 +258,8 @@ def scored(texts: Iterable[bytes], n_texts: int, word_counts: np.ndarray, pair_a
         d = s.pair_discount(c)
         of = history[b.first]
         pair_score = np.where(c > 0, np.log10(d * c / np.maximum(of, 1)), np.log10(p[b.second]) - np.where(of > 0, np.log10(np.maximum(of, 1)), 0))
-    per_token = pair_score[b.pair]
-    base = np.log10((counts + 1.0) / (s.n + s.v + 1.0))[b.tokens]
-    sums = lambda x: np.add.reduceat(x, b.starts)
-    documents = (b.sizes, sums((counts[b.tokens] > 0).astype(np.int64)), sums(base), sums(per_token))
+    sums = lambda of_type, at: np.add.reduceat(of_type[at], b.starts)
+    documents = (b.sizes, sums((counts > 0).astype(np.int64), b.tokens), sums(np.log10((counts + 1.0) / (s.n + s.v + 1.0)), b.tokens), sums(pair_score, b.pair))
     backs = ((c == 0) & (of > 0))[b.pair]
     doc = np.repeat(np.arange(n_texts), b.sizes)[backs]
     pairs, times = np.unique(doc << 32 | b.before[backs], return_counts=True)
@@ -271,22 +271,26 @@ def scored(texts: Iterable[bytes], n_texts: int, word_counts: np.ndarray, pair_a
     return documents, (pairs >> 32, signed[pairs & 0xFFFFFFFF], times), (signed[at], x[at], y[at])
 
 
-def score(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents(doc_id, text)."""
+def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents(doc_id, text).
+
+    There are about two buckets an input partition. A task holds one block (some 200 bytes a token) or one bucket; larger blocks
+    have fewer distinct pairs a token and larger packets, so executors with more memory should take them."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     df = documents.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
-    bits = min(16, max(5, math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
-    answers = stored(requests(df, bits).groupBy("bucket").applyInArrow(answer, ANSWER), "counts")
+    bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
+    answers = stored(requests(df, bits, block_tokens).groupBy("bucket").applyInArrow(answer, ANSWER), "counts")
     s = statistics(answers)
     # the mass of unseen words is what the discounts take, over all counts: one pass over the words' answers, without their texts
     s.unseen = unseen_mass(answers, s)
 
     def carried(batches):
-        for block, texts, rest in blocks_of(batches, ["doc_id", "held_out"]):
+        for block, texts, rest in blocks_of(batches, ["doc_id", "held_out"], block_tokens):
             n = len(texts)
             yield from pa.table([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest.columns, pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["block", "ix", "doc_id", "held_out", "text"]).to_batches(1000)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_memory()
         left, right = left.sort_by("ix"), right.take(pa.array(np.argsort(np.abs(np.array(right.column("bucket").to_pylist())), kind="stable")))
         block = left.column("block")[0].as_py()
         got = {-1: [], 1: []}
@@ -298,7 +302,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         long, double = pa.int64(), pa.float64()
         none = lambda k, t: pa.nulls(k, t)
         columns = [
-            pa.concat_arrays([pa.array(["document"] * n), pa.array(["backoff"] * nb), pa.array(["owned"] * no)]) if n else pa.array([], pa.string()),
+            pa.array(["document"] * n + ["backoff"] * nb + ["owned"] * no, pa.string()),
             pa.array([block] * (n + nb + no), long),
             pa.concat_arrays([pa.array(range(n), pa.int32()), pa.array(backs[0], pa.int32()), none(no, pa.int32())]),
             pa.concat_arrays([left.column("doc_id").combine_chunks(), none(nb + no, left.schema.field("doc_id").type)]),
@@ -308,7 +312,8 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             pa.concat_arrays([none(n, double), pa.array(backs[2], double), pa.array(owned[1], double)]),
             pa.concat_arrays([none(n + nb, double), pa.array(owned[2], double)]),
         ]
-        return pa.table(columns, names=[x.split()[0] for x in PART.split(", ")])
+        whole = pa.table(columns, names=[x.split()[0] for x in PART.split(", ")])
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=20_000))  # the JVM holds a batch at a time
 
     texts = df.mapInArrow(carried, f"block long, ix int, doc_id {kind}, held_out boolean, text binary")
     replies = answers.where(F.col("block") >= 0).select("block", "bucket", "n", "answer")
