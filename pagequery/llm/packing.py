@@ -19,7 +19,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .token_count import Transducer, load, spans, tokenizer_path
+from .token_count import machine_of, read_texts, spans, tokenizer_path
 
 KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -226,26 +225,20 @@ class Plan:
         return self.sequence[i] + k // self.per[i], self.offset[i] + (k % self.per[i]) * self.length[i]
 
 
-@lru_cache(maxsize=2)
-def writer_of(path: str) -> Transducer:
-    """The counting machine, with the ids themselves for their number; one a Python process."""
-    return Transducer(load(path), annotate=bytes, states=400_000)
-
-
 def tokenised_pieces(documents: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, with the task and the rank among the task's pieces of that length."""
 
     def cut(batches):
-        machine = writer_of(path)
+        machine = machine_of(path)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             row, at, out = 0, [], []
-            for part in spans(batch.column("text").to_pylist(), 1 << 20):
-                lists = [b.split() for b in part]
-                machine.compile(lists)
-                for fields in lists:
-                    data = memoryview(b"".join(machine.emitted(fields)) + tail)
+            for part in spans(batch.column("text").to_pylist()):
+                codes, starts = read_texts(machine, part)
+                ids = machine.ids(codes).tobytes()
+                for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                    data = memoryview(ids[4 * a : 4 * b] + tail)
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         one = data[start : start + 4 * capacity]
                         n = len(one) // 4

@@ -4,8 +4,8 @@ The tokenizer reads white-space separated fields independently of one another, s
 deterministic transducer: its state is the prefix of the field that is being read, a character of a field moves to the longer
 prefix and emits nothing, and white space moves to the start state and emits the number of tokens of the field that ended.
 The automaton is compiled as it is met: the chain of silent transitions of a field is one hashed edge (path compression), and
-its closing transition is annotated with its count when the field is first seen. At ``states`` annotated edges the memory is
-dropped and filled anew, so it stays bounded on any vocabulary.
+its closing transition is annotated with its count when the field is first seen. At ``states`` annotated edges all but
+the first third, which has what is frequent, are dropped; so memory stays bounded on any vocabulary.
 
 A chunk of a text is a function on states. It is either silent (no white space: prefix p becomes p + fragment) or it closes the
 incoming prefix with its head, emits the count of its inner fields and leaves its tail as the state. These maps are closed under
@@ -20,27 +20,26 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, table, with_row
+from .common import ROW, release_memory, table, with_row
 
 TOKENIZER = "word_bpe_49k.json"
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def load(path: str):
-    """encode(list of texts) -> list of ids as bytes (unsigned little-endian, 4 each), for a tokenizers (.json) or sentencepiece (.model) file."""
-    if path.endswith(".model"):
-        import sentencepiece
+def load(path: str) -> WordEncoder:
+    """encode(list of fields) -> (all ids, number of ids of each field), for a tokenizers file.
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [np.array(ids, "<u4").tobytes() for ids in model.encode(texts, num_threads=1)]
+    Fields are independent, and case is lost, only where the model lower-cases and drops white space; any other is refused."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,54 +48,114 @@ def load(path: str):
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    if json.loads(model.to_str())["model"].get("end_of_word_suffix") == "</w>":
-        return WordEncoder(model)
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    made = json.loads(model.to_str())
+    if made["model"].get("end_of_word_suffix") != "</w>" or "Lowercase" not in json.dumps(made["normalizer"]):
+        raise ValueError(f"{path}: not a lower-casing tokenizer of words; its tokens may span white space")
+    return WordEncoder(model)
+
+
+def together(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), "<u4", int(lengths.sum())), lengths
+
+
+class Store:
+    """Arrays of ids by number: appended together, gathered by number."""
+
+    def __init__(self):
+        self.n = self.used = 0
+        self.start, self.length, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4")
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, used = self.n + len(lengths), self.used + len(ids)
+        self.start, self.length, self.pool = grown(self.start, n), grown(self.length, n), grown(self.pool, used)
+        self.length[self.n : n] = lengths
+        self.start[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.pool[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def forget(self, numbers: dict, keep: int) -> defaultdict:
+        """Drops all but the first keep numbers, here and in the dictionary of their keys: what is frequent was met early."""
+        out = numbering()
+        out.update(islice(numbers.items(), keep))
+        self.n, self.used = keep, int(self.start[keep])
+        return out
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.length[numbers]
+        before = np.cumsum(n) - n
+        return self.pool[np.repeat(self.start[numbers] - before, n) + np.arange(n.sum())]
+
+
+def grown(array: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+def numbering() -> defaultdict:
+    """A dictionary that gives each new key the next number."""
+    out: defaultdict = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
+def newest(numbers: dict, n: int) -> list:
+    return list(islice(reversed(numbers), n))[::-1]
 
 
 class WordEncoder:
     """Encodes fields by their words, for a lower-casing BPE whose words end in a token with </w>.
 
-    A field of Latin letters, digits and signs is cut into words as the tokenizer's own pattern does; words that are new are encoded
-    many at a time, and the tokens that end a word part the ids again. All other fields go through the library one by one."""
+    Fields of Latin letters, digits and signs are cut into words as the tokenizer's own pattern does, all in one pass; words that are
+    new are encoded many at a time, and the tokens that end a word part the ids again. Other fields go through the library one by one."""
 
-    WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
-    #: Below U+0250, without what changes its kind or length in lower case or has a digit's or letter's value only in part.
-    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3\u01cd-\u01f0\u01f4-\u0249]+")
+    #: Letters below U+0250, digits and signs, without characters that change their kind or number in lower case or are parts of letters or digits.
+    PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3\u01cd-\u01f0\u01f4-\u0249]*")
+    WORD = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+")
 
-    def __init__(self, model, words: int = 500_000):
-        self.model, self.most, self.words = model, words, {}
+    def __init__(self, model, words: int = 400_000):
+        self.model, self.most = model, words
         vocabulary = model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.most:
-            self.words.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if t.isalpha() and t.isascii():
-                cut.append([t.lower()])
-            elif self.PLAIN.fullmatch(t) and not any(x in t for x in self.special):
-                cut.append(self.WORD.findall(t.lower()))
-            else:
-                cut.append(None)
-        new = list({w for c in cut if c for w in c}.difference(self.words))
+        self.words, self.store = numbering(), Store()
+        self.words["\n"]  # between fields: no token
+        self.store.append(np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def is_plain(self, text: str) -> bool:
+        return bool(self.PLAIN.fullmatch(text)) and not ("<" in text and any(x in text for x in self.special))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\n".join(texts)
+        if self.is_plain(joined):
+            return self.plain(joined, len(texts))
+        odd = [i for i, t in enumerate(texts) if not self.is_plain(t)]
+        ids, lengths = self.plain("\n".join("" if not self.is_plain(t) else t for t in texts), len(texts))
+        more, sizes = together([e.ids for e in self.model.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)])
+        places = np.repeat((np.cumsum(lengths) - lengths)[odd], sizes)
+        lengths[odd] = sizes
+        return np.insert(ids, places, more), lengths
+
+    def plain(self, joined: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.store.n > self.most:
+            self.words = self.store.forget(self.words, self.most // 3)
+        words = self.WORD.findall(joined.lower())
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        new = newest(self.words, len(self.words) - self.store.n)
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             lines = [" ".join(part[j : j + 100]) for j in range(0, len(part), 100)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
-            to = 4 * (np.nonzero(self.ends[ids])[0] + 1)
-            if len(to) != len(part):
+            ids, _ = together([e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(part):
                 raise ValueError("words and their last tokens differ in number")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, to.tolist(), strict=True):
-                self.words[w] = data[at:end]
-                at = end
-        others = iter(self.model.encode_batch_fast([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
-        get = self.words.__getitem__
-        return [np.array(next(others).ids, "<u4").tobytes() if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+            self.store.append(ids, np.diff(ends, prepend=0))
+        lengths = np.bincount(np.cumsum(numbers == 0), self.store.length[numbers], n).astype(np.int64)
+        return self.store.gather(numbers), lengths
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -106,30 +165,48 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 @lru_cache(maxsize=4)
-def machine_of(path: str) -> "Transducer":
+def machine_of(path: str) -> Transducer:
     """One machine a Python process: tasks that follow one another on a worker keep what is compiled."""
     return Transducer(load(path))
 
 
 class Transducer:
-    """Annotated closing transitions, by field: what it emits is annotate(ids of the field)."""
+    """The annotated closing transitions. Each has a number, by which the store tells how many tokens it emits, and which."""
+
+    def __init__(self, encode, states: int = 750_000):
+        self.encode, self.states = encode, states
+        self.closing, self.store = numbering(), Store()
+
+    def read(self, fields: Iterable[bytes], n: int) -> np.ndarray:
+        """The closing transitions of n fields, by number; valid until the next reading."""
+        if self.store.n > self.states:
+            self.closing = self.store.forget(self.closing, self.states // 3)
+            release_memory()
+        codes = np.fromiter(map(self.closing.__getitem__, fields), np.int64, n)
+        new = newest(self.closing, len(self.closing) - self.store.n)
+        for i in range(0, len(new), 1 << 14):
+            self.store.append(*self.encode([k.decode() for k in new[i : i + (1 << 14)]]))
+        return codes
+
+    def emitted(self, codes: np.ndarray) -> np.ndarray:
+        """How many tokens each transition emits."""
+        return self.store.length[codes]
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """The tokens that they emit, one after another."""
+        return self.store.gather(codes)
 
-    def __init__(self, encode, annotate=lambda ids: len(ids) // 4, states: int = 700_000):
-        self.encode, self.annotate, self.states = encode, annotate, states
-        self.closing: dict[bytes, object] = {}
+    def count(self, fields: list[bytes]) -> int:
+        return int(self.emitted(self.read(fields, len(fields))).sum())
 
-    def emitted(self, fields: list[bytes]) -> Iterator:
-        """What the closing transition of each field emits, in order."""
-        return map(self.closing.__getitem__, fields)
 
-    def compile(self, lists: list[list[bytes]]) -> None:
-        """Adds the transitions that these fields need."""
-        if len(self.closing) > self.states:
-            self.closing.clear()  # a frequent field comes back at once
-        new = list(set().union(*lists).difference(self.closing)) if lists else []
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            self.closing.update(zip(part, map(self.annotate, self.encode([x.decode() for x in part])), strict=True))
+def read_texts(machine: Transducer, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions of all fields of all texts, and where each text's tokens begin (and the last one's end)."""
+    lists = [b.split() for b in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    codes = machine.read(chain.from_iterable(lists), int(sizes.sum()))
+    tokens = np.concatenate([[0], np.cumsum(machine.emitted(codes))])
+    return codes, tokens[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 #: The map of a chunk: (None, fragment) is silent, else (head, emitted, tail).
@@ -141,8 +218,7 @@ def chunk_map(chunk: bytes, machine: Transducer) -> tuple:
         return (None, chunk)
     head = b"" if chunk[:1] in SPACES else fields.pop(0)
     tail = b"" if chunk[-1:] in SPACES else fields.pop()
-    machine.compile([fields])
-    return (head, sum(machine.emitted(fields)), tail)
+    return (head, machine.count(fields), tail)
 
 
 def compose(a: tuple, b: tuple, machine: Transducer) -> tuple:
@@ -151,8 +227,7 @@ def compose(a: tuple, b: tuple, machine: Transducer) -> tuple:
     if b[0] is None:
         return (a[0], a[1], a[2] + b[1])
     middle = [a[2] + b[0]] if a[2] + b[0] else []
-    machine.compile([middle])
-    return (a[0], a[1] + sum(machine.emitted(middle)) + b[1], b[2])
+    return (a[0], a[1] + machine.count(middle) + b[1], b[2])
 
 
 def scan(maps: list[tuple], machine: Transducer) -> tuple:
@@ -167,15 +242,15 @@ def scan(maps: list[tuple], machine: Transducer) -> tuple:
 def total(composed: tuple, machine: Transducer) -> int:
     """What the map emits from the start state, with the end of the text."""
     ends = [x for x in (composed[1:] if composed[0] is None else (composed[0], composed[2])) if x]
-    machine.compile([ends])
-    return sum(machine.emitted(ends)) + (0 if composed[0] is None else composed[1])
+    return machine.count(ends) + (0 if composed[0] is None else composed[1])
 
 
-def spans(texts: list, size: int = 1 << 21) -> Iterator[list[bytes]]:
-    """The texts as bytes (null: empty), in lists of about size bytes."""
+def spans(texts: list, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts as bytes (null: empty), in lists of about size bytes; A-Z in lower case, as the tokenizer has them, unless a special token may be meant."""
     out, n = [], 0
     for x in texts:
         b = x.encode() if x else b""
+        b = b if b"<|" in b else b.lower()
         out.append(b)
         n += len(b)
         if n >= size:
@@ -200,9 +275,7 @@ def count_tokens(documents: DataFrame, path: str | None = None, limit: int = 204
         for batch in batches:
             n_bytes, n = [], []
             for part in spans(batch.column("text").to_pylist()):
-                lists = [b.split() for b in part]
-                machine.compile(lists)
-                n += [sum(machine.emitted(x)) for x in lists]
+                n += np.diff(read_texts(machine, part)[1]).tolist()
                 n_bytes += map(len, part)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
