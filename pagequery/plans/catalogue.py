@@ -89,8 +89,8 @@ page_filter("c3_regex_any_case", "regex/i:'^th[aeiou]'", "regexp_matches(text, '
 page_filter("c4_line_starts", "line-starts:'The'", "len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x), 'The'))) > 0")
 page_filter("c4_line_starts_any_case", "line-starts/i:'an'", "len(list_filter(string_split(text, chr(10)), lambda x: starts_with(lower(ltrim(x)), 'an'))) > 0")
 for kind in ("text", "image", "mixed", "empty"):
-    page_filter(f"c5_type_{kind}", f"type:{kind}", f"text <> '' AND {TYPE} = '{kind}'" if kind != "empty" else f"text <> '' AND {TYPE} = 'empty'")
-page_filter("c6_size_below", "size:<1KB", "size_bytes < 1024 AND text <> ''")
+    page_filter(f"c5_type_{kind}", f"type:{kind}", f"{TYPE} = '{kind}'")
+page_filter("c6_size_below", "size:<1KB", "size_bytes < 1024")
 page_filter("c6_size_about", "size:=1KB", "abs(size_bytes - 1024) <= 1024")
 page_filter("c6_size_from", "size:>=0.5KB", "size_bytes >= 512")
 selector("c7_offset_after", "contains:'the'+1", "m", more=", r AS (SELECT *, coalesce(lag(contains(text, 'the'), 1) OVER (PARTITION BY doc_id ORDER BY page_no), false) AS m FROM q)", is_range="count(*) OVER (PARTITION BY doc_id) > 1")
@@ -103,7 +103,7 @@ page_filter("d_or", "contains:'und' | contains:'la'", "contains(text, 'und') OR
 page_filter("d_not", "!contains:'the'", "NOT contains(text, 'the')")
 page_filter("d_precedence", "contains:'la' | contains:'the' & !contains:'ing'", "contains(text, 'la') OR (contains(text, 'the') AND NOT contains(text, 'ing'))")
 page_filter("d_parentheses", "(contains:'la' | contains:'the') & !contains:'ing'", "(contains(text, 'la') OR contains(text, 'the')) AND NOT contains(text, 'ing')")
-page_filter("d1_all_in_boolean", "all & !type:empty", f"NOT (text <> '' AND {TYPE} = 'empty')")
+page_filter("d1_all_in_boolean", "all & !type:empty", f"{TYPE} <> 'empty'")
 page_filter("d1_numbers_in_boolean", "contains:'the' & !2-3 | last 1", "contains(text, 'the') AND page_no NOT BETWEEN 2 AND 3 OR page_no > n - 1")
 selector("d_group", "contains:'the' & !contains:'and'", "contains(text, 'the') AND NOT contains(text, 'and')")
 

@@ -161,3 +161,24 @@ def test_page_filters_need_no_shuffle(spark):
     assert "Exchange" not in plan
     plan = PageQuery(document(spark, FOUR)).select("contains:'a'+1 to contains:'b',last 2").rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # all windows share the document
+
+
+def test_d5_commas_come_first(spark):
+    assert groups_of(PageQuery(document(spark, FOUR)).select("3,contains:'Chapter' & !2,last 1")) == [(1, [3]), (2, [1]), (3, [4])]
+
+
+def test_d6_types_by_the_classifier(spark):
+    df = document(spark, ["x" * 60, "x" * 60, "", "short"], images={2: 1, 3: 2})
+    assert [pages_of(PageQuery(df).select(f"type:{t}")) for t in ("text", "mixed", "empty")] == [[1], [2], [4]]
+
+
+def test_d19_bad_regex_matches_nothing(spark):
+    with pytest.warns(UserWarning):
+        assert pages_of(PageQuery(document(spark, FOUR)).select("regex:'('")) == []
+
+
+def test_de_morgan_and_double_negation(spark):
+    q = PageQuery(document(spark, FOUR))
+    same = lambda a, b: {r.page_no for r in q.where(a).collect()} == {r.page_no for r in q.where(b).collect()}
+    assert same("!(contains:'Chapter' & contains:'mixed')", "!contains:'Chapter' | !contains:'mixed'")
+    assert same("!!contains:'Chapter'", "contains:'Chapter'")
