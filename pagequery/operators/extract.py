@@ -19,19 +19,28 @@ from pagequery.plans.compact import LegacyPattern, Pattern, Pick
 
 NO_MATCH = "No_Match"
 NUMBER = re.compile(r"-?\d+(?:[.,]\d+)*")
+SIGNS = re.compile(r"[^\w\s]|_")
 
 
 def bare(word: str) -> str:
     return "".join(c for c in word.lower() if c.isalnum())
 
 
-def find(text: str, keyword: str) -> list[tuple[int, int, str]]:
+def bare_lines(text: str) -> list[str]:
+    """The lines' letters, digits and white space: what no keyword is in, no word of the line matches."""
+    return SIGNS.sub("", text.lower()).split("\n")
+
+
+def find(text: str, keyword: str, cleaned: list[str] | None = None) -> list[tuple[int, int, str]]:
     """(line, place of the last word, matched words) wherever consecutive words contain the keyword's words, letters and digits alone."""
     wanted = [bare(k) for k in keyword.lower().split()]
     out = []
     if not text or not wanted:
         return out
+    cleaned = cleaned or bare_lines(text)
     for i, line in enumerate(text.split("\n")):
+        if not all(k in cleaned[i] for k in wanted):
+            continue
         have = line.split()
         clean = [bare(w) for w in have]
         for j in range(len(have) - len(wanted) + 1):
@@ -83,9 +92,9 @@ def page_matches(text: str | None, patterns: list[Pattern]) -> list[tuple[int, i
     out = []
     if not (text or "").strip():
         return out
-    page = text.split("\n")
+    page, cleaned = text.split("\n"), bare_lines(text)
     for k, p in enumerate(patterns):
-        for line, word, matched in find(text, p.keyword):
+        for line, word, matched in find(text, p.keyword, cleaned):
             to = moved(page, line, word, p.moves)
             out.append((k, line, word, matched, taken(page, *to, p) if to else None))
     return out
