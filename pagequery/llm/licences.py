@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 #: Notices by which texts name their licence, and opening passages of the licences.
 TEMPLATES = {
@@ -197,9 +197,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def train(documents: DataFrame, sample_rows: int = 2000) -> Model:
     vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
     shown = once(paragraphs(documents, template_words()), "g", F.array_sort(F.array_intersect(grams_of(words_of(F.col("text"))), strings(vocabulary))))
-    shown = shown.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
-    rows = shown.orderBy(F.xxhash64("g"), "g").limit(sample_rows).collect()
-    return fit([r["g"] for r in rows])
+    shown = shown.select("g").distinct().where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
+    return fit([r["g"] for r in hashed_sample(shown, sample_rows)])
 
 
 def scan(documents: DataFrame, sample_rows: int = 2000, similar: float = 0.6, model: Model | None = None) -> DataFrame:
