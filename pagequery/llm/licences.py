@@ -3,7 +3,7 @@
 Paragraphs are the non-blank lines of a text. The classifier is a multinomial logistic regression over the word 1- and 2-grams of the
 templates (no other word can speak for a licence), made sparse by an L1 penalty, with a class of its own for paragraphs that are
 no licence. It is trained from variants of the templates and from a bounded sample of paragraphs of the corpus
-(``sample_rows`` of least hash among those that share a word with a template and are like none of them); a temperature fitted on
+(``sample_rows`` of least hash among those that share a word with a template, are like none of them and are no part of one); a temperature fitted on
 variants and paragraphs held out of the training calibrates its probabilities. A licence family is predicted where its
 probability is over one half; the prediction is confirmed where some template of the family shares ``similar`` or more of its
 2-grams with the paragraph.
@@ -29,19 +29,19 @@ from .common import hashed_sample, table
 
 #: Notices by which texts name their licence, and opening passages of the licences.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT licensed"],
     "Apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "Distributed under the Apache License 2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GPL version 2 or any later version"],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
     "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL version 3"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license", "BSD license"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the Creative Commons Attribution License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal", "Dedicated to the public domain under the Creative Commons CC0 Public Domain Dedication"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Unauthorised copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Unauthorised copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
 }
 UNKNOWN = "unknown"
 
@@ -176,6 +176,13 @@ def like_a_template(gram_array: Column, families: list[str], family: Column | No
     return best
 
 
+def part_of_a_template(gram_array: Column) -> Column:
+    """Whether two or more 2-grams, and all of them, are one template's."""
+    pairs = F.filter(gram_array, lambda g: g.contains(" "))
+    within = (F.size(F.array_except(pairs, strings(bigrams(t)))) == 0 for texts in TEMPLATES.values() for t in texts)
+    return (F.size(pairs) >= 2) & F.array_max(F.array(*within))
+
+
 def paragraphs(documents: DataFrame, anchors: list[str]) -> DataFrame:
     """doc_id, paragraph (its line, from 0), text of the lines with one of these words."""
     has = lambda text: F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), strings(anchors))
@@ -196,8 +203,10 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def train(documents: DataFrame, sample_rows: int = 2000) -> Model:
     vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
-    shown = once(paragraphs(documents, template_words()), "g", F.array_sort(F.array_intersect(grams_of(words_of(F.col("text"))), strings(vocabulary))))
-    shown = shown.select("g").distinct().where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
+    shown = once(paragraphs(documents, template_words()), "all", grams_of(words_of(F.col("text"))))
+    shown = once(shown, "g", F.array_sort(F.array_intersect("all", strings(vocabulary))))
+    shown = shown.select("g", (F.size("g") == F.size("all")).alias("whole")).distinct().where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
+    shown = shown.where(~(F.col("whole") & part_of_a_template(F.col("g")))).select("g").distinct()
     return fit([r["g"] for r in hashed_sample(shown, sample_rows)])
 
 

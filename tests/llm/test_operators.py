@@ -294,6 +294,13 @@ def test_op6_families(spark, odd):
     assert licences.scan(odd).count() == 0
 
 
+def test_op6_short_notices(spark):
+    lines = {"Proprietary": "All rights reserved.", "BSD": "BSD license", "MIT": "MIT licensed"}
+    texts = [(i, t) for i, t in enumerate(lines.values())] + [(k, f"some text\nAll rights reserved.\nthe rest of number {k}") for k in range(10, 40)]
+    got = {r.doc_id: (r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {**{i: (f, True) for i, f in enumerate(lines)}, **{k: ("Proprietary", True) for k in range(10, 40)}}
+
+
 def test_op6_column_equals_model(spark):
     model = licences.fit([["of", "the"], ["the", "this"], ["under"]])
     texts = [t for ts in licences.TEMPLATES.values() for t in ts] + ["this is the software", "under the"]
