@@ -6,9 +6,10 @@ one sequence) is applied as often as its lengths allow, so the plan has a few th
 their places by their rank among the pieces of their length. Ranks come from counts by (task, length) and the order within the
 task: no task ever gathers the pieces of a length.
 
-Search: the incumbent is best-fit decreasing. Unless it meets the lower bound, branch and bound fills a sequence around the
-largest length left, with fillings that no other one dominates, least waste first, and prunes where the waste so far leaves no
-room below the incumbent. ``nodes`` bounds the search; the best packing found is used.
+Search: the incumbent is best-fit decreasing. Unless it meets the lower bound, branch and bound fills sequences around the
+largest length left, with every filling that no other one dominates (none whose pieces could give way to one longer piece left
+over), least waste first, for every number of sequences, and prunes by the waste so far and by the bound on what is left. ``nodes``
+is the search's only limit, and None has it run to the end; ``Packing.proven`` tells whether it did. The best packing found is used.
 
 Defined results: a null or empty text is one piece that holds only the end token. Repeated rows are packed as rows of their own.
 An empty table gives an empty result. Any doc_id is kept, null included.
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer sequences: the volume bound, and that of Martello and Toth for items that cannot share."""
     lengths = np.arange(capacity + 1)
     n = np.zeros(capacity + 1, np.int64)
-    for k, v in counts.items():
-        n[k] = v
-    best = -(-int((lengths * n).sum()) // capacity)
-    many, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(lengths * n)])
-    up_to = lambda a, i: int(a[max(0, min(i, capacity) + 1)])  # noqa: E731  of lengths <= i
-    half = capacity // 2
-    for a in range(half + 1):
-        big = up_to(many, capacity) - up_to(many, capacity - a)
-        middle = up_to(many, capacity - a) - up_to(many, half)
-        middle_volume = up_to(volume, capacity - a) - up_to(volume, half)
-        small_volume = up_to(volume, half) - up_to(volume, a - 1)
-        best = max(best, big + middle + max(0, -(-(small_volume - (middle * capacity - middle_volume)) // capacity)))
-    return best
+    n[list(counts.keys())] = list(counts.values())
+    many, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(lengths * n)])  # of lengths below an index
+    a, half = np.arange(capacity // 2 + 1), capacity // 2
+    alone = many[-1] - many[capacity - a + 1]
+    middle = many[capacity - a + 1] - many[half + 1]
+    room = middle * capacity - (volume[capacity - a + 1] - volume[half + 1])
+    small = volume[half + 1] - volume[a]
+    return int(max(-(-volume[-1] // capacity), (alone + middle + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]:
@@ -86,115 +83,181 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Pattern]]
     return [(n, tuple(sorted(f.items(), reverse=True))) for sets in open_.values() for n, f in sets]
 
 
-def fillings(lengths: list[int], left: dict[int, int], room: int, most: int, tries: int) -> list[tuple[int, dict[int, int]]]:
-    """Fillings of room from the lengths left, as (waste, filling), least waste first and at most that many.
+Key = tuple[int, Pattern]  # of a filling: what it wastes, and its pieces; less waste comes first, then longer pieces
 
-    A filling to which a further length could be added is dominated by that larger one, so only maximal ones are listed; and one
-    that takes a longer piece in place of a shorter one of the same filling comes first. One length that fills the room
-    dominates all others and ends the search."""
-    found: list[tuple[int, dict[int, int]]] = []
-    budget = [tries]
 
-    def go(room: int, i: int, taken: dict[int, int]) -> bool:
-        """i: lengths above this index are not used any more; true when a perfect filling was found."""
-        budget[0] -= 1
-        i = min(i, bisect.bisect_right(lengths, room))
-        maximal = True
-        while i > 0:
-            i -= 1
+def reachable(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """For each i the sums up to room that the first i lengths reach, as the bits of a number."""
+    mask, sums = (1 << (room + 1)) - 1, 1
+    out = [sums]
+    for x in lengths:
+        n, step = min(left[x], room // x), 1
+        while n > 0:  # n copies by doubling
+            use = min(step, n)
+            sums |= sums << (x * use) & mask
+            n, step = n - use, 2 * step
+        out.append(sums)
+    return out
+
+
+def with_sum(lengths: list[int], left: dict[int, int], reach: list[int], total: int, after: Pattern | None) -> Iterator[Pattern]:
+    """All fillings of exactly that sum, those of longer pieces first, without a dead end; after: only those that come later."""
+    floor = dict(after) if after is not None else None
+    path: list[list[int]] = []  # (index of a length, copies of it, whether all before is as in after)
+    i, tight, rest = len(lengths), floor is not None, total
+    while True:
+        while rest:  # down to a whole filling
+            i = min(i, bisect.bisect_right(lengths, rest)) - 1
             x = lengths[i]
-            have = left[x] - taken.get(x, 0)
-            if have <= 0:
+            n = min(left[x], rest // x, floor.get(x, 0) if tight else rest)
+            while not reach[i] >> (rest - n * x) & 1:
+                n -= 1
+                if n < 0:
+                    break
+            if n < 0:
+                break
+            path.append([i, n, tight])
+            tight = tight and n == floor.get(x, 0)
+            rest -= n * x
+        else:
+            if not tight:
+                yield tuple((lengths[j], n) for j, n, _ in path if n)
+        while path:  # the next one: fewer copies of the last length that allows it
+            i, n, was = path.pop()
+            x = lengths[i]
+            rest += n * x
+            n -= 1
+            while n >= 0 and not reach[i] >> (rest - n * x) & 1:
+                n -= 1
+            if n >= 0:
+                path.append([i, n, was])
+                rest -= n * x
+                tight = False
+                break
+        else:
+            return
+
+
+def dominated(filling: Pattern, waste: int, spare: int) -> bool:
+    """Whether pieces of the filling could give way to one longer piece that is left over (or two and more to one as long).
+
+    spare: the lengths left over, as bits. Then some best packing has the other filling, and the pieces elsewhere."""
+    sums, several = 1, 0  # of pieces that may give way: all sums, and those of two pieces and more
+    for x, n in filling:
+        step = 1
+        while n > 0:
+            use = min(step, n)
+            several |= several << (x * use) | (sums & ~1) << (x * use) | (1 << (x * use) if use > 1 else 0)
+            sums |= sums << (x * use)
+            n, step = n - use, 2 * step
+    if several & spare:
+        return True
+    longer, width = sums << 1, 1  # one to waste more than what gives way
+    while width < waste:
+        more = min(width, waste - width)
+        longer |= longer << more
+        width += more
+    return bool(waste and longer & spare)
+
+
+def completions(left: dict[int, int], capacity: int, after: Key | None, most: int) -> Iterator[Key | None]:
+    """The undominated fillings around the largest length left, wasting at most so much, in the order of their keys; None for each dominated one."""
+    top = max(left)
+    rest = {x: n - (x == top) for x, n in left.items() if x <= capacity - top}
+    lengths = sorted(x for x, n in rest.items() if n)
+    room = capacity - top
+    reach = reachable(lengths, rest, room)
+    for waste in range(after[0] if after else 0, min(most, room) + 1):
+        if not reach[-1] >> (room - waste) & 1:
+            continue
+        inside = None
+        if after and waste == after[0]:
+            inside = tuple((x, n - (x == top)) for x, n in after[1] if n > (x == top))
+        for pieces in with_sum(lengths, rest, reach, room - waste, inside):
+            used = dict(pieces)
+            spare = sum(1 << x for x in lengths if rest[x] > used.get(x, 0))
+            if dominated(pieces, waste, spare):
+                yield None
                 continue
-            maximal = False
-            if budget[0] <= 0 and found:
-                return False
-            if go(room - x, i + 1, {**taken, x: taken.get(x, 0) + 1}):
-                return True
-        if maximal and taken:
-            found.append((room, taken))
-            return room == 0
-        return False
-
-    go(room, len(lengths), {})
-    if not found:
-        found.append((room, {}))
-    unique = {tuple(sorted(f.items())): (w, f) for w, f in found}
-    return sorted(unique.values(), key=lambda x: (x[0], sorted(x[1].items(), reverse=True)[::-1]))[:most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 3, tries: int = 60) -> list[tuple[int, Pattern]]:
-    """(how many sequences, their filling): a packing of counts = {length: pieces}."""
+            used[top] = used.get(top, 0) + 1
+            yield waste, tuple(sorted(used.items(), reverse=True))
+
+
+@dataclass
+class Packing:
+    """Patterns, each with the number of its sequences; proven: whether no packing has fewer sequences."""
+
+    patterns: list[tuple[int, Pattern]]
+    proven: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.patterns)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 2000) -> Packing:
+    """A packing of counts = {length: pieces} by branch and bound; nodes: how many fillings the search may look at, None for all.
+
+    A branch is a filling and how many sequences have it. Sequences around the same largest length take their fillings in the
+    order of the keys, so no packing is met twice; each node is pruned by the waste so far and by the bound on what is left."""
+    counts = {k: v for k, v in counts.items() if v}
     incumbent = best_fit(counts, capacity)
     best = sum(n for n, _ in incumbent)
-    bound = lower_bound(counts, capacity)
-    if best <= bound:
-        return incumbent
+    bound = lower_bound(counts, capacity) if counts else 0
     volume = sum(k * v for k, v in counts.items())
-    left = Counter({k: v for k, v in counts.items() if v})
-    lengths = sorted(left)
+    left = dict(counts)
     plan: list[tuple[int, Pattern]] = []
-    # an explicit stack: (fillings still to try, what the branch taken now put into the plan)
-    stack: list[list] = []
+    levels: list[list] = []  # (the fillings still to come, the filling taken, how often it is taken)
     used = waste = 0
-    budget = nodes
-
-    def expand() -> list:
-        top = lengths[-1]
-        left[top] -= 1
-        room = capacity - top
-        out = []
-        for w, f in reversed(fillings([x for x in lengths if x <= room], left, room, width, tries)):
-            f = dict(f)
-            f[top] = f.get(top, 0) + 1
-            out.append((w, f))
-        left[top] += 1
-        return out
-
-    def undo(step: tuple) -> None:
-        nonlocal used, waste
-        n, f, w = step
-        for k, v in f.items():
-            if not left[k]:
-                bisect.insort(lengths, k)
-            left[k] += n * v
-        plan.pop()
-        used -= n
-        waste -= n * w
-
-    stack.append([expand(), None])
-    while stack and budget > 0:
-        branch = stack[-1]
-        if branch[1] is not None:
-            undo(branch[1])
-            branch[1] = None
-        if not branch[0]:
-            stack.pop()
-            continue
-        budget -= 1
-        w, f = branch[0].pop()
-        n = min(left[k] // v for k, v in f.items())
-        # every sequence beyond the volume is waste: below the incumbent there is room for this much
-        if waste + n * w > (best - 1) * capacity - volume:
-            n = int(((best - 1) * capacity - volume - waste) // w) if w else n
+    looked = 0
+
+    def put(filling: Pattern, n: int) -> None:
+        for x, k in filling:
+            left[x] = left.get(x, 0) - n * k
+            if not left[x]:
+                del left[x]
+
+    def opened(after: Key | None) -> list:
+        return [completions(dict(left), capacity, after, (best - 1) * capacity - volume - waste), None, 0]
+
+    if best > bound:
+        levels.append(opened(None))
+    while levels and best > bound:
+        level = levels[-1]
+        if level[2]:  # the branch taken is done: one sequence fewer of it
+            w, filling = level[1]
+            put(filling, -1)
+            used, waste, level[2] = used - 1, waste - w, level[2] - 1
+            plan.pop()
+        else:
+            if nodes is not None and looked >= nodes:
+                return Packing(incumbent, False)
+            level[1] = next(level[0], StopIteration)
+            if level[1] is StopIteration:
+                levels.pop()
+                continue
+            looked += 1
+            if level[1] is None:
+                continue
+            w, filling = level[1]
+            n = min(left[x] // k for x, k in filling)
+            if w:
+                n = min(n, ((best - 1) * capacity - volume - waste) // w)
             if n <= 0:
                 continue
-        for k, v in f.items():
-            left[k] -= n * v
-            if not left[k]:
-                lengths.remove(k)
-        plan.append((n, tuple(sorted(f.items(), reverse=True))))
-        used += n
-        waste += n * w
-        branch[1] = (n, f, w)
-        if not lengths:
+            put(filling, n)
+            used, waste, level[2] = used + n, waste + n * w, n
+        if not level[2]:
+            continue
+        plan.append((level[2], filling))
+        if not left:
             if used < best:
                 best, incumbent = used, list(plan)
-                if best <= bound:
-                    return incumbent
             continue
-        stack.append([expand(), None])
-    return incumbent
+        if used + lower_bound(left, capacity) >= best:
+            continue
+        levels.append(opened(level[1] if max(left) == filling[0][0] else None))
+    return Packing(incumbent, True)
 
 
 class Plan:
@@ -253,13 +316,13 @@ def tokenised_pieces(documents: DataFrame, path: str, capacity: int, end: int) -
     return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = 4096, end: int = 1, nodes: int = 20_000) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, capacity: int = 4096, end: int = 1, nodes: int | None = 2000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the pieces of documents(doc_id, text) and their places."""
     spark = documents.sparkSession
     made = stored(tokenised_pieces(documents, path or tokenizer_path(), capacity, end), "pieces")
     by_task = made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    plan = spark.sparkContext.broadcast(Plan(bin_completion(counts, capacity, nodes), counts, capacity))
+    plan = spark.sparkContext.broadcast(Plan(bin_completion(counts, capacity, nodes).patterns, counts, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     starts = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
 

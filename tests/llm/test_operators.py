@@ -256,13 +256,43 @@ def optimum(items, capacity):
 
 def test_op5_search_is_optimal_on_small_cases():
     rng = random.Random(4)
-    for _ in range(60):
+    improved = 0
+    for _ in range(400):
         capacity = rng.choice([10, 20, 30])
-        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
-        packed = packing.bin_completion(Counter(items), capacity)
-        assert Counter(k for n, f in packed for k, v in f for _ in range(n * v)) == Counter(items)
-        assert all(sum(k * v for k, v in f) <= capacity for _, f in packed)
-        assert sum(n for n, _ in packed) == optimum(items, capacity) >= packing.lower_bound(Counter(items), capacity)
+        items = [x for _ in range(rng.randint(2, 6)) for x in [rng.randint(2, capacity)] * rng.randint(1, 4)][:11]
+        counts = Counter(items)
+        packed = packing.bin_completion(counts, capacity, nodes=None)
+        assert Counter(k for n, f in packed.patterns for k, v in f for _ in range(n * v)) == counts
+        assert all(sum(k * v for k, v in f) <= capacity for _, f in packed.patterns)
+        assert packed.proven and packed.sequences == optimum(items, capacity) >= packing.lower_bound(counts, capacity)
+        improved += packed.sequences < sum(n for n, _ in packing.best_fit(counts, capacity))
+    assert improved
+
+
+@pytest.mark.parametrize("counts", [{4094: 100, 3: 13651}, {4094: 2040, 3: 13651}, {2: 5_000_000}, {4096: 3, 1: 1}, {}])
+def test_op5_very_many_short_pieces(counts):
+    packed = packing.bin_completion(counts, 4096)
+    assert packed.sequences <= sum(n for n, _ in packing.best_fit(counts, 4096)) and packed.proven
+    got = Counter()
+    for n, f in packed.patterns:
+        assert sum(k * v for k, v in f) <= 4096
+        got.update({k: n * v for k, v in f})
+    assert got == Counter(counts)
+
+
+def test_op5_fillings_are_all_and_undominated():
+    left = {3: 2, 4: 1, 5: 2, 7: 1, 11: 1}
+    for room in range(1, 20):
+        rest = {k: v for k, v in left.items() if k != 11}
+        lengths, all_ = sorted(rest), set()
+        for take in itertools.product(*(range(rest[x] + 1) for x in lengths)):
+            if sum(x * n for x, n in zip(lengths, take, strict=True)) == room:
+                all_.add(tuple(sorted(((x, n) for x, n in zip(lengths, take, strict=True) if n), reverse=True)))
+        reach = packing.reachable(lengths, rest, room)
+        got = list(packing.with_sum(lengths, rest, reach, room, None)) if reach[-1] >> room & 1 else []
+        assert len(got) == len(all_) and set(got) == all_
+        for i, f in enumerate(got):
+            assert list(packing.with_sum(lengths, rest, reach, room, f)) == got[i + 1 :]
 
 
 def test_op5_pieces_and_places(odd, none, tokenizer):
