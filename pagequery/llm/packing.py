@@ -292,7 +292,7 @@ def tokenised_pieces(documents: DataFrame, path: str, capacity: int, end: int) -
     """doc_id, piece, start, length, ids_crc32, with the task and the rank among the task's pieces of that length."""
 
     def cut(batches):
-        machine = machine_of(path)
+        machine = machine_of(path, True)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:

@@ -133,12 +133,27 @@ def test_op2_words_as_the_library(tokenizer):
 
 
 def test_op2_forgetting_changes_nothing(tokenizer, documents):
-    encode = token_count.load(token_count.tokenizer_path())
-    encode.most = 300
-    machine = token_count.Transducer(encode, states=400)
-    for r in documents.limit(40).collect():
-        codes, starts = token_count.read_texts(machine, list(token_count.spans([r.text]))[0])
-        assert machine.ids(codes).tolist() == ids_of(tokenizer, r.text) and starts[-1] == len(machine.ids(codes))
+    for ids in (True, False):
+        encode = token_count.load(token_count.tokenizer_path(), ids)
+        encode.most, encode.transducer.most = 300, 500
+        machine = token_count.Fields(encode, edges=400)
+        for r in documents.limit(40).collect():
+            codes, starts = token_count.read_texts(machine, list(token_count.spans([r.text]))[0])
+            assert starts[-1] == len(ids_of(tokenizer, r.text))
+            if ids:
+                assert machine.ids(codes).tolist() == ids_of(tokenizer, r.text)
+
+
+def test_op2_transducer_emits_what_the_library_counts(tokenizer):
+    transducer = token_count.Transducer(token_count.Vocabulary(token_count.tokenizer_path()))
+    rng = random.Random(5)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for letters in ("ab", "aet", "abcdefghijklmnopqrstuvwxyz", "éàtion") for _ in range(500)]
+    words += ["a" * n for n in range(1, 70)] + ["é" * n for n in range(1, 40)] + ["!" * n for n in range(1, 40)]
+    for w in words:
+        want = ids_of(tokenizer, w)
+        assert transducer.ids(w.encode()) == want and transducer.count(w.encode()) == len(want)
+    # a transition is a function of state and byte: emitted tokens add up to the same on every way
+    assert all(x & 255 < 64 for x in transducer.step.values()) and len(transducer.states) < len(words) * 20
 
 
 def test_op2_refuses_tokens_that_span_spaces():
@@ -158,10 +173,27 @@ def test_op2_composition_is_associative():
         text = "".join(rng.choice("ab c\n,") for _ in range(30)).encode()
         cuts = sorted(rng.sample(range(31), 4))
         maps = [token_count.chunk_map(text[a:b], machine) for a, b in itertools.pairwise([0, *cuts, len(text)])]
-        left = maps[0]
-        for m in maps[1:]:
-            left = token_count.compose(left, m, machine)
-        assert token_count.total(left, machine) == token_count.total(token_count.scan(maps, machine), machine) == token_count.total(token_count.chunk_map(text, machine), machine)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = token_count.compose(m, right, machine)
+        assert token_count.total(token_count.prefixes(maps, machine)[-1], machine) == token_count.total(right, machine) == token_count.total(token_count.chunk_map(text, machine), machine)
+
+
+def test_op2_prefixes_of_chunks(spark, tokenizer):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("the cat, sat é\n1") for _ in range(rng.randint(0, 300))) for _ in range(12)] + ["x" * 200, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {(r.key, r.ix): (r.tokens_before, bytes(r.open)) for r in token_count.token_offsets(df, "key", chunk_chars=10, block=3).collect()}
+    for key, text in enumerate(texts):
+        for ix in range(max(1, -(-len(text) // 10))):
+            before = text[: 10 * ix]
+            cut = max([i + 1 for i, c in enumerate(before) if c.isspace()], default=0)
+            assert got.pop((key, ix)) == (len(ids_of(tokenizer, before[:cut])), before[cut:].encode())
+    assert not got
+
+
+def test_op2_empty(none):
+    assert token_count.count_tokens(none).count() == 0
 
 
 # --- 3: WARC ----------------------------------------------------------------------------------------------------------
