@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import unicodedata
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one table that have no natural key get this one; inputs may hold any other column.
+#: The key of rows that have no natural one, in tables that hold no other column of an input but those named.
 ROW = "__pq_row"
 
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this session's own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this session's own where that is unset and all runs on one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="pagequery-")
@@ -39,9 +42,54 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row(df: DataFrame) -> DataFrame:
-    """A row key that a second reading of the same files repeats."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+#: Plans of these nodes alone give the same rows in the same partitions whenever they are read.
+SCANS = ("Relation", "Project", "Filter", "LocalRelation", "Union")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, or what it holds now as a stored table, unless it is read from files: a second reading gives each row the same key."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [x.lstrip(" :+-!").split(" ")[0].split("[")[0] for x in plan.splitlines() if x.strip()]
+    random = any(x in plan for x in ("rand(", "randn(", "uuid(", "monotonically_increasing_id", "spark_partition_id"))
+    return df if all(x in SCANS for x in nodes) and not random else stored(df, "input")
+
+
+def row_key() -> Column:
+    """The key of a row of a settled table."""
+    return F.monotonically_increasing_id()
+
+
+def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """ROW and these columns of a settled table."""
+    return df.select(row_key().alias(ROW), *columns)
+
+
+def free_name(df: DataFrame, name: str = ROW) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a settled table whose key is not in gone(row)."""
+    row = free_name(df)
+    gone = gone.select(F.col(gone.columns[0]).alias(free_name(df, "__pq_gone")))
+    keyed = df.withColumn(row, row_key())
+    return keyed.join(gone, keyed[row] == gone[gone.columns[0]], "left_anti").drop(row)
+
+
+def category(first: str) -> str:
+    """The characters of a Unicode category (all that begin so), as the inside of a character class."""
+    runs, start = [], None
+    for i in range(0x110001):
+        inside = i < 0x110000 and unicodedata.category(chr(i))[0] == first
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            runs.append(f"{chr(start)}-{chr(i - 1)}")
+            start = None
+    return "".join(runs)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, stored, table, with_row
+from .common import ROW, numbered, settled, stored, table, without
 from .components import components
 
 BITS, PIVOTS, TILE = 64, 24, 768
@@ -55,8 +55,7 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fp)], [ROW, "doc_id", "fp"])
 
-    df = documents if ROW in documents.columns else with_row(documents)
-    return df.select(ROW, "doc_id", "text").mapInArrow(run, f"{ROW} long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return numbered(documents, "doc_id", "text").mapInArrow(run, f"{ROW} long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def keys_of(fp, extra: int, radius: int) -> list:
@@ -167,7 +166,7 @@ def links_of(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def groups(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """row, doc_id, fp, kept (struct of doc_id and row: the least of the group) for each row of documents(doc_id, text)."""
+    """row, doc_id, fp, kept (struct of doc_id and row: the least of the group) for each row of documents(doc_id, text), which are settled."""
     made = stored(fingerprints(documents, words), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
     distinct = stored(made.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
@@ -182,14 +181,13 @@ def groups(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of documents(doc_id, text)."""
-    return groups(documents, words, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("kept.doc_id").alias("component_id"))
+    return groups(settled(documents), words, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("kept.doc_id").alias("component_id"))
 
 
 def deduplicated(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of documents without those whose group keeps another row."""
-    df = with_row(documents)
-    gone = groups(df.select(ROW, "doc_id", "text"), words, radius).where(F.col(ROW) != F.col(f"kept.{ROW}")).select(F.col(ROW).alias("__pq_gone"))
-    return df.join(gone, df[ROW] == gone["__pq_gone"], "left_anti").select(*[df[f"`{c}`"] for c in documents.columns])
+    documents = settled(documents)
+    return without(documents, groups(documents, words, radius).where(F.col(ROW) != F.col(f"kept.{ROW}")).select(ROW))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

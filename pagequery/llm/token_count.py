@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, release_memory, stored, table, with_row
+from .common import ROW, category, numbered, release_memory, settled, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -47,19 +47,7 @@ SPACES = b" \t\n\r\x0b\x0c"
 @lru_cache(maxsize=1)
 def any_words() -> re.Pattern:
     """The tokenizer's pattern of words, over all of Unicode."""
-
-    def kind(first: str) -> str:
-        runs, start = [], None
-        for i in range(0x110001):
-            inside = i < 0x110000 and unicodedata.category(chr(i))[0] == first
-            if inside and start is None:
-                start = i
-            elif not inside and start is not None:
-                runs.append(f"{chr(start)}-{chr(i - 1)}")
-                start = None
-        return "".join(runs)
-
-    letters, numbers = kind("L"), kind("N")
+    letters, numbers = category("L"), category("N")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|(?:[^\\s{letters}{numbers}]|[\\x1c-\\x1f])+")  # white space but for four that only Python has
 
 
@@ -553,7 +541,7 @@ def count_tokens(documents: DataFrame, path: str | None = None, limit: int = 204
     Texts of up to chunk_chars characters are one chunk. Longer ones are cut into chunks (256 at most, of chunk_chars at least)
     that are dealt over the cluster; a text's maps then meet by its row key, block by block."""
     path = path or tokenizer_path()
-    df = with_row(documents.select("doc_id", "text"))
+    df = numbered(settled(documents), "doc_id", "text")
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def short(batches):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagequery.llm import decontaminate, katz, language_id, licences, neighbours, packing, simhash, token_count, url_filter, warc
+from pagequery.llm.common import settled
 from pagequery.llm.components import components
 from pagequery.llm.queries import QUERIES
 
@@ -254,11 +256,38 @@ def test_op4_few_and_none(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_op4_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(df, k=3).collect())
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), c) for j, (c, w) in enumerate(rows) if j != i)[:3]
+            want.update((q, rank, c, round(-s, 6)) for rank, (s, c) in enumerate(near, 1))
+    assert got == want
+
+
+def test_op4_many_copies_and_sql(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vectors = [v.tolist() for v in rng.normal(size=(300, 6))]
+    rows = [(i, vectors[i % 7] if i % 3 else vectors[i]) for i in range(300)] + [(50, vectors[1]), (50, None), (None, vectors[2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = neighbours.op4_nearest_neighbours(spark, str(tmp_path)).toPandas()
+    want = by_sql(neighbours.ORACLE_SQL["op4_nearest_neighbours"], embeddings=df)
+    got["score"], want["score"] = got["score"].round(9), want["score"].round(9)
+    assert same_rows(got, want) and len(got) == 5 * sum(i is not None and i % 50 == 0 and v is not None for i, v in rows)
+
+
 def test_op4_bounds_hold():
     rng = np.random.default_rng(5)
-    a, b = (neighbours.Block(np.arange(50).tobytes(), rng.normal(size=(50, 33)).tobytes(), 33, "<f8") for _ in range(2))
+    x, y = rng.normal(size=(50, 33)), rng.normal(size=(50, 33)) * 1e200
+    a, b = (neighbours.Block.of(np.arange(50), v) for v in (x, y))
+    assert a.q.dtype == np.int8 and neighbours.Block.read(dict(zip(("dim", "n", "rows", "q", "scale", "size", "residual"), a.bytes(), strict=True))).product(b).tolist() == (a.q.astype(int) @ b.q.astype(int).T).tolist()
     dots = a.product(b) * (a.scale[:, None] * b.scale)
-    true = (a.x / np.sqrt(a.square)[:, None]) @ (b.x / np.sqrt(b.square)[:, None]).T
+    y = y / 1e200
+    true = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     assert (np.abs(dots - true) <= a.size[:, None] * b.residual + a.residual[:, None]).all()
 
 
@@ -393,23 +422,84 @@ def test_op7_finds_changed_passages(spark, documents):
         rows.append((1000 + r.item_id, "before it " + " ".join(w) + " after it"))
     shuffled = [(2000 + r.item_id, " ".join(rng.sample(r.text.split(), len(r.text.split())))) for r in items if len(r.text.split()) > 20]
     df = spark.createDataFrame([*rows, *shuffled, (1, None), (2, ""), (3, "short")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    benchmark = spark.createDataFrame([(r.item_id, r.text) for r in items] + [(900, None), (901, "two words"), (902, "five short words stand here")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(df, benchmark).collect()}
-    assert got == {(1000 + r.item_id, r.item_id) for r in items}
-    five = spark.createDataFrame([(5, "and Five short words, stand here! too")], "doc_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.contained(five, benchmark, block_seeds=50).collect()] == [(5, 902)]
+    benchmark = spark.createDataFrame([(r.item_id, r.text) for r in items] + [(900, None), (901, "two words"), (902, "five short words stand here"), (903, " ?! ")], "item_id long, text string")
+    want = {(1000 + r.item_id, r.item_id) for r in items}
+    for settings in ({}, {"block_seeds": 50}, {"block_seeds": 700, "passes": 99}, {"passes": 0}):
+        got = {(r.doc_id, r.item_id) for r in contained(df, benchmark, **settings).collect()}
+        assert got == want, settings
+    short = spark.createDataFrame([(5, "and Five short words, stand here! too"), (6, "five LONG words stand here"), (7, "these two words"), (8, "two other words"), (9, "five long words lie here")], "doc_id long, text string")
+    for settings in ({}, {"block_seeds": 50}, {"passes": 0}):
+        assert {(r.doc_id, r.item_id) for r in contained(short, benchmark, **settings).collect()} == {(5, 902), (6, 902), (7, 901)}
     kept = {r.doc_id for r in decontaminate.decontaminated(df, benchmark).collect()}
     assert kept == {1, 2, 3} | {i for i, _ in shuffled}
 
 
+def contained(documents, benchmark, **settings):
+    return decontaminate.contained(settled(documents), benchmark, **settings)
+
+
+def test_op7_alignment(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1000)]
+    item = rng.sample(words, 60)
+    filler = [f"f{i}" for i in range(4000)]
+    scattered = []
+    for at in range(0, 60, 9):  # all of the item, in pieces far apart
+        scattered += item[at : at + 9] + filler[at * 20 : at * 20 + 40]
+    moved = item[:15] + ["put", "in"] + item[15:30] + item[31:]
+    rows = [(1, " ".join(scattered)), (2, " ".join(moved)), (3, " ".join(filler[:50] + item[20:48] + filler[50:90])), (4, " ".join(item[:20])), (5, " ".join(item))]
+    rows += [(6, " ".join(filler * 10 + item + filler * 10)), (5, " ".join(item))]
+    long = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(filler[:1500]))], "item_id long, text string")
+    for settings in ({}, {"passes": 0}, {"block_seeds": 500}):
+        got = Counter((r.doc_id, r.item_id) for r in contained(spark.createDataFrame(rows, "doc_id long, text string"), long, **settings).collect())
+        assert {k: v for k, v in got.items() if k[1] == 7} == {(2, 7): 1, (3, 7): 1, (5, 7): 2, (6, 7): 1}, settings
+        assert (6, 8) in got
+
+
 def test_op7_seeds_are_brute_force(spark, documents):
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in benchmark.collect()}
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(documents, benchmark).collect()}
+    got = {(r.doc_id, r.item_id) for r in contained(documents, benchmark).collect()}
     whole = {(d.doc_id, i) for d in documents.collect() for i, t in items.items() if t in d.text}
     assert whole <= got and len(got) <= len(whole) + 3
-    assert decontaminate.contained(documents.limit(0), benchmark).count() == 0
-    assert decontaminate.contained(documents, benchmark.limit(0)).count() == 0
+    assert contained(documents.limit(0), benchmark).count() == 0
+    assert contained(documents, benchmark.limit(0)).count() == 0
+
+
+def test_op7_odd_rows(spark, odd, none):
+    benchmark = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran away"), (1, "the cat sat on the mat and the dog ran away"), (2, None), (3, ""), (4, "und der die das")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in contained(odd, benchmark).collect())
+    assert got == {(4, 1): 4, (7, 4): 1}
+    clash = odd.withColumns({"__pq_row": F.lit(7), "__pq_gone": F.lit(8)})
+    kept = decontaminate.decontaminated(clash, benchmark)
+    assert kept.columns == clash.columns and len(kept.collect()) == len(ODD) - 3 and {(r["__pq_row"], r["__pq_gone"]) for r in kept.collect()} == {(7, 8)}
+    assert decontaminate.decontaminated(none, benchmark).count() == 0 and decontaminate.decontaminated(odd, benchmark.limit(0)).count() == len(ODD)
+
+
+def by_sql(sql, **tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for name, df in tables.items():
+        c.register(name, df.toArrow() if hasattr(df, "toArrow") else df)
+    return c.execute(sql).df()
+
+
+def same_rows(ours, theirs):
+    text = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+    return text(ours) == text(theirs)
+
+
+def test_op7_sql(spark, documents, tmp_path):
+    items = spark.createDataFrame([(900, "five short words stand here"), (901, "one two"), (902, None), (903, "a b c d e f g h i j")], "item_id long, text string")
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(items)
+    more = spark.createDataFrame([(70001, "x five short WORDS stood here"), (70002, "one two"), (70003, None), (70004, "z a b c d e f g X i j a b c")], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    ours = decontaminate.op7_decontamination(spark, str(tmp_path))
+    assert same_rows(ours.toPandas(), by_sql(decontaminate.ORACLE_SQL["op7_decontamination"], documents=docs, benchmark=benchmark))
+    assert {70001, 70002, 70004} <= {r.doc_id for r in ours.collect()}
 
 
 # --- 8: languages -----------------------------------------------------------------------------------------------------
@@ -432,13 +522,61 @@ def test_op8_bundles_are_the_sum_of_bound_letters():
     assert (language_id.bundle(text, language_id.Trigrams()) == total).all()
 
 
-def test_op8_odd_rows(odd, none):
-    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(odd).collect()]
-    assert sum(1 for i, p, s in got if p == "und" and s == 0) == sum(1 for _, t, _ in ODD if not any(c.isalpha() for c in t or ""))
-    assert len(got) == len(ODD) and language_id.identify(none).count() == 0
-    kept = language_id.identified(odd)
-    assert kept.columns == odd.columns and all(any(c.isalpha() for c in r.text) for r in kept.collect())
+def test_op8_prediction_is_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()[:60]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+
+    def vector(text):
+        text = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+        total, padded = np.zeros(language_id.DIMENSIONS), f" {' '.join(text.split())} "
+        for (a, b, c), n in Counter(zip(padded, padded[1:], padded[2:], strict=False)).items():
+            total += n * np.roll(language_id.letter(ord(a)), 2).astype(float) * np.roll(language_id.letter(ord(b)), 1) * language_id.letter(ord(c))
+        return total
+
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang:
+            sums[r.lang] = sums.get(r.lang, 0) + vector(r.text)
+    names = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    unit -= unit.mean(0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for r, got in zip(sorted(rows, key=lambda r: r.doc_id), sorted(language_id.identify(df).collect(), key=lambda r: r.doc_id), strict=True):
+        v = vector(r.text)
+        cosines = unit @ v / np.linalg.norm(v)
+        assert got.score == pytest.approx(min(1, max(0, cosines.max())), abs=1e-5) and (got.lang_pred == names[int(cosines.argmax())] or np.ptp(np.sort(cosines)[-2:]) < 1e-6)
+
+
+NUMERALS = [(20, "½ ²"), (21, "①"), (22, "Ⅷ ٣"), (23, "\u0301\u094d"), (24, "__ -"), (25, "नमस्ते दुनिया"), (26, "a")]
+
+
+def test_op8_odd_rows(spark, odd, none):
+    rows = odd.unionByName(spark.createDataFrame(NUMERALS, "doc_id long, text string"), allowMissingColumns=True)
+    texts = [t for _, t, _ in ODD] + [t for _, t in NUMERALS]
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(rows).collect()]
+    assert {i for i, p, s in got if p == "und" and s == 0} >= {20, 21, 22, 23, 24}
+    assert sum(1 for i, p, s in got if p == "und" and s == 0) == sum(1 for t in texts if not any(unicodedata.category(c)[0] == "L" for c in t or ""))
+    assert len(got) == len(texts) and language_id.identify(none).count() == 0
+    assert language_id.letters("नमस्ते दुनिया") == "नमस्ते दुनिया"
+    clash = rows.withColumns({"__pq_lang": F.lit("mine"), "__pq_near": F.lit(1)})
+    kept = language_id.identified(clash)
+    assert kept.columns == clash.columns and all(any(c.isalpha() for c in r.text) and r["__pq_lang"] == "mine" for r in kept.collect())
+    assert language_id.identified(none).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    with pytest.raises(ValueError, match="languages"):
+        language_id.prototypes(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), languages=1)
+
+
+def test_op8_rejects_what_is_in_no_language_learnt(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["Привет мир, это русский текст и больше ничего", "これは日本語の文章です。とても短い。", "مرحبا بالعالم هذا نص طويل", "안녕하세요 세계 이것은 글입니다", "zxqj vvkq wpzzx qqxj jjqz"]
+    more = df.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(100_000 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language_id.identified(more).select("doc_id").collect()}
+    clean = {r.doc_id for r in df.collect()}
+    assert not kept - clean and len(clean - kept) <= 0.002 * len(clean)
+    german = {r.doc_id for r in language_id.identified(more, wanted=("de",)).select("doc_id").collect()}
+    of = {r.doc_id for r in df.where("lang = 'de'").collect()}
+    assert len(german ^ of) <= 0.02 * len(of)
 
 
 # --- 9: Katz ----------------------------------------------------------------------------------------------------------
