@@ -2,7 +2,8 @@
 
 Fingerprints of 64 bits link at ``radius`` (3) or fewer differing bits; documents of one component form a group.
 
-Distinct fingerprints are stored with a table of their Hamming distances to ``PIVOTS`` reference fingerprints. By the triangle
+Distinct fingerprints are stored with a table of their Hamming distances to ``PIVOTS`` reference fingerprints (a byte each, eight to a
+long), which goes with them wherever pairs meet. By the triangle
 inequality two fingerprints within the radius differ by at most the radius in every coordinate, so a pair with a larger coordinate
 difference is discarded unseen; what survives is verified on all bits. The distances of unrelated fingerprints to a reference
 concentrate (32 with a deviation of 4, against a radius of 3), so that a coordinate alone halves the pairs at best, and no set of
@@ -70,6 +71,18 @@ def keys_of(fp, extra: int, radius: int) -> list:
     return out
 
 
+def pivot_columns(fp) -> dict:
+    """The fingerprint's distances to the references, packed."""
+    signed = REFERENCES.view(np.int64).tolist()
+    one = lambda i: F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed[i]))).cast("long"), 8 * (i % 8))
+    return {f"pivots_{k}": sum((one(8 * k + i) for i in range(1, 8)), one(8 * k)) for k in range(PIVOTS // 8)}
+
+
+def distances(columns: list[np.ndarray]) -> np.ndarray:
+    """A row of distances for each fingerprint, from its packed columns."""
+    return np.stack(columns, 1).astype("<i8").view(np.uint8).astype(np.int16)
+
+
 def near_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, table_: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i, j) those within the radius: the pivot table discards, the bits verify."""
     for p in range(0, table_.shape[1], 4):  # four coordinates at a time
@@ -96,9 +109,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def tile_links(x: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(x: np.ndarray, table_: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member reached) within each group of a run that is sorted by group; side: 0 to compare all, else parts 1 and 2 to compare across."""
-    table_ = np.bitwise_count(x[:, None] ^ REFERENCES[None, :]).astype(np.int16)
     starts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
     size = np.diff(np.r_[starts, len(group)])
     end = np.repeat(starts + size, size)
@@ -122,12 +134,13 @@ def tile_links(x: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int)
 
 
 def links_of(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """a, b: links within the radius between the distinct fingerprints, enough of them to connect all that are linked."""
+    """a, b: links within the radius between the fingerprints of distinct(fp, pivots), enough of them to connect all that are linked."""
+    pivots = [f"pivots_{k}" for k in range(PIVOTS // 8)]
     n = distinct.count()
     extra = 0
     while extra < 4 and (1 + extra) * BITS // (radius + 1 + extra) < np.log2(max(n, 2)) - 2:  # few unrelated rows share a key
         extra += 1
-    keyed = distinct.select("fp", F.explode(F.array(*keys_of(F.col("fp"), extra, radius))).alias("key")).select("fp", "key.choice", "key.bits")
+    keyed = distinct.select("fp", *pivots, F.explode(F.array(*keys_of(F.col("fp"), extra, radius))).alias("key")).select("fp", *pivots, "key.choice", "key.bits")
     keyed = stored(keyed, "keys")
     hot = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
     hot = stored(hot.select("choice", "bits", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "hot")
@@ -138,14 +151,14 @@ def links_of(distinct: DataFrame, radius: int = 3) -> DataFrame:
         part = F.pmod(F.xxhash64("fp", F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int")
         joined = joined.withColumn("mine", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        tiled = joined.select("fp", "choice", "bits", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), side.alias("side"))
+        tiled = joined.select("fp", *pivots, "choice", "bits", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), side.alias("side"))
     group = ("choice", "bits", "a", "b")
     tiled = tiled.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches):
         held = None
         for batch in batches:
-            rows = {k: batch.column(k).to_numpy() for k in ("fp", *group, "side")}
+            rows = {k: batch.column(k).to_numpy() for k in ("fp", *pivots, *group, "side")}
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
             last = np.nonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in (rows[k] for k in group)]))[0]
@@ -159,7 +172,7 @@ def links_of(distinct: DataFrame, radius: int = 3) -> DataFrame:
     def out(rows):
         x = rows["fp"].view(np.uint64)
         changes = np.logical_or.reduce([np.r_[False, rows[k][1:] != rows[k][:-1]] for k in group])
-        i, j = tile_links(x, np.cumsum(changes), rows["side"], radius)
+        i, j = tile_links(x, distances([rows[k] for k in pivots]), np.cumsum(changes), rows["side"], radius)
         return pa.RecordBatch.from_arrays([pa.array(rows["fp"][i]), pa.array(rows["fp"][j])], ["a", "b"])
 
     return tiled.mapInArrow(run, "a long, b long")
@@ -169,8 +182,8 @@ def groups(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """row, doc_id, fp, kept (struct of doc_id and row: the least of the group) for each row of documents(doc_id, text), which are settled."""
     made = stored(fingerprints(documents, words), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    distinct = stored(made.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    found = components(links_of(distinct.select("fp"), radius))
+    distinct = stored(made.groupBy("fp").agg(F.min(first).alias("first")).withColumns(pivot_columns(F.col("fp"))), "distinct")
+    found = components(links_of(distinct, radius))
     roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = stored(roots, "roots")
     least = roots.groupBy("root").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("n"))

@@ -1,13 +1,19 @@
 """WARC derivatives: a metadata record and a plain-text conversion record for each response record.
 
 Both refer to their source (WARC-Refers-To, its target URI and date), keep the source's headers and digests, and carry digests of
-their own. Record ids are name-based UUIDs of the source's id and the record's kind, so a repeated run gives the same records.
+their own. The source's digests are those that its record states; the payload's is computed from its bytes where none is stated,
+and compared where one is (``digest_state``). Record ids are name-based UUIDs of the source's id and the record's kind, so a repeated run gives the same records.
 
 Records are rows; ``written`` serialises them to WARC files through Spark's text writer, record by record, so files go wherever
-Spark can write; ``responses_of_files`` reads WARC files back into rows.
+Spark can write; ``responses_of_files`` reads WARC files back into rows, a record at a time.
 
-Defined results: a null payload is empty, a null URL is left out of the headers; both still give two records. Repeated rows give
-repeated records with the same ids. Markup that is not closed runs to the end of the page. An empty table gives an empty result.
+Pages are read in one pass over their marks: every pattern matches wherever it begins, so time is in proportion to the length of any page.
+
+Defined results: a null payload is empty, a null URL is left out of the headers; both still give two records. A source without an id
+is named by its URL, date and payload, and referred to by these alone. Bytes that are no text of the charset that the source's headers name (else UTF-8) become
+U+FFFD in the derivatives; digests and lengths are those of the bytes. Repeated rows give
+repeated records with the same ids. Markup that is not closed runs to the end of the page. Line ends in a URL are percent-encoded in
+headers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import html
 import io
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +35,17 @@ from .common import table
 
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 #: Elements whose content is no text, and elements that end a line.
-SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
-TAG = re.compile(r"<(?:[a-z/!?][^>]*(?:>|\Z))", re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+SILENT = frozenset("script style template noscript".split())
+BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
+)
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>[^>]*)(?:>|\Z)|<[/!?][^>]*(?:>|\Z)", re.S | re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+CHARSET = re.compile(r"^content-type:[^\r\n]*?charset=\s*[\"']?([\w.:-]+)", re.I | re.M)
 
-SOURCE = "source_id string, target_uri string, date string, headers string, payload string"
-RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_digest string, headers string, block string"
+SOURCE = "source_id string, target_uri string, date string, headers string, payload binary, payload_digest string, block_digest string"
+RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_digest string, source_block_digest string, digest_state string, headers string, block string"
 
 
 def digest(data: bytes) -> str:
@@ -47,33 +56,72 @@ def urn(kind: str, source_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind} {source_id}')}>"
 
 
-def plain_text(page: str) -> str:
-    """The text of an HTML page: a line for each block, white space collapsed, character references resolved."""
-    page = TAG.sub("", BREAKS.sub("\n", SILENT.sub(" ", page)))
-    lines = (" ".join(html.unescape(x).split()) for x in page.split("\n"))
-    return "\n".join(x for x in lines if x)
-
-
-def fields(page: str, source: dict, source_digest: str) -> str:
-    """The metadata block: application/warc-fields."""
-    title = TITLE.search(page)
-    language = LANGUAGE.search(page)
-    out = [("via", source["target_uri"]), ("source-payload-digest", source_digest), ("source-payload-length", str(len(page.encode())))]
-    out += [("title", " ".join(html.unescape(TAG.sub("", title[1])).split()) if title else None), ("language", language[1] if language else None)]
-    out += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in LINK.findall(SILENT.sub(" ", page))]
-    return "".join(f"{k}: {v}\r\n" for k, v in out if v)
+def one_line(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+class Page:
+    """What derivatives need of a page: its text (a line for each block, white space collapsed, references resolved), title, language and links."""
+
+    def __init__(self, page: str):
+        parts, title, links = [], None, []
+        self.language, at, in_title = None, 0, False
+        while m := MARK.search(page, at):
+            parts.append(page[at : m.start()])
+            if in_title:
+                title.append(parts[-1])
+            at, name = m.end(), (m["name"] or "").lower()
+            if name in SILENT and not m["end"]:
+                parts.append(" ")
+                closing = CLOSING[name].search(page, at)
+                at = closing.end() if closing else len(page)
+            elif not name and m[0].startswith("<!--"):
+                parts.append(" ")
+            elif name in BREAKS:
+                parts.append("\n")
+            if name == "title":
+                in_title = not m["end"] and title is None
+                title = [] if title is None else title
+            elif name == "a" and not m["end"]:
+                links.append(self.attribute(m["rest"], "href"))
+            elif name == "html" and not m["end"] and self.language is None:
+                self.language = self.attribute(m["rest"], "lang")
+        parts.append(page[at:])
+        if in_title:
+            title.append(parts[-1])
+        self.title = one_line("".join(title)) if title else None
+        self.links = [x for x in map(one_line, filter(None, links)) if x]
+        lines = map(one_line, "".join(parts).split("\n"))
+        self.text = "\n".join(x for x in lines if x)
+
+    @staticmethod
+    def attribute(tag: str, name: str) -> str | None:
+        return next((a or b or c for k, a, b, c in ATTRIBUTE.findall(tag) if k.lower() == name), None)
+
+
+def decoded(payload: bytes, headers: str | None) -> str:
+    named = CHARSET.search(headers or "")
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def derived(source: dict) -> list[dict]:
-    page = source["payload"] or ""
-    of_source = digest(page.encode())
-    made = [("metadata", "application/warc-fields", fields(page, source, of_source)), ("conversion", "text/plain; charset=utf-8", plain_text(page))]
-    out = []
+    payload = source["payload"] or b""
+    computed, stated = digest(payload), source["payload_digest"]
+    same = stated and stated.lower().removeprefix("sha1:") == computed.lower().removeprefix("sha1:")
+    state = "computed" if not stated else "verified" if same else "unknown algorithm" if not stated.lower().startswith("sha1:") else "different"
+    page = Page(decoded(payload, source["headers"]))
+    facts = [("via", source["target_uri"] and one_line(source["target_uri"])), ("source-payload-digest", stated or computed), ("source-block-digest", source["block_digest"]), ("source-digest-state", state)]
+    facts += [("source-payload-length", str(len(payload))), ("title", page.title), ("language", page.language and one_line(page.language)), *(("outlink", x) for x in page.links)]
+    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts if v)), ("conversion", "text/plain; charset=utf-8", page.text)]
+    name, out = source["source_id"] or f"{source['target_uri']} {source['date']} {computed}", []
     for kind, content, block in made:
         data = block.encode()
-        record = {"record_id": urn(kind, source["source_id"]), "record_type": kind, "refers_to": source["source_id"], "target_uri": source["target_uri"], "date": source["date"], "content_type": content}
-        record |= {"content_length": len(data), "block_digest": digest(data), "source_digest": of_source, "headers": source["headers"], "block": block}
-        out.append(record)
+        record = {"record_id": urn(kind, name), "record_type": kind, "refers_to": source["source_id"], "target_uri": source["target_uri"], "date": source["date"], "content_type": content}
+        record |= {"content_length": len(data), "block_digest": digest(data), "source_digest": stated or computed, "source_block_digest": source["block_digest"], "digest_state": state}
+        out.append(record | {"headers": source["headers"], "block": block})
     return out
 
 
@@ -85,8 +133,8 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 64):
+                part = batch.slice(start, 64)
                 rows = [r for s in part.select(names).to_pylist() for r in derived(s)]
                 twice = pa.array([i for i in range(len(part)) for _ in (0, 1)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(twice) for c in keep), *(pa.array([r[k] for r in rows], pa.int64() if k == "content_length" else pa.string()) for k in record_names)], [*keep, *record_names])
@@ -96,18 +144,20 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def serialised(records: DataFrame) -> DataFrame:
     """The column value: a record's bytes as WARC 1.1, without the last line feed."""
+    uri = F.replace(F.replace("target_uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
         F.concat(F.lit("WARC-Record-ID: "), "record_id"),
         F.concat(F.lit("WARC-Date: "), "date"),
-        F.concat(F.lit("WARC-Target-URI: "), "target_uri"),
+        F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.concat(F.lit("WARC-Refers-To-Target-URI: "), "target_uri"),
+        F.concat(F.lit("WARC-Refers-To-Target-URI: "), uri),
         F.concat(F.lit("WARC-Refers-To-Date: "), "date"),
         F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
         F.concat(F.lit("X-Source-Payload-Digest: "), "source_digest"),
+        F.concat(F.lit("X-Source-Block-Digest: "), "source_block_digest"),
         F.concat(F.lit("X-Source-Headers: "), F.regexp_replace("headers", r"\s*[\r\n]+\s*", " | ")),
         F.concat(F.lit("Content-Type: "), "content_type"),
         F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
@@ -120,11 +170,11 @@ def written(records: DataFrame, path: str, compression: str = "gzip") -> None:
     serialised(records).write.option("compression", compression).option("lineSep", "\n").text(path)
 
 
-def parsed(data: bytes) -> list[dict]:
-    """The records of a WARC file (gzip or plain): their headers in lower case, and block."""
+def parsed(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file (gzip or plain), one at a time: their headers in lower case, and block."""
+    stream = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    out, stream = [], io.BytesIO(data)
+        stream = gzip.GzipFile(fileobj=stream)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -132,33 +182,43 @@ def parsed(data: bytes) -> list[dict]:
         while (line := stream.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             header[k.strip().lower()] = v.strip()
-        out.append(header | {"block": stream.read(int(header.get("content-length", 0)))})
-    return out
+        yield header | {"block": stream.read(int(header.get("content-length", 0)))}
 
 
-def responses_of_files(files: DataFrame) -> DataFrame:
-    """SOURCE rows of the response records in files(content binary), as of spark.read.format("binaryFile"); the HTTP header goes to headers."""
+def responses_of_files(files: DataFrame, batch_bytes: int = 1 << 23) -> DataFrame:
+    """SOURCE rows of the response records in files(content binary), as of spark.read.format("binaryFile"); the HTTP header goes to headers.
+
+    A task holds its file as it is stored, and decompressed no more than a record and batch_bytes."""
+    names = [x.split()[0] for x in SOURCE.split(", ")]
+    kinds = [pa.binary() if " binary" in x else pa.string() for x in SOURCE.split(", ")]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
 
     def run(batches):
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = []
-                for r in parsed(data):
+            for data in batch.column("content"):
+                rows, size = [], 0
+                for r in parsed(data.as_py() or b""):
                     if r.get("warc-type") == "response":
                         head, _, body = r["block"].partition(b"\r\n\r\n")
-                        rows.append((r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 5, [x.split()[0] for x in SOURCE.split(", ")])
+                        rows.append((r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-date"), head.decode("utf-8", "replace"), body, r.get("warc-payload-digest"), r.get("warc-block-digest")))
+                        size += len(body)
+                        if size > batch_bytes:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                yield batch_of(rows)
 
     return files.select("content").mapInArrow(run, SOURCE)
 
 
 def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """SOURCE rows, with page_id, of pages(page_id, url, html); the id is a UUID of the page's id and URL."""
+    """SOURCE rows (without digests, which pages have none of), with page_id, of pages(page_id, url, html); the id is a UUID of the page's id and URL."""
     name = F.md5(F.concat_ws(" ", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))))
     source_id = F.regexp_replace(name, r"^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "<urn:uuid:$1-$2-3$3-8$4-$5>")
     length = F.coalesce(F.octet_length("html"), F.lit(0))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"))
-    return pages.select("page_id", source_id.alias("source_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), headers.alias("headers"), F.col("html").alias("payload"))
+    return pages.select("page_id", source_id.alias("source_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), headers.alias("headers"), F.col("html").cast("binary").alias("payload"), F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("string").alias("block_digest"))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
