@@ -1,11 +1,10 @@
 """Text from character boxes: chars(doc_id, page_no, text, x0, x1, y1).
 
-Which characters make a line depends on the line's first character, so that step folds over a page's characters, a group a page.
+Which characters make a line depends on the line's first character: a fold over a page's distinct heights finds where lines begin.
 All spacing is windows over the lines."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +15,15 @@ PAGE = ("doc_id", "page_no")
 def line_groups(chars: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """chars with line (from 0, top first) and place (from 0, by x0): a line holds what is within the tolerance of its first character's height."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y1", "x0"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        line, anchor, out = -1, None, []
-        for y in pdf["y1"]:
-            if anchor is None or abs(y - anchor) > tolerance:
-                line, anchor = line + 1, y
-            out.append(line)
-        pdf["line"] = out
-        pdf = pdf.sort_values(["line", "x0"], kind="stable")
-        pdf["place"] = pdf.groupby("line").cumcount()
-        return pdf
-
-    kind = chars.schema["doc_id"].dataType.simpleString()
-    return chars.select(*PAGE, "text", "x0", "x1", "y1").groupBy(*PAGE).applyInPandas(run, f"doc_id {kind}, page_no int, text string, x0 double, x1 double, y1 double, line int, place int")
+    def fold(begun: Column, y: Column) -> Column:
+        return F.when(F.coalesce(F.abs(F.element_at(begun, -1) - y) <= tolerance, F.lit(False)), begun).otherwise(F.concat(begun, F.array(y)))
+
+    df = chars.select(*PAGE, "text", "x0", "x1", "y1")
+    heights = df.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y1"), False).alias("heights"))
+    begun = F.aggregate(F.slice("heights", 2, F.size("heights")), F.slice("heights", 1, 1), fold)
+    df = df.join(heights.select(*PAGE, begun.alias("begun")), list(PAGE))
+    df = df.withColumn("line", F.size(F.filter("begun", lambda y: y >= F.col("y1"))) - 1).drop("begun")
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE, "line").orderBy("x0", F.desc("y1"))) - 1)
 
 
 def spacing(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ Names start with the operator that a query shows. Every query runs over whole ta
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,12 @@ def on_sources(f: Callable[[DataFrame], DataFrame]):
     return lambda spark, sf_dir: f(relations.source_pages(spark, sf_dir))
 
 
+def quietly(f: Callable[[], DataFrame]) -> DataFrame:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return f()
+
+
 def rows(pages: DataFrame, expression: str) -> DataFrame:
     return PageQuery(pages).select(expression).rows
 
@@ -140,6 +147,9 @@ query("f9_ordered_pages", on_conversations(lambda p: PageQuery(p).select(LIST).p
 query("f6_groups", on_conversations(lambda p: groups.nested(rows(p, LIST)).select("doc_id", "group_ix", F.array_join("pages", ",").alias("pages"), groups.consecutive(F.col("pages")).alias("consecutive"))), f"WITH {LIST_SQL} SELECT doc_id, group_ix, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY pos) AS pages, count(*) > 1 AND max(page_no) - min(page_no) + 1 = count(*) AS consecutive FROM l GROUP BY 1, 2")
 query("f8_range_group", on_conversations(lambda p: relations.document_info(p).select("doc_id", F.array_join(groups.range_group(F.col("page_count"), F.lit(3)), ",").alias("pages"))), f"WITH {CONVERSATIONS}, d AS (SELECT doc_id, max(page_no) AS n FROM p GROUP BY 1), u AS (SELECT doc_id, unnest(generate_series(least(n, 3), greatest(n, 3))) AS x FROM d) SELECT doc_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS pages FROM u GROUP BY 1")
 
+query("i4_dedup_none", on_conversations(lambda p: groups.dedup(rows(p, LIST), "none")), f"WITH {LIST_SQL} SELECT {ROWS} FROM l")
+query("i4_dedup_warn", on_conversations(lambda p: quietly(lambda: groups.dedup(rows(p, LIST), "warn"))), ORACLE_SQL["i2_dedup_strict"])
+query("f6_ordered_group", on_conversations(lambda p: groups.nested(rows(p, LIST)).select("doc_id", "group_ix", groups.ordered_group(F.flatten(F.array("pages", "pages")), F.col("spec")).alias("g")).select("doc_id", "group_ix", F.array_join("g.pages", ",").alias("pages"), "g.is_range")), f"WITH {LIST_SQL}, a AS (SELECT doc_id, group_ix, list(page_no ORDER BY pos) AS ps FROM l GROUP BY 1, 2) SELECT doc_id, group_ix, CASE WHEN group_ix = 2 THEN array_to_string(list_concat(ps, ps), ',') ELSE array_to_string(list_sort(ps), ',') END AS pages, group_ix <> 2 AND len(ps) > 1 AND list_max(ps) - list_min(ps) + 1 = len(ps) AS is_range FROM a")
 SPLIT_SQL = f"{CONVERSATIONS}, f AS (SELECT doc_id, page_no, contains(text, 'la') AS a, contains(text, 'and') AS b FROM p), g AS (SELECT *, CASE WHEN page_no = min(page_no) OVER (PARTITION BY doc_id) OR a OR coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY page_no), false) THEN 1 ELSE 0 END AS o FROM f), h AS (SELECT doc_id, page_no, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY page_no) AS INTEGER) AS group_ix FROM g)"
 query("g2_split", on_conversations(lambda p: groups.split_at(rows(p, "all"), p, "contains:'la'", "contains:'and'")), f"WITH {SPLIT_SQL}, c AS (SELECT doc_id, group_ix, min(page_no) AS lo, max(page_no) AS hi FROM h GROUP BY 1, 2) SELECT h.doc_id, h.group_ix, page_no AS pos, page_no, CASE WHEN lo = hi THEN 'page' || lo ELSE 'pages' || lo || '-' || hi END AS spec, hi > lo AS is_range, false AS preserve_order FROM h JOIN c ON c.doc_id = h.doc_id AND c.group_ix = h.group_ix")
 query("g3_split_list", on_conversations(lambda p: groups.nested(groups.split_at(rows(p, "odd"), p, "contains:'the'")).select("doc_id", "group_ix", "spec", "is_range")), f"WITH {CONVERSATIONS}, f AS (SELECT doc_id, page_no, contains(text, 'the') AS a FROM p WHERE page_no % 2 = 1), h AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN page_no = 1 OR a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no) AS INTEGER) AS group_ix FROM f) SELECT doc_id, group_ix, CASE WHEN count(*) = 1 THEN 'page' || min(page_no) ELSE 'pages' || string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) END AS spec, count(*) > 1 AS is_range FROM h GROUP BY 1, 2")
@@ -206,6 +216,16 @@ per_document("o24_cells", on_documents(lambda: names.clean_cell(F.col("text"))),
 query("o25_numbers", lambda s, d: relations.read(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(names.looks_like_number(F.concat(F.lit("$ "), F.format_number("l_extendedprice", 2))).cast("long")).alias("n")), "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
 query("o26_sizes", on_sources(lambda p: p.select("doc_id", "page_no", format_size(F.col("size_bytes")).alias("value"))), f"WITH {SOURCES} SELECT doc_id, page_no, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024) ELSE printf('%.1f MB', size_bytes / 1048576) END AS value FROM p")
 per_document("o31_hashes", on_documents(lambda: names.content_hash(F.col("text"))), "sha256(text)")
+per_document("o8_trim_warnings", on_documents(lambda: F.size(trimming.trim_warnings(F.col("text"), [("ch", 40), ("wd", 5), ("ln", 1), ("nb", 1)]))), f"CAST((length(text) <= 40)::INT + (len({WORDS}) <= 5)::INT + (len(string_split(text, chr(10))) <= 1)::INT AS INTEGER)")
+CONTENT = r"regexp_replace(regexp_replace({0}, '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+for kind, bare in (("number", r"regexp_replace({0}, '[^0-9.\-]', '-', 'g')"), ("date", r"regexp_replace(regexp_replace({0}, '[/\\]', '-', 'g'), '(?:,|\s+)+', '-', 'g')")):
+    part = "substr(text, 1, 60)"
+    found = CONTENT.format(bare.format(TRIM.format(part)))
+    per_document(f"o11_content_{kind}", on_documents(lambda kind=kind: names.sanitize_content(F.left("text", F.lit(60)), kind)), f"CASE WHEN NOT regexp_matches({part}, '\\S') THEN 'empty' WHEN {found} = '' THEN 'content' ELSE {found} END")
+LANGUAGE = "nullif(regexp_extract(url, '://[^/]*/([a-z]+)/', 1), '')"
+query("o27_smart_names", lambda s, d: relations.read(s, d, "pages").select("page_id", names.smart_name("{lang}-{range}", {"lang": F.nullif(F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1), F.lit(""))}, F.lit("stem"), F.lit("2-4")).alias("value")), f"SELECT page_id, CASE WHEN {LANGUAGE} IS NULL THEN 'stem_pages2-4.pdf' ELSE {LANGUAGE} || '-2-4.pdf' END AS value FROM pages")
+query("o32_estimates", lambda s, d: relations.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", names.estimated_pages(F.concat_ws("-", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("9")))).alias("value")), "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 9 - l_linenumber + 1 ELSE 1 END AS INTEGER) AS value FROM lineitem")
+query("o28_lists", lambda s, d: relations.read(s, d, "orders").select("o_orderkey", names.estimated_pages(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.lit(" 7"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")))).alias("value")), "SELECT o_orderkey, CAST(2 AS INTEGER) AS value FROM orders")
 query("j11_table_stats", lambda s, d: analysis.table_stats(relations.read(s, d, "documents").select("text", "lang", "source")).select("rows", "columns", "empty_cells", "filled_cells"), r"SELECT count(*) AS rows, CAST(3 AS INTEGER) AS columns, count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS empty_cells, 3 * count(*) - count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS filled_cells FROM documents")
 
 # --- extraction -------------------------------------------------------------------------------------------------------
@@ -218,8 +238,57 @@ query("l23_scrape", on_sources(lambda p: extract.scrape(p, SCRAPE)), r"""WITH ""
  SELECT filename, page, coalesce(licence, '') AS licence, coalesce(before, '') AS before FROM o WHERE licence IS NOT NULL OR before IS NOT NULL""")
 query("l22_keyword_words", on_sources(lambda p: extract.legacy_matches(p, "licens").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))), rf"WITH {SOURCES}, w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: contains(lower(x), 'licens'))) AS word FROM p) SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2")
 COMPACT = ["version=Version:r1nb1pg0mt0", "licence=License:wd1pg0", "by=Licensed:r1wd3-pg0mt-1"]
-query("l15_extract", on_sources(lambda p: extract.extract(p, parse_patterns(COMPACT)).select("doc_id", "variable", "success", "n_matches", F.array_join("selected", "|").alias("selected"))))
-query("l17_variables", on_sources(lambda p: extract.variables(p, parse_patterns(COMPACT))))
+#: x: the words of pages by line and place, with the line's words (w), the words after (x1, x2, x3), the page's lines (ls), and c, the word's letters and digits.
+PAGE_WORDS = SOURCES + r""", l AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM p),
+ v AS (SELECT *, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM l),
+ u AS (SELECT *, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS word FROM v),
+ x AS (SELECT *, regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') AS c, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3 FROM u WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY line, word))"""
+NUMBER = "'-?[0-9]+(?:[.,][0-9]+)*'"
+EXTRACTED = PAGE_WORDS + rf""", m AS (SELECT doc_id, 0 AS pattern, page_no, line, word, nullif(regexp_extract(array_to_string(w[least(n - 1, word + 1) + 1:], ' '), {NUMBER}), '') AS value FROM x WHERE contains(c, 'version')
+  UNION ALL SELECT doc_id, 1, page_no, line, word, x FROM x WHERE contains(c, 'license')
+  UNION ALL SELECT doc_id, 2, page_no, line, word, CASE WHEN word < n - 1 THEN concat_ws(' ', x1, x2, x3) ELSE concat_ws(' ', x, x1, x2) END FROM x WHERE contains(c, 'licensed')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pattern ORDER BY page_no, line, word) AS place, count(*) OVER (PARTITION BY doc_id, pattern) AS k FROM m),
+ s AS (SELECT doc_id, pattern, max(k) AS k, count(*) FILTER (WHERE pattern = 0 OR pattern = 1 AND place = 1 OR pattern = 2 AND place = k) > 0 AS success,
+   list(value ORDER BY place) FILTER (WHERE pattern = 0 OR pattern = 1 AND place = 1 OR pattern = 2 AND place = k) AS got FROM r GROUP BY 1, 2),
+ a AS (SELECT d.doc_id, n.i AS pattern, n.variable, coalesce(success, false) AS success, coalesce(k, 0) AS k, got FROM (SELECT DISTINCT doc_id FROM p) d CROSS JOIN (VALUES (0, 'version'), (1, 'licence'), (2, 'by')) n(i, variable) LEFT JOIN s ON s.doc_id = d.doc_id AND s.pattern = n.i)"""
+query("l15_extract", on_sources(lambda p: extract.extract(p, parse_patterns(COMPACT)).select("doc_id", "variable", "success", "n_matches", F.array_join("selected", "|").alias("selected"))), f"WITH {EXTRACTED} SELECT doc_id, variable, success, CAST(k AS INTEGER) AS n_matches, coalesce(array_to_string(list_filter(got, lambda y: y IS NOT NULL), '|'), '') AS selected FROM a")
+query("l17_variables", on_sources(lambda p: extract.variables(p, parse_patterns(COMPACT))), f"WITH {EXTRACTED} SELECT doc_id, " + ", ".join(f"max(CASE WHEN pattern = {i} THEN CASE WHEN success THEN got[1] ELSE 'No_Match' END END) AS {v}" for i, v in enumerate(("version", "licence", "by"))) + " FROM a GROUP BY 1")
+query("l14_warnings", on_sources(lambda p: extract.extract(p, parse_patterns(COMPACT)).select("doc_id", "variable", F.array_join("warnings", ";").alias("warnings"))), f"WITH {EXTRACTED} SELECT doc_id, variable, CASE WHEN k = 0 THEN 'keyword ' || chr(39) || (['Version', 'License', 'Licensed'])[pattern + 1] || chr(39) || ' not found' WHEN NOT success THEN 'no such match' WHEN len(got) > 1 THEN 'several matches' ELSE '' END AS warnings FROM a")
+
+#: Moves (L10), words, lines and numbers (L11 to L13), all of a line and flexible ones, each with the content by SQL over x.
+WALKS = {
+    "License:u1ln1": "ls[greatest(line - 1, 0) + 1]",
+    "License:d1ln2": "array_to_string(ls[least(line + 1, len(ls) - 1) + 1:least(line + 1, len(ls) - 1) + 2], chr(10))",
+    "License:l2wd2": "array_to_string(w[greatest(word - 2, 0) + 1:greatest(word - 2, 0) + 2], ' ')",
+    "License:wd0": "array_to_string(w[word + 1:], ' ')",
+    "License:d1wd1": "list_filter(string_split_regex(ls[least(line + 1, len(ls) - 1) + 1], '\\s+'), lambda y: y <> '')[1]",
+    "License:nb2": f"nullif(array_to_string(regexp_extract_all(array_to_string(w[word + 1:], ' '), {NUMBER})[1:2], ' '), '')",
+    "License:r1wd3-": "CASE WHEN word < n - 1 THEN concat_ws(' ', x1, x2, x3) ELSE concat_ws(' ', x, x1, x2) END",
+    "License:ln1": "ls[line + 1]",
+}
+WALKS_SQL = " UNION ALL ".join(f"SELECT doc_id, page_no, CAST({i} AS INTEGER) AS pattern, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, {sql} AS extracted FROM x WHERE contains(c, 'license')" for i, sql in enumerate(WALKS.values()))
+# a start of a blank line is no place, and gives nothing
+WALKS_SQL = WALKS_SQL.replace("ls[greatest(line - 1, 0) + 1] AS", r"CASE WHEN regexp_matches(ls[greatest(line - 1, 0) + 1], '\S') THEN ls[greatest(line - 1, 0) + 1] END AS").replace("array_to_string(ls[least", r"CASE WHEN regexp_matches(ls[least(line + 1, len(ls) - 1) + 1], '\S') THEN array_to_string(ls[least").replace(":least(line + 1, len(ls) - 1) + 2], chr(10)) AS", ":least(line + 1, len(ls) - 1) + 2], chr(10)) END AS")
+query("l10_walks", on_sources(lambda p: extract.matches(p, parse_patterns([f"v{i}={x}" for i, x in enumerate(WALKS)])).select("doc_id", "page_no", "pattern", "line", "word", "extracted")), f"WITH {PAGE_WORDS} {WALKS_SQL}")
+TRIMMED = ["value=License:r1wd4_^ch1$ch2pg0mt0", "single=License:wd2pg2", "later=License:wd1pg2-3mt2", "least=License:ln1pg-2mt-2"]
+PICKED = r"""SELECT doc_id, '{0}' AS variable, {1} AS value, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, line, word) AS place, count(*) OVER (PARTITION BY doc_id) AS k FROM x WHERE contains(c, 'license') AND {2}"""
+ALL_BUT_SPACES = "replace(array_to_string(w[least(n - 1, word + 1) + 1:least(n - 1, word + 1) + 4], ' '), ' ', '')"
+query("l12_picks", on_sources(lambda p: extract.extract(p, parse_patterns(TRIMMED)).where("success").select("doc_id", "variable", F.array_join("selected", "|").alias("selected"))), f"WITH {PAGE_WORDS}, o AS (SELECT doc_id AS d, max(page_no) AS last FROM p GROUP BY 1), m AS (" + " UNION ALL ".join([
+    PICKED.format("value", f"CASE WHEN length({ALL_BUT_SPACES}) <= 3 THEN '' ELSE substr({ALL_BUT_SPACES}, 2, length({ALL_BUT_SPACES}) - 3) END", "true"),
+    PICKED.format("single", "array_to_string(w[word + 1:word + 2], ' ')", "page_no = 2"),
+    PICKED.format("later", "x", "page_no BETWEEN 2 AND 3"),
+    PICKED.format("least", "ls[line + 1]", "page_no > (SELECT last FROM o WHERE d = doc_id) - 2"),
+]) + ") SELECT doc_id, variable, string_agg(value, '|' ORDER BY place) AS selected FROM m WHERE variable = 'value' OR variable = 'single' AND place = 1 OR variable = 'later' AND place = 2 OR variable = 'least' AND place > k - 2 GROUP BY 1, 2")
+
+SIDES = {"above": parse_legacy("License:above:1:line"), "below": parse_legacy("License:below:1:line"), "word": parse_legacy("License:below:1:word"), "number": parse_legacy("License:right:0:number"), "under": parse_legacy("License:below:2:number"), "rest": parse_legacy("License:right:1:text")}
+query("l20_sides", on_sources(lambda p: extract.scrape(p, SIDES)), r"WITH " + SOURCES + r""", k AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls, list_position(list_transform(string_split(text, chr(10)), lambda x: contains(lower(x), 'license')), true) AS i FROM p),
+ w AS (SELECT *, list_filter(string_split_regex(ls[i], '\s+'), lambda x: x <> '') AS w, strpos(lower(ls[i]), 'license') - 1 AS k0 FROM k WHERE i > 0),
+ b AS (SELECT *, len(list_filter(range(1, len(w) + 1), lambda j: length(array_to_string(w[1:j], ' ')) + 1 < k0 + 7)) AS b, list_filter(string_split_regex(ls[i + 1], '\s+'), lambda x: x <> '') AS w1, list_filter(string_split_regex(ls[i + 2], '\s+'), lambda x: x <> '') AS w2 FROM w),
+ o AS (SELECT doc_id AS filename, page_no AS page, CASE WHEN i > 1 AND regexp_matches(ls[i - 1], '\S') THEN regexp_replace(ls[i - 1], '^\s+|\s+$', '', 'g') END AS above, CASE WHEN len(w1) > 0 THEN regexp_replace(ls[i + 1], '^\s+|\s+$', '', 'g') END AS below, w1[1] AS word,
+   list_filter(list_transform(w[b + 2:b + 4], lambda x: regexp_extract(x, '-?[0-9]+(?:[.,][0-9]+)*')), lambda x: x <> '')[1] AS number, list_filter(list_transform(w2[1:3], lambda x: regexp_extract(x, '-?[0-9]+(?:[.,][0-9]+)*')), lambda x: x <> '')[1] AS under,
+   CASE WHEN b + 2 < len(w) THEN array_to_string(w[b + 3:], ' ') END AS rest FROM b WHERE b < len(w))
+ SELECT filename, page, coalesce(above, '') AS above, coalesce(below, '') AS below, coalesce(word, '') AS word, coalesce(number, '') AS number, coalesce(under, '') AS under, coalesce(rest, '') AS rest FROM o WHERE coalesce(above, below, word, number, under, rest) IS NOT NULL""")
+query("l24_debug", on_sources(lambda p: extract.debug(p, parse_patterns(["License:l1wd1"])[0]).select("doc_id", "page_no", "line", "word", "match_text", "target_line", "target_word", "extracted", F.md5(F.col("line_text").cast("binary")).alias("line_text"))), f"WITH {PAGE_WORDS} SELECT doc_id, page_no, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, x AS match_text, CAST(line AS INTEGER) AS target_line, CAST(greatest(word - 1, 0) AS INTEGER) AS target_word, w[greatest(word - 1, 0) + 1] AS extracted, md5(t) AS line_text FROM x WHERE contains(c, 'license')")
 query("l9_matches", on_sources(lambda p: extract.matches(p, parse_patterns(["License:wd1"])).select("doc_id", "page_no", "line", "word", "match_text")), rf"WITH {SOURCES}, l AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM p), w AS (SELECT doc_id, page_no, line, unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS match_text, generate_subscripts(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''), 1) - 1 AS word FROM l) SELECT doc_id, page_no, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, match_text FROM w WHERE contains(regexp_replace(lower(match_text), '[^\p{{L}}\p{{N}}]', '', 'g'), 'license')")
 
 
@@ -236,6 +305,37 @@ def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("k5_layout", lambda s, d: layout.page_texts(characters(s, d)), r"SELECT item_id AS doc_id, CAST(1 AS INTEGER) AS page_no, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10)) AS text FROM benchmark WHERE regexp_matches(text, '\S')")
 query("k6_layout_fixed", lambda s, d: layout.page_texts(characters(s, d), fixed_keep=6.0), r"SELECT item_id AS doc_id, CAST(1 AS INTEGER) AS page_no, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10)) AS text FROM benchmark WHERE regexp_matches(text, '\S')")
 
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with widths and distances that differ, a wide gap after each seventh character, and heights that leave their line here and there."""
+    i, low = F.col("i"), F.when(F.floor(F.col("i") / 20) % 2 == 1, 1.5 * (F.col("i") % 3)).otherwise(0.0)
+    x0 = 5.0 * i + 6.0 * F.floor(i / 7) + 0.25 * ((i * i) % 5)
+    lines = relations.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    chars = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("i", "text"))
+    return chars.select("doc_id", F.lit(1).alias("page_no"), "text", x0.alias("x0"), (x0 + 4 + i % 3).alias("x1"), (1000.0 - 10 * F.col("line") - low).alias("y1"))
+
+
+def uneven_sql(keep: str, space: str, tab: str | None) -> str:
+    tabbed = f"WHEN nx - center >= {tab} THEN chr(9) " if tab else ""
+    return rf"""WITH t AS (SELECT item_id AS doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM benchmark),
+ c AS (SELECT doc_id, line, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM t WHERE t <> ''),
+ b AS (SELECT *, 5.0::DOUBLE * i + 6 * (i // 7) + 0.25::DOUBLE * ((i * i) % 5) AS x0, (i // 20) % 2 = 1 AND i % 3 = 2 AS low, ch = ' ' AS blank FROM c),
+ e AS (SELECT *, (x0 + x0 + 4 + i % 3) / 2 AS center FROM b),
+ g AS (SELECT *, CASE WHEN NOT blank THEN center - lag(center) OVER (PARTITION BY doc_id, line, low, blank ORDER BY x0) END AS gap FROM e),
+ s AS (SELECT *, coalesce(quantile_cont(CASE WHEN gap > 0 AND gap < 50 THEN gap END, 0.5) OVER (PARTITION BY doc_id, line, low), 4.8) AS unit FROM g),
+ n AS (SELECT *, last_value(CASE WHEN NOT blank THEN center END IGNORE NULLS) OVER (PARTITION BY doc_id, line, low ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef,
+   first_value(CASE WHEN NOT blank THEN center END IGNORE NULLS) OVER (PARTITION BY doc_id, line, low ORDER BY x0 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS aft,
+   lead(center) OVER (PARTITION BY doc_id, line, low ORDER BY x0) AS nx, lead(blank) OVER (PARTITION BY doc_id, line, low ORDER BY x0) AS nb FROM s),
+ o AS (SELECT *, CASE WHEN blank THEN CASE WHEN bef IS NULL OR aft IS NULL OR aft - bef >= {keep} THEN ' ' ELSE '' END ELSE ch || CASE WHEN coalesce(nb, true) THEN '' {tabbed}WHEN nx - center >= {space} THEN ' ' ELSE '' END END AS piece FROM n),
+ l AS (SELECT doc_id, line, low, string_agg(piece, '' ORDER BY x0) AS lt FROM o GROUP BY 1, 2, 3)
+ SELECT doc_id, CAST(1 AS INTEGER) AS page_no, string_agg(lt, chr(10) ORDER BY line, low) AS text FROM l WHERE regexp_matches(lt, '\S') GROUP BY 1"""
+
+
+query("k1_layout_uneven", lambda s, d: layout.page_texts(uneven(s, d)), uneven_sql("unit * 1.3::DOUBLE", "unit * 1.1::DOUBLE", "unit * 1.3::DOUBLE"))
+query("k6_layout_uneven_fixed", lambda s, d: layout.page_texts(uneven(s, d), fixed_keep=6.0, fixed_space=5.3), uneven_sql("6.0::DOUBLE", "5.3::DOUBLE", None))
+query("k3_spacing", lambda s, d: layout.spacing(layout.line_groups(uneven(s, d))).groupBy("doc_id", "line").agg(F.max("spacing").alias("spacing"), F.max("place").alias("last")), uneven_sql("1", "1", None).split(" n AS (")[0].rstrip().rstrip(",") + " SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY line, low) - 1 AS INTEGER) AS line, max(unit) AS spacing, CAST(count(*) - 1 AS INTEGER) AS last FROM s GROUP BY doc_id, line, low")
+
 # --- outputs ----------------------------------------------------------------------------------------------------------
 
 OUT = ("doc_id", "output", "out_ix", "page_no")

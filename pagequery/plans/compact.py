@@ -10,7 +10,6 @@ from pagequery.errors import PatternError
 from .template import auto_variable_name, validate_variable
 from .trimmers import parse_trimmers
 
-SPEC = re.compile(r"([udlr]\d{1,2})?([udlr]\d{1,2})?(wd|ln|nb)(\d{1,3})([_-]*)(?:\^((?:(?:wd|ln|nb|ch)\d{1,3})+))?(?:\$((?:(?:wd|ln|nb|ch)\d{1,3})+))?(?:pg([\d-]+))?(?:mt([\d-]+))?")
 OPPOSITE = {"u": "d", "d": "u", "l": "r", "r": "l"}
 
 
@@ -58,25 +57,70 @@ def parse_pick(text: str) -> Pick:
     raise PatternError(f"not a range: '{text}'")
 
 
+class Reader:
+    """A specification that is read from left to right."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def take(self, *marks: str) -> str | None:
+        """The mark that comes next, if it is one of these."""
+        found = next((m for m in marks if self.text.startswith(m, self.at)), None)
+        self.at += len(found or "")
+        return found
+
+    def run(self, allowed: str, most: int | None = None) -> str:
+        """As many of the allowed characters as come next."""
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at] in allowed and (most is None or self.at - start < most):
+            self.at += 1
+        return self.text[start : self.at]
+
+    def number(self, most: int) -> int:
+        digits = self.run("0123456789", most)
+        if not digits:
+            raise PatternError(f"a number is missing at {self.at} of '{self.text}'")
+        return int(digits)
+
+
+def read_moves(reader: Reader) -> tuple[tuple[str, int], ...]:
+    """Up to two moves that do not undo one another."""
+    moves = []
+    while reader.text[reader.at + 1 : reader.at + 2].isdecimal() and (direction := reader.take(*OPPOSITE)):
+        moves.append((direction, reader.number(2)))
+    if len(moves) > 2 or (len(moves) == 2 and OPPOSITE[moves[0][0]] == moves[1][0]):
+        raise PatternError(f"too many moves, or such that undo one another, in '{reader.text}'")
+    return tuple(moves)
+
+
+def read_trimmers(reader: Reader, mark: str) -> tuple[tuple[str, int], ...]:
+    return tuple(parse_trimmers(reader.run("wdlnbch0123456789"))) if reader.take(mark) else ()
+
+
+def read_pick(reader: Reader, mark: str) -> Pick | None:
+    return parse_pick(reader.run("0123456789-")) if reader.take(mark) else None
+
+
 def parse_pattern(text: str) -> Pattern:
     text = text.strip()
     name, eq, rest = text.partition("=")
     if eq and not validate_variable(name.strip())[0]:
         raise PatternError(f"{text}: {validate_variable(name.strip())[1]}")
-    body = rest if eq else text
-    keyword, colon, spec = body.rpartition(":")
+    keyword, colon, spec = (rest if eq else text).rpartition(":")
     keyword = keyword.strip().strip("\"'")
     if not colon or not keyword:
         raise PatternError(f"a pattern is keyword:specification, not '{text}'")
-    m = SPEC.fullmatch(spec.strip())
-    if not m:
-        raise PatternError(f"cannot read '{spec}' in '{text}'")
-    moves = tuple((g[0], int(g[1:])) for g in m.groups()[:2] if g)
-    if len(moves) == 2 and OPPOSITE[moves[0][0]] == moves[1][0]:
-        raise PatternError(f"moves that undo one another in '{text}'")
-    trims = [tuple(parse_trimmers(g)) if g else () for g in (m[6], m[7])]
-    picks = [parse_pick(g) if g else None for g in (m[8], m[9])]
-    return Pattern(name.strip() if eq else auto_variable_name(keyword), keyword, moves, m[3], int(m[4]), "-" in m[5], "_" in m[5], *trims, *picks)
+    reader = Reader(spec.strip())
+    moves = read_moves(reader)
+    kind = reader.take("wd", "ln", "nb")
+    if kind is None:
+        raise PatternError(f"wd, ln or nb is missing in '{text}'")
+    count, flags = reader.number(2), reader.run("_-")
+    trims = [read_trimmers(reader, mark) for mark in "^$"]
+    picks = [read_pick(reader, mark) for mark in ("pg", "mt")]
+    if reader.at < len(reader.text):
+        raise PatternError(f"cannot read '{reader.text[reader.at :]}' in '{text}'")
+    return Pattern(name.strip() if eq else auto_variable_name(keyword), keyword, moves, kind, count, "-" in flags, "_" in flags, *trims, *picks)
 
 
 def parse_patterns(texts: list[str]) -> list[Pattern]:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
 
-from pagequery.errors import PatternError
+from pagequery.errors import SelectionError
 
 from . import lexer
-from .parser import FILE, is_pattern
+from .ast import All, And, First, Last, Match, Not, Or, Shift, Span, Step
+from .parser import FILE, is_pattern, parse_argument
 
 VARIABLE = re.compile(r"\{([^{}|]+)(?:\|([^{}]*))?\}")
 #: Names that templates fill in themselves (fixed values).
@@ -16,20 +20,14 @@ RESERVED = {"range", "original_name", "page_count", "pages", "file", "path"}
 
 
 def variable_name(text: str, most: int = 25) -> str:
-    """A variable's name from a keyword: lower case, without punctuation, _ for spaces; cut between words where it can be."""
-    name = "_".join(re.sub(r"[^\w\s]", "", (text or "").lower()).split())
-    name = re.sub("_+", "_", name).strip("_")
-    if name[:1].isdigit():
-        name = f"var_{name}"
-    if len(name) > most:
-        kept = ""
-        for word in name.split("_"):
-            longer = f"{kept}_{word}" if kept else word
-            if len(f"{kept}_{word}") > most:
-                break
-            kept = longer
-        name = kept or name[:most].rstrip("_")
-    return name or "unknown"
+    """A variable's name from a keyword: its words in lower case and without punctuation, as many leading ones as fit."""
+    words = re.findall(r"[^\s_]+", re.sub(r"[^\w\s]", "", (text or "").lower()))
+    if not words:
+        return "unknown"
+    if words[0][0].isdigit():
+        words.insert(0, "var")
+    ends = [*accumulate(map(len, words), lambda end, n: end + 1 + n)]
+    return "_".join(words[: bisect_right(ends, most)]) or words[0][:most]
 
 
 def auto_variable_name(keyword: str) -> str:
@@ -123,48 +121,47 @@ def plain(text: str) -> str:
     return re.sub("_+", "_", re.sub(r"\s+", "_", text)).strip("_")
 
 
-def describe_argument(argument: str) -> str:
-    arg = argument.strip()
-    if re.fullmatch(r"\d+(?:-\d+)?", arg):
-        return f"pages{arg}"
-    if arg.startswith("contains:"):
-        content = arg[9:].strip("\"'")
-        return "contains_" + plain(content[:12] + "..." if len(content) > 15 else content)
-    if arg.startswith("regex:"):
-        return "regex_pattern"
-    if "&" in arg or "|" in arg:
-        return "boolean_expr"
-    if arg.startswith("file:"):
-        return plain(arg[5:].replace(".txt", ""))
-    found = next((k for k in ("all", "odd", "even", "first", "last") if k in arg.lower()), None)
-    return f"{found}_pages" if found else plain(arg)[:10]
+#: The kinds that arguments are counted by, in the order in which they are named (fixed values).
+CATEGORIES = ("files", "patterns", "booleans", "ranges", "keywords")
+
+
+def described(argument: str) -> tuple[str, str]:
+    """(its category, a word or two for it), by what the parser makes of the argument."""
+    text = argument.strip()
+    if text.startswith("file:"):
+        return "files", plain(os.path.splitext(text[5:])[0])
+    try:
+        node = parse_argument(text).node
+    except SelectionError:
+        return "patterns", plain(text)[:10]
+    match node.node if isinstance(node, Shift) else node:
+        case Span(start=int(first), stop=int(last)):
+            return "ranges", f"pages{first}" if first == last and text.isdecimal() else f"pages{first}-{last}"
+        case Span():
+            return "ranges", plain(text)[:10]
+        case Match(kind="contains", value=value):
+            return "patterns", "contains_" + plain(value if len(value) <= 15 else f"{value[:12]}...")
+        case Match(kind="regex"):
+            return "patterns", "regex_pattern"
+        case And() | Or() | Not():
+            return "booleans", "boolean_expr"
+        case All() | First() | Last() as found:
+            return "keywords", f"{type(found).__name__.lower()}_pages"
+        case Step(start=first, stop=None, step=2) if first in (1, 2):
+            return "keywords", "odd_pages" if first == 1 else "even_pages"
+    return "patterns", plain(text)[:10]
 
 
 def describe(arguments: list[str], total_pages: int, most: int = 50) -> str:
     """A short description of a list of arguments; of many or long ones, how many there are of each kind."""
-    if not arguments:
-        return "empty"
-    if len(arguments) == 1:
-        return describe_argument(arguments[0])
-    listed = ", ".join(map(describe_argument, arguments))
-    if len(arguments) <= 3 and len(listed) <= most:
-        return listed
-    kinds = dict.fromkeys(("files", "patterns", "booleans", "ranges", "keywords"), 0)
-    for a in map(str.strip, arguments):
-        if "contains:" in a or "regex:" in a:
-            kind = "patterns"
-        elif "&" in a or "|" in a:
-            kind = "booleans"
-        elif re.fullmatch(r"\d+(?:\s*(?:-|:|\.\.)\s*\d*)?", a):
-            kind = "ranges"
-        elif a.startswith("file:"):
-            kind = "files"
-        else:
-            kind = "keywords" if re.search("all|odd|even|first|last", a.lower()) else "patterns"
-        kinds[kind] += 1
-    parts = [f"{n}{k}" for k, n in kinds.items() if n]
-    start = "-".join(parts) if len(parts) <= 2 else f"mixed_{len(arguments)}args_{'-'.join(parts[:2])}"
-    return f"{start}_{total_pages}pg"
+    read = [described(a) for a in arguments]
+    listed = ", ".join(words for _, words in read)
+    if len(read) < 2 or (len(read) <= 3 and len(listed) <= most):
+        return listed or "empty"
+    counted = Counter(category for category, _ in read)
+    named = [f"{counted[c]}{c}" for c in CATEGORIES if c in counted]
+    mixed = f"mixed_{len(read)}args_" if len(named) > 2 else ""
+    return f"{mixed}{'-'.join(named[:2])}_{total_pages}pg"
 
 
 def safe(text: str, most: int = 20) -> str:

@@ -88,10 +88,18 @@ def conflicts(planned: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def without_collisions(planned: DataFrame) -> DataFrame:
-    """planned(name) with final_name: the second and later ones of a name get _copy_01 and so on."""
-    ix = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*planned.columns)) - 1
+    """planned(name) with final_name: the second and later ones of a name get _copy_01 and so on, in the order of the input.
+
+    A name's rows are numbered within their task, and after those of the tasks before: no task gathers a name."""
+    dealt = planned.withColumns({"__name": F.lower("name"), "__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    counts = dealt.groupBy("__name", "__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__name").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__name").alias("__of"), F.col("__task").alias("__in"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__name", "__task").orderBy("__at"))
+    joined = dealt.withColumn("__ix", inside).join(counts, F.col("__name").eqNullSafe(F.col("__of")) & (F.col("__task") == F.col("__in")))
+    ix = F.col("__ix") + F.col("__before") - 1
     stem, extension = F.regexp_extract("name", r"(?s)^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(?s)^(.*?)(\.[^.]*)?$", 2)
-    return planned.withColumn("__ix", ix).withColumn("final_name", F.when(F.col("__ix") == 0, F.col("name")).otherwise(F.format_string("%s_copy_%02d%s", stem, F.col("__ix"), extension))).drop("__ix")
+    return joined.select(*planned.columns, F.when(ix == 0, F.col("name")).otherwise(F.format_string("%s_copy_%02d%s", stem, ix, extension)).alias("final_name"))
 
 
 def free_basename(names: list[str], base: str) -> str:

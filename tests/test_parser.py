@@ -8,7 +8,7 @@ from pagequery.plans.trimmers import parse_trimmers
 
 @pytest.mark.parametrize(
     "text, parts",
-    [("a, b, c", ["a", "b", "c"]), ('contains:"CORDOVA, AK",contains:"CRAIG, AK"', ['contains:"CORDOVA, AK"', 'contains:"CRAIG, AK"']), ("a,'b,c',d", ["a", "'b,c'", "d"]), ("", [""]), (",", ["", ""]), ("a,", ["a", ""]), (r"a\,b,c", [r"a\,b", "c"])],
+    [("a, b, c", ["a", "b", "c"]), ('contains:"north, south",type:text', ['contains:"north, south"', "type:text"]), ("a,'b,c',d", ["a", "'b,c'", "d"]), ("", [""]), (",", ["", ""]), ("a,", ["a", ""]), (r"a\,b,c", [r"a\,b", "c"])],
 )
 def test_f1_commas(text, parts):
     assert lexer.split_commas(text) == parts
@@ -86,12 +86,12 @@ def test_a10_a11_a12_selector_files(tmp_path):
     assert parser.strip_comment("contains:'Invoice #42'   # note") == "contains:'Invoice #42'"
 
 
-@pytest.mark.parametrize("text", ["Invoice:r1wd1pg2-4mt3", "ref=Reference:u1r2wd2-pg1mt2", "Total:d1r1nb1-", "Amount:nb1-", "Co:wd1_^ch4$wd2pg0"])
+@pytest.mark.parametrize("text", ["Invoice:r1wd1pg2-4mt3", "ref=Reference:u1r2wd2-pg1mt2", "Total:d1r1nb1-", "Amount:nb1-", "Co:wd1_^ch4$wd2pg0", "A:u1ln1", "A:l2ln0-", "A:d1l3wd2"])
 def test_l1_l2_patterns(text):
     parse_pattern(text)
 
 
-@pytest.mark.parametrize("text", ["Invoice:wd1pg", "Invoice:wd1mt", "Invoice:wd1pg2-1", "Invoice:u1d2wd1", "Invoice:l1r2wd1", "Invoice:r100wd1", "Invoice:u1r1u1wd1", "Invoice:wd", "Invoice:zz1", "Invoice", ":wd1", "2x=Invoice:wd1", "range=A:wd1", "A:wd1^", "A:wd1^ch0"])
+@pytest.mark.parametrize("text", ["Invoice:wd1pg", "Invoice:wd1mt", "Invoice:wd1pg2-1", "Invoice:u1d2wd1", "Invoice:l1r2wd1", "Invoice:r100wd1", "Invoice:u1r1u1wd1", "Invoice:wd", "Invoice:zz1", "Invoice", ":wd1", "2x=Invoice:wd1", "range=A:wd1", "A:wd1^", "A:wd1^ch0", "A:wd100", "A:wd1pg2x", "A:r1", "A:wd1$"])
 def test_l3_l4_errors(text):
     with pytest.raises(PatternError):
         parse_pattern(text)
@@ -124,9 +124,10 @@ def test_o1_blocks():
 
 
 def test_o9_o12_variables():
-    names = {"Invoice Number": "invoice_number", "PO#": "po", "123 Test": "var_123_test", "": "unknown"}
+    names = {"Delivery  Note_No.": "delivery_note_no", "VAT %": "vat", "7 Items": "var_7_items", "__": "unknown", "x" * 30: "x" * 25, "": "unknown"}
     assert {k: template.variable_name(k) for k in names} == names
-    assert template.auto_variable_name("very long company name here") == "very_long_company"
+    assert template.auto_variable_name("gross weight of parcels") == "gross_weight_of"
+    assert template.variable_name("a" * 24 + " b") == "a" * 24 and template.variable_name("a" * 23 + " b") == "a" * 23 + "_b"
     assert template.validate_variable("company")[0] and not template.validate_variable("pages")[0] and not template.validate_variable("a b")[0]
 
 
@@ -143,7 +144,10 @@ def test_o13_o14_o17_templates():
 
 def test_o18_o22_o23_descriptions():
     assert template.describe(["5"], 10) == "pages5" and template.describe(["1-3", "odd"], 10) == "pages1-3, odd_pages"
-    assert template.describe([f"contains:'{i}'" for i in range(5)], 9) == "5patterns_9pg"
+    assert template.describe([f"contains:'{i}'" for i in range(5)], 9) == "5patterns_9pg" and template.describe([], 3) == "empty"
+    assert template.describe(["file:lists/mine.txt", "even", "contains:'a' & odd", "4-6"], 8) == "mixed_4args_1files-1booleans_8pg"
+    words = {"first 3": "first_pages", "last 2": "last_pages", "regex:'x+'": "regex_pattern", "contains:'four and twenty birds'": "contains_four_and_twe...", "!odd": "boolean_expr", "9-": "9-", "type:text": "type_text"}
+    assert {k: template.describe([k], 9) for k in words} == words
     assert template.pattern_description("contains:'a long one'") == "pattern-match" and template.boolean_description("a & !b") == "a-and-not-b"
     assert template.query_description("all", "contains:a", "contains:b", "1-2", 3) == "all-bounded-filtered-3groups"
 
