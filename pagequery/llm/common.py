@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import unicodedata
 import uuid
 
@@ -107,6 +108,12 @@ def hashed_sample(df: DataFrame, most: int) -> list:
     return kept.orderBy(place, *names).limit(most).collect()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM collects what nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """Gives what a Python worker has freed back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

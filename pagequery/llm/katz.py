@@ -1,21 +1,26 @@
-"""Scores of documents under a Katz backoff model of word pairs, learnt from the documents of the training folds.
+"""Scores of documents under a Katz backoff model of word n-grams, learnt from the documents of the training folds.
 
-    P(w | v) = d(c(v w)) c(v w) / c(v)      where the pair v w was seen in training
-             = a(v) P(w)                    where v was seen, but not with w
-             = P(w)                         where v was never seen
-    P(w)     = d(c(w)) c(w) / N, and the rest of the mass for all unseen words together
-    a(v)     = (1 - sum of P(w | v) over seen w) / (1 - sum of P(w) over the same w), so that P(. | v) adds up to one exactly
+    P_1(w)     = d(c(w)) c(w) / N, and the rest of the mass for all unseen words together
+    P_k(w | h) = d_k(c(h w)) c(h w) / c(h)    where the n-gram h w is kept: it was counted at least ``kept`` times in training
+               = a_k(h) P_k-1(w | h')         where h was seen, but h w is not kept (h': h without its first word)
+               = P_k-1(w | h')                where h was never seen
+    a_k(h)     = (1 - sum of P_k(w | h) over kept w) / (1 - sum of P_k-1(w | h') over the same w), so that P_k(. | h) adds up to one exactly
+
+``order`` (3) is how deep the recursion goes. Words and pairs are kept from the first time they are seen, longer n-grams from the
+second (``cutoff``), as is usual with Katz: what single ones had goes to backing off. An n-gram is counted no more often than its history
+and than the n-gram without its first word, so only those longer n-grams are looked up of which both are frequent enough.
 
 Discounts are Good-Turing: r* / r with r* = (r + 1) N(r + 1) / N(r) for the low counts where that is between 0 and r, and by the
-log-linear fit to N(r) beyond. Every count keeps a discount below one, so every history has mass to back off with.
+log-linear fit to N(r) beyond, over all counts that are kept. Every count keeps a discount below one, so every history has mass to back off with.
 
 How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition. Each block sends its distinct words and pairs, as sorted
 64-bit hashes packed by difference, to buckets by hash. A bucket adds up the training counts and answers each block in the block's
-own order, so that answers hold a small number a pair and no key; it also marks one block as the owner of each pair. The answers,
-partitioned by block, are the model's count table. A block then scores its documents but for the backoff weights: it sums what
-its own pairs take from the mass of their histories, and lists the histories its documents back off from. The sums by history
-give the weights, and a join adds them. A frequent word is spread over the buckets of its pairs, and counts of it are one number a
-block; no task holds all of any word, and what moves is distinct pairs a block, not tokens.
+own order, so that answers hold a small number an n-gram and no key; it also marks one block as the owner of each. The answers,
+partitioned by block, are the model's count tables. With those of one length a block knows which longer n-grams to ask for, and
+sends these in the same way. With all it scores its documents but for the backoff weights: it sums what
+its own n-grams take from the mass of their histories, and lists the histories its documents back off from. The sums by history
+give the weights, and a join adds them. A frequent word is spread over the buckets of its n-grams, and counts of it are one number a
+block; no task holds all of any word, and what moves is distinct n-grams a block, not tokens.
 
 Defined results: a null or empty text (or one of white space only) is its end alone. Without training documents every
 probability is one. A null doc_id counts as the empty text in the fold. Repeated rows are learnt and scored as often as they occur.
@@ -29,6 +34,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, remainder, stored, table
+from .common import release_memory, release_shuffles, remainder, settled, stored, table
 
 BLOCK_TOKENS = 800_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
@@ -56,8 +62,28 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ x >> U64(31)
 
 
+@dataclass
+class Level:
+    """The distinct n-grams of one length in a block: at (which one ends at each position, or -1), their histories and last words, hashes, and training counts once they are known."""
+
+    at: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    hashes: np.ndarray
+    begin: int  # the history before a text is one more, with this number
+    begin_hash: int
+    counts: np.ndarray | None = None
+    owner: np.ndarray | None = None
+
+    def learn(self, told: np.ndarray) -> None:
+        """told: by hash, twice the count, plus one where this block is the owner."""
+        by_hash = np.empty(len(self.hashes), np.int64)
+        by_hash[np.argsort(self.hashes)] = told
+        self.counts, self.owner = by_hash >> 1, (by_hash & 1).astype(bool)
+
+
 class Block:
-    """Tokens of some documents in local ids, their distinct words and pairs, each with its hash."""
+    """Tokens of some documents in local ids, and their distinct n-grams length by length."""
 
     def __init__(self, texts: Iterable[bytes]):
         ids: defaultdict[bytes, int] = defaultdict()
@@ -73,18 +99,49 @@ class Block:
         del ids
         self.sizes, self.tokens = np.array(sizes, np.int64), np.array(tokens, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = BEGIN
-        self.before = before
-        codes, self.pair = np.unique(before << 32 | self.tokens, return_inverse=True)
-        self.first, self.second = codes >> 32, codes & 0xFFFFFFFF
-        self.pair_hashes = pair_hash(self.hashes[self.first], self.hashes[self.second])
+        none = np.zeros(0, np.int64)
+        self.levels = [Level(self.tokens, none, none, self.hashes, BEGIN, int(self.hashes[BEGIN]))]
+
+    def histories(self) -> np.ndarray:
+        """For each position the n-gram of the last level that stands before it, or -1."""
+        last = self.levels[-1]
+        out = np.empty_like(last.at)
+        out[1:] = last.at[:-1]
+        out[self.starts] = last.begin
+        return out
 
-    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and of the pairs; train: a flag for each document."""
-        use = np.repeat(train, self.sizes)
-        return np.bincount(self.tokens[use], minlength=len(self.hashes)), np.bincount(self.pair[use], minlength=len(self.first))
+    def seen(self, history: np.ndarray, documents: int) -> np.ndarray:
+        """How often each history was followed by anything in training."""
+        last = self.levels[-1]
+        counts = np.append(last.counts, [0, 0])
+        counts[-2] = documents if last.begin == len(last.counts) else 0
+        if last.begin < len(last.counts):  # words: the beginning has a number of its own, and an end is no history
+            counts[BEGIN], counts[END] = documents, 0
+        return counts[history]
+
+    def extend(self, use: np.ndarray | None = None) -> Level:
+        """Adds the next length, of the positions in use (all)."""
+        last, history = self.levels[-1], self.histories()
+        codes = history << 32 | self.tokens
+        at = np.full(len(self.tokens), -1)
+        use = np.ones(len(at), bool) if use is None else use
+        codes, at[use] = np.unique(codes[use], return_inverse=True)
+        first, second = codes >> 32, codes & 0xFFFFFFFF
+        before = np.append(last.hashes, U64(last.begin_hash))
+        begin = int(pair_hash(np.array([last.begin_hash], U64), self.hashes[BEGIN : BEGIN + 1])[0])
+        self.levels.append(Level(at, first, second, pair_hash(before[first], self.hashes[second]), len(codes), begin))
+        return self.levels[-1]
+
+    def wanted(self, documents: int, cutoff: int) -> np.ndarray:
+        """The positions whose n-gram of the next length may have been counted cutoff times."""
+        last = self.levels[-1]
+        own = np.append(last.counts, 0)[last.at]  # -1: not asked for, so below the cutoff
+        return (own >= cutoff) & (self.seen(self.histories(), documents) >= cutoff)
+
+    def counted(self, level: Level, train: np.ndarray) -> np.ndarray:
+        """Training counts of a level's n-grams; train: a flag for each document."""
+        use = np.repeat(train, self.sizes) & (level.at >= 0)
+        return np.bincount(level.at[use], minlength=len(level.hashes))
 
 
 def packed(sorted_hashes: np.ndarray) -> bytes:
@@ -143,10 +200,10 @@ def blocks_of(batches, columns: list[str], block_tokens: int):
 
 
 class Discount:
-    """Good-Turing discounts d(r) from the numbers of types by count."""
+    """Good-Turing discounts d(r) of counts from first on, from the numbers of types by count."""
 
-    def __init__(self, types: dict[int, int], low: int = 5):
-        r = np.array(sorted(k for k in types if k > 0), float)
+    def __init__(self, types: dict[int, int], first: int = 1, low: int = 5):
+        r = np.array(sorted(k for k in types if k >= first), float)
         n = np.array([types[int(k)] for k in r], float)
         slope = -2.0
         if len(r) >= 2:
@@ -155,54 +212,66 @@ class Discount:
             x = np.log(r)
             slope = float(((x - x.mean()) * (z - z.mean())).sum() / ((x - x.mean()) ** 2).sum())
         self.power = min(slope, -1.1) + 1  # r* = r (1 + 1/r)^(slope + 1)
-        self.low = []
-        for k in range(1, low + 1):  # Turing's own estimate as long as it is a discount, and larger for larger counts
+        self.low: dict[int, float] = {}
+        for k in range(first, first + low):  # Turing's own estimate as long as it is a discount, and larger for larger counts
             star = (k + 1) * types.get(k + 1, 0) / types[k] if types.get(k) else 0.0
-            if not (self.low[-1] if self.low else 0) < star / k < 1:
+            if not self.low.get(k - 1, 0) < star / k < 1:
                 break
-            self.low.append(star / k)
+            self.low[k] = star / k
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         c = np.maximum(counts, 1).astype(float)
         out = (1 + 1 / c) ** self.power
-        for k, d in enumerate(self.low, 1):
+        for k, d in self.low.items():
             out[counts == k] = d
         return out
 
 
 class Statistics:
-    """What all blocks need: totals and discounts."""
+    """What all blocks need: totals, the discounts of each length, and from which count on it is kept."""
 
-    def __init__(self, words: dict[int, int], pairs: dict[int, int], tokens: int, types: int, documents: int):
-        self.n, self.v, self.documents = tokens, types, documents
-        self.word_discount, self.pair_discount = Discount(words), Discount(pairs)
-        self.unseen = 1.0
+    def __init__(self, cutoff: int):
+        self.n = self.v = self.documents = 0
+        self.cutoff, self.discounts, self.unseen = cutoff, {}, 1.0
+
+    def kept(self, length: int) -> int:
+        return 1 if length <= 2 else self.cutoff
+
+    def learn(self, length: int, types: dict[int, int]) -> None:
+        self.discounts[length] = Discount(types, self.kept(length))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.ones(len(counts))
-        return np.where(counts > 0, self.word_discount(counts) * counts / self.n, self.unseen)
+        return np.where(counts > 0, self.discounts[1](counts) * counts / self.n, self.unseen)
+
 
+REQUEST = "length int, bucket int, block long, n int, hashes binary, counts binary"
+ANSWER = "block long, length int, bucket int, n int, answer binary, r array<long>, types array<long>, tokens long, ends long"
+PART = "kind string, block long, ix int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, hash long, x double, y double, kept long, seen long"
+NAMES = {k: [x.split()[0] for x in v.split(", ")] for k, v in {"request": REQUEST, "answer": ANSWER, "part": PART}.items()}
 
-TOP = 1000  # counts above this are not told apart in the fit of N(r)
-REQUEST = "bucket int, block long, n int, hashes binary, counts binary"
-ANSWER = "block long, bucket int, n int, answer binary, r array<int>, types array<long>, tokens long, mass double"
-PART = "kind string, block long, ix int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, hash long, x double, y double"
 
+def packets(block: int, length: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """REQUEST rows of a block's n-grams of one length, one a bucket."""
+    order, edges = by_bucket(hashes, bits)
+    h, c = hashes[order], counts[order]
+    rows = [(length, i, block, e - s, packed(h[s:e]), squeezed(c[s:e])) for i, (s, e) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if e > s]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], NAMES["request"])
 
-def requests(df: DataFrame, bits: int, block_tokens: int) -> DataFrame:
-    """Distinct words (negative buckets) and pairs of each block, with their training counts."""
+
+def requests(df: DataFrame, bits: int, block_tokens: int, order: int) -> DataFrame:
+    """Distinct words and pairs of each block, with their training counts."""
 
     def run(batches):
         for block, texts, rest in blocks_of(batches, ["held_out"], block_tokens):
             release_memory()
             b = Block(texts)
             train = ~np.array(rest.column("held_out").to_pylist(), bool)
-            for sign, hashes, counts in zip((-1, 1), (b.hashes, b.pair_hashes), b.counted(train), strict=True):
-                order, edges = by_bucket(hashes, bits)
-                h, c = hashes[order], counts[order]
-                rows = [(sign * (i + 1), block, e - s, packed(h[s:e]), squeezed(c[s:e])) for i, (s, e) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if e > s]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in REQUEST.split(", ")])
+            for length in range(1, min(order, 2) + 1):
+                level = b.levels[0] if length == 1 else b.extend()
+                yield packets(block, length, level.hashes, b.counted(level, train), bits)
 
     return df.select("text", "held_out").mapInArrow(run, REQUEST)
 
@@ -211,7 +280,7 @@ def answer(rows: pa.Table) -> pa.Table:
     """A bucket's answers: to each block twice the training count of each of its hashes, plus one where the block is the owner."""
     release_memory()
     rows = rows.sort_by("block")
-    bucket = rows.column("bucket")[0].as_py()
+    length, bucket = (rows.column(k)[0].as_py() for k in ("length", "bucket"))
     sizes = np.array(rows.column("n").to_pylist())
     hashes = np.concatenate([unpacked(x) for x in rows.column("hashes").to_pylist()])
     counts = np.concatenate([loosened(x, n) for x, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)])
@@ -222,66 +291,99 @@ def answer(rows: pa.Table) -> pa.Table:
     out[order] = 2 * np.repeat(totals, np.diff(np.concatenate([starts, [len(hashes)]])))
     out[order[starts]] += 1
     answers = [squeezed(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
-    r, types = np.unique(np.minimum(totals[totals > 0], TOP + 1), return_counts=True)
+    r, types = np.unique(totals[totals > 0], return_counts=True)
     blocks = [*rows.column("block").to_pylist(), -1]
     none = [None] * len(answers)
-    ends = totals[np.nonzero(hashes[order][starts] == U64(word_hash(b" end")))[0]] if bucket < 0 else np.zeros(0, np.int64)
-    return pa.table(
-        [pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()), pa.array([*sizes.tolist(), len(totals)], pa.int32()), pa.array([*answers, None], pa.binary()), pa.array([*none, r.tolist()], pa.list_(pa.int32())), pa.array([*none, types.tolist()], pa.list_(pa.int64())), pa.array([*none, int(totals.sum())], pa.int64()), pa.array([*none, float(ends.sum())], pa.float64())],
-        names=[x.split()[0] for x in ANSWER.split(", ")],
-    )
-
-
-def statistics(answers: DataFrame) -> Statistics:
-    """From one small row a bucket."""
-    by_r = answers.where(F.col("block") == -1).select((F.col("bucket") > 0).alias("pairs"), F.explode(F.arrays_zip("r", "types")).alias("z")).groupBy("pairs", "z.r").agg(F.sum("z.types").alias("n")).collect()
-    total = answers.where((F.col("block") == -1) & (F.col("bucket") < 0)).agg(F.sum("tokens"), F.sum("mass")).first()
-    words, pairs = ({r["r"]: r["n"] for r in by_r if r["pairs"] == kind} for kind in (False, True))
-    types = sum(words.values())
-    for x in (words, pairs):
-        x.pop(TOP + 1, None)
-    return Statistics(words, pairs, int(total[0] or 0), types, int(total[1] or 0))
-
-
-def scored(texts: Iterable[bytes], n_texts: int, word_counts: np.ndarray, pair_answers: np.ndarray, s: Statistics) -> tuple:
-    """The documents' sums, the histories they back off from as (document, hash, times), and the owned pairs' sums as (hash, x, y)."""
+    ends = totals[np.nonzero(hashes[order][starts] == U64(word_hash(b" end")))[0]] if length == 1 else np.zeros(0, np.int64)
+    long = pa.int64()
+    columns = [pa.array(blocks, long), pa.array([length] * len(blocks), pa.int32()), pa.array([bucket] * len(blocks), pa.int32()), pa.array([*sizes.tolist(), len(totals)], pa.int32()), pa.array([*answers, None], pa.binary())]
+    columns += [pa.array([*none, x.tolist()], pa.list_(long)) for x in (r, types)] + [pa.array([*none, int(x.sum())], long) for x in (totals, ends)]
+    return pa.table(columns, names=NAMES["answer"])
+
+
+def answered(asked: DataFrame, s: Statistics, label: str) -> DataFrame:
+    """The buckets' answers as a table; s learns their totals."""
+    answers = stored(asked.groupBy("length", "bucket").applyInArrow(answer, ANSWER), label)
+    told = answers.where(F.col("block") == -1)
+    by_r = told.select("length", F.explode(F.arrays_zip("r", "types")).alias("z")).groupBy("length", "z.r").agg(F.sum("z.types").alias("n")).collect()  # no more rows than the root of twice the tokens
+    total = told.where(F.col("length") == 1).agg(F.sum("tokens"), F.sum("ends"), F.sum("n")).first()
+    lengths = {r["length"] for r in by_r}
+    for length in lengths or {1}:
+        s.learn(length, {r["r"]: r["n"] for r in by_r if r["length"] == length})
+    if total[0] is not None:
+        s.n, s.documents = total[0], total[1]
+        s.v = sum(r["n"] for r in by_r if r["length"] == 1)
+    release_shuffles(answers.sparkSession)
+    return answers
+
+
+def rebuilt(texts: Iterable[bytes], told: dict[int, np.ndarray], s: Statistics) -> Block:
+    """The block with the n-grams of the lengths that answers are told of, and their counts."""
     b = Block(texts)
-    counts = np.empty(len(b.hashes), np.int64)
-    counts[np.argsort(b.hashes)] = word_counts >> 1
-    told = np.empty(len(b.first), np.int64)
-    told[np.argsort(b.pair_hashes)] = pair_answers
-    c, owner = told >> 1, (told & 1).astype(bool)
-    history = counts.copy()
-    history[BEGIN], history[END] = s.documents, 0
-    p = s.unigram(counts)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = s.pair_discount(c)
-        of = history[b.first]
-        pair_score = np.where(c > 0, np.log10(d * c / np.maximum(of, 1)), np.log10(p[b.second]) - np.where(of > 0, np.log10(np.maximum(of, 1)), 0))
-    sums = lambda of_type, at: np.add.reduceat(of_type[at], b.starts)
-    documents = (b.sizes, sums((counts > 0).astype(np.int64), b.tokens), sums(np.log10((counts + 1.0) / (s.n + s.v + 1.0)), b.tokens), sums(pair_score, b.pair))
-    backs = ((c == 0) & (of > 0))[b.pair]
-    doc = np.repeat(np.arange(n_texts), b.sizes)[backs]
-    pairs, times = np.unique(doc << 32 | b.before[backs], return_counts=True)
-    mine = owner & (c > 0)
-    x = np.bincount(b.first[mine], ((1 - d) * c)[mine], len(b.hashes))
-    y = np.bincount(b.first[mine], p[b.second][mine], len(b.hashes))
-    at = np.nonzero(x > 0)[0]
-    signed = b.hashes.view(np.int64)
-    return documents, (pairs >> 32, signed[pairs & 0xFFFFFFFF], times), (signed[at], x[at], y[at])
-
-
-def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    for length in sorted(told):
+        if length == 2:
+            b.extend()
+        elif length > 2:
+            b.extend(b.wanted(s.documents, s.kept(length)))
+        b.levels[-1].learn(told[length])
+    return b
+
+
+def scored(b: Block, s: Statistics) -> tuple:
+    """The documents' sums, the histories they back off from as (document, hash, times), and the owned n-grams' sums as (hash, x: discounted, y: what the shorter ones give, kept and seen counts)."""
+    words, tokens = b.levels[0], b.tokens
+    p = s.unigram(words.counts)
+    score, low = np.log10(p[tokens]), p[tokens]  # of each position, and the probability that the next length backs off to
+    documents = [b.sizes, np.add.reduceat((words.counts > 0)[tokens].astype(np.int64), b.starts), np.add.reduceat(np.log10((words.counts + 1.0) / (s.n + s.v + 1.0))[tokens], b.starts)]
+    backs, owned, levels = [], [], b.levels
+    for length in range(2, len(levels) + 1):
+        b.levels = levels[: length - 1]
+        history, before, level = b.histories(), b.levels[-1], levels[length - 1]
+        seen = b.seen(history, s.documents)
+        told = np.append(level.counts, 0)[level.at]
+        kept = told >= s.kept(length)
+        d = s.discounts[length](told) if length in s.discounts else np.ones(len(told))
+        mine = np.zeros(len(tokens), bool)  # one position of each n-gram that this block owns
+        at = level.at[kept]
+        mine[np.nonzero(kept)[0][np.unique(at, return_index=True)[1]]] = True
+        mine &= np.append(level.owner, False)[level.at]
+        sums = [np.bincount(history[mine], v[mine], len(before.hashes) + 2) for v in ((1 - d) * told, low, told.astype(float))]
+        hashes = np.append(before.hashes, U64(before.begin_hash)).view(np.int64)
+        of = np.zeros(len(sums[0]), np.int64)
+        of[history[mine]] = seen[mine]
+        have = np.nonzero(sums[2][: len(hashes)] > 0)[0]
+        owned.append((hashes[have], sums[0][have], sums[1][have], sums[2][have], of[have]))
+        backs = [(h[~kept[h[:, 0]]]) for h in backs]  # a longer n-gram that is kept has no shorter one backed off from
+        needs = np.nonzero(~kept & (seen >= s.kept(length)))[0]
+        backs.append(np.stack([needs, hashes[history[needs]]], 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = d * told / np.maximum(seen, 1)
+            score = np.where(kept, np.log10(q), score)
+        low = np.where(kept, q, low)
+    b.levels = levels
+    documents.append(np.add.reduceat(score, b.starts))
+    doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
+    rows = np.concatenate([np.zeros((0, 2), np.int64), *backs])
+    pairs = np.empty(len(rows), [("doc", np.int64), ("hash", np.int64)])
+    pairs["doc"], pairs["hash"] = doc[rows[:, 0]], rows[:, 1]
+    order = np.lexsort((pairs["hash"], pairs["doc"]))
+    pairs = pairs[order]
+    starts = np.nonzero(np.append(True, pairs[1:] != pairs[:-1]))[0] if len(pairs) else np.zeros(0, np.int64)
+    times = np.diff(np.append(starts, len(pairs)))
+    return documents, (pairs["doc"][starts], pairs["hash"][starts], times), tuple(np.concatenate([np.zeros(0), *(o[i] for o in owned)]) if i else np.concatenate([np.zeros(0, np.int64), *(o[0] for o in owned)]) for i in range(5))
+
+
+def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, order: int = 3, cutoff: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents(doc_id, text).
 
     There are about two buckets an input partition. A task holds one block (some 200 bytes a token) or one bucket; larger blocks
-    have fewer distinct pairs a token and larger packets, so executors with more memory should take them."""
+    have fewer distinct n-grams a token and larger packets, so executors with more memory should take them."""
+    documents = settled(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     df = documents.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
     bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
-    answers = stored(requests(df, bits, block_tokens).groupBy("bucket").applyInArrow(answer, ANSWER), "counts")
-    s = statistics(answers)
-    # the mass of unseen words is what the discounts take, over all counts: one pass over the words' answers, without their texts
+    s = Statistics(cutoff)
+    answers = answered(requests(df, bits, block_tokens, order), s, "counts")
     s.unseen = unseen_mass(answers, s)
 
     def carried(batches):
@@ -289,15 +391,33 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
             n = len(texts)
             yield from pa.table([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest.columns, pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["block", "ix", "doc_id", "held_out", "text"]).to_batches(1000)
 
+    def block_of(left: pa.Table, right: pa.Table) -> Block:
+        told: dict[int, list] = {}
+        ordered = right.sort_by([("length", "ascending"), ("bucket", "ascending")])
+        for length, n, a in zip(*(ordered.column(k).to_pylist() for k in ("length", "n", "answer")), strict=True):
+            told.setdefault(length, []).append(loosened(a, n))
+        for length in range(3, max(told) + 1):
+            told.setdefault(length, [np.zeros(0, np.int64)])
+        return rebuilt((zlib.decompress(x.as_py()) for x in left.column("text")), {k: np.concatenate(v) for k, v in told.items()}, s)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The requests of a block for the next length."""
+        release_memory()
+        left = left.sort_by("ix")
+        b = block_of(left, right)
+        length = len(b.levels) + 1
+        level = b.extend(b.wanted(s.documents, s.kept(length)))
+        train = ~np.array(left.column("held_out").to_pylist(), bool)
+        return pa.Table.from_batches([packets(left.column("block")[0].as_py(), length, level.hashes, b.counted(level, train), bits)])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         release_memory()
-        left, right = left.sort_by("ix"), right.take(pa.array(np.argsort(np.abs(np.array(right.column("bucket").to_pylist())), kind="stable")))
+        left = left.sort_by("ix")
         block = left.column("block")[0].as_py()
-        got = {-1: [], 1: []}
-        for bucket, n, a in zip(*(right.column(k).to_pylist() for k in ("bucket", "n", "answer")), strict=True):
-            got[1 if bucket > 0 else -1].append(loosened(a, n))
-        texts = (zlib.decompress(x.as_py()) for x in left.column("text"))
-        docs, backs, owned = scored(texts, len(left), np.concatenate(got[-1]), np.concatenate(got[1]), s)
+        b = block_of(left, right)
+        while len(b.levels) < order:  # no block had a longer n-gram to ask for
+            b.extend(np.zeros(len(b.tokens), bool)).learn(np.zeros(0, np.int64))
+        docs, backs, owned = scored(b, s)
         n, nb, no = len(left), len(backs[0]), len(owned[0])
         long, double = pa.int64(), pa.float64()
         none = lambda k, t: pa.nulls(k, t)
@@ -309,17 +429,25 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
             pa.concat_arrays([left.column("held_out").combine_chunks(), none(nb + no, pa.bool_())]),
             *(pa.concat_arrays([pa.array(docs[i], t), none(nb + no, t)]) for i, t in enumerate((long, long, double, double))),
             pa.concat_arrays([none(n, long), pa.array(backs[1], long), pa.array(owned[0], long)]),
-            pa.concat_arrays([none(n, double), pa.array(backs[2], double), pa.array(owned[1], double)]),
+            pa.concat_arrays([none(n, double), pa.array(backs[2].astype(float)), pa.array(owned[1], double)]),
             pa.concat_arrays([none(n + nb, double), pa.array(owned[2], double)]),
+            *(pa.concat_arrays([none(n + nb, long), pa.array(owned[i].astype(np.int64), long)]) for i in (3, 4)),
         ]
-        whole = pa.table(columns, names=[x.split()[0] for x in PART.split(", ")])
+        whole = pa.table(columns, names=NAMES["part"])
         return pa.Table.from_batches(whole.to_batches(max_chunksize=20_000))  # the JVM holds a batch at a time
 
     texts = df.mapInArrow(carried, f"block long, ix int, doc_id {kind}, held_out boolean, text binary")
-    replies = answers.where(F.col("block") >= 0).select("block", "bucket", "n", "answer")
+    for length in range(3, order + 1):
+        replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
+        asked = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, REQUEST)
+        answers = answers.unionByName(answered(asked, s, f"counts_{length}"))
+    replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
     parts = stored(texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, PART.format(kind=kind)), "parts")
-    owned = parts.where(F.col("kind") == "owned").groupBy("hash").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    weights = stored(owned.select(F.col("hash").alias("history"), (F.log10("x") - F.log10(1 - F.col("y"))).alias("weight")), "weights")
+    release_shuffles(df.sparkSession)
+    of = parts.where(F.col("kind") == "owned").groupBy("hash")
+    owned = of.agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("seen").alias("seen"), F.sum("kept").alias("kept"))
+    left_over = F.col("x") + (F.col("seen") - F.col("kept"))
+    weights = stored(owned.select(F.col("hash").alias("history"), (F.log10(left_over) - F.log10("seen") - F.log10(1 - F.col("y"))).alias("weight")), "weights")
     back = parts.where(F.col("kind") == "backoff").select("block", "ix", "hash", "x")
     added = back.join(weights, back["hash"] == weights["history"]).groupBy("block", "ix").agg(F.sum(F.col("x") * F.col("weight")).alias("added"))
     docs = parts.where(F.col("kind") == "document")
@@ -328,7 +456,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
 
 
 def unseen_mass(answers: DataFrame, s: Statistics) -> float:
-    """1 - the sum of P(w) over seen words."""
+    """1 - the sum of P(w) over seen words: what the discounts take, in one pass over the words' answers."""
     if not s.n:
         return 1.0
 
@@ -339,10 +467,10 @@ def unseen_mass(answers: DataFrame, s: Statistics) -> float:
                 told = loosened(a, n)
                 c = (told >> 1)[(told & 1) == 1]  # each word once, at its owner
                 c = c[c > 0]
-                mass.append(float(((1 - s.word_discount(c)) * c).sum()))
+                mass.append(float(((1 - s.discounts[1](c)) * c).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([math.fsum(mass)])], ["mass"])
 
-    words = answers.where((F.col("block") >= 0) & (F.col("bucket") < 0)).select("answer", "n")
+    words = answers.where((F.col("block") >= 0) & (F.col("length") == 1)).select("answer", "n")
     return float(words.mapInArrow(run, "mass double").agg(F.sum("mass")).first()[0]) / s.n
 
 

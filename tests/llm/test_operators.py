@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on rows that are null, empty, long, equal or oddly named."""
 
 import base64
+import functools
 import hashlib
 import html
 import itertools
@@ -10,7 +11,7 @@ import time
 import unicodedata
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -715,45 +716,65 @@ def test_op8_rejects_what_is_in_no_language_learnt(spark):
 # --- 9: Katz ----------------------------------------------------------------------------------------------------------
 
 
-def katz_by_hand(rows):
+def katz_by_hand(rows, order, cutoff=2):
+    """The texts' tokens, word counts, N, V, the model as a function of (history, word), and all histories that were seen."""
     tokens = [(t or "").encode().lower().split() + [b"END"] for _, t in rows]
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
-    words, pairs, history = Counter(), Counter(), Counter()
+    grams, followed = defaultdict(Counter), defaultdict(Counter)
     for t, use in zip(tokens, train, strict=True):
-        if use:
-            words.update(t)
-            pairs.update(zip([b"BEGIN", *t], t, strict=False))
-            history.update([b"BEGIN", *t[:-1]])
+        padded = (b"BEGIN",) * (order - 1) + tuple(t)
+        for i in range(len(t) if use else 0):
+            for k in range(1, order + 1):
+                gram = padded[order - k + i : order + i]
+                grams[k][gram] += 1
+                followed[k][gram[:-1]] += 1
+    words = Counter({g[0]: c for g, c in grams[1].items()})
     n, v = sum(words.values()), len(words)
-    dw, dp = (katz.Discount(dict(Counter(x for x in c.values() if x <= katz.TOP))) for c in (words, pairs))
-    d = lambda f, c: float(f(np.array([c]))[0])
-    unseen = 1 - sum(d(dw, c) * c for c in words.values()) / n
-    p1 = lambda w: d(dw, words[w]) * words[w] / n if words[w] else unseen
-    left, covered = Counter(), Counter()
-    for (a, b), c in pairs.items():
-        left[a] += d(dp, c) * c / history[a]
-        covered[b"" + a] += p1(b)
-
-    def p2(a, b):
-        if pairs[a, b]:
-            return d(dp, pairs[a, b]) * pairs[a, b] / history[a]
-        return (1 - left[a]) / (1 - covered[a]) * p1(b) if history[a] else p1(b)
-
-    return tokens, words, n, v, p2, history
-
-
-def test_op9_equals_recursion(documents):
+    least = {k: 1 if k <= 2 else cutoff for k in range(1, order + 1)}
+    discounts = {k: katz.Discount(dict(Counter(c for c in grams[k].values() if c >= least[k])), least[k]) for k in grams}
+    d = lambda k, c: float(discounts[k](np.array([c]))[0])
+    unseen = 1 - sum(d(1, c) * c for c in words.values()) / n
+    after = defaultdict(list)
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            if c >= least[k]:
+                after[g[:-1]].append((g[-1], c))
+
+    @functools.cache
+    def p(history, w):
+        k = len(history) + 1
+        if k == 1:
+            return d(1, words[w]) * words[w] / n if words[w] else unseen
+        c = grams[k][(*history, w)]
+        if c >= least[k]:
+            return d(k, c) * c / followed[k][history]
+        return weight(history) * p(history[1:], w)
+
+    @functools.cache
+    def weight(history):
+        k = len(history) + 1
+        if not followed[k][history]:
+            return 1.0
+        kept = after[history]
+        return (1 - sum(d(k, c) * c / followed[k][history] for _, c in kept)) / (1 - sum(p(history[1:], w) for w, _ in kept))
+
+    return tokens, words, n, v, p, [h for k in range(2, order + 1) for h in followed[k]]
+
+
+@pytest.mark.parametrize("order, cutoff", [(1, 2), (2, 2), (3, 2), (3, 1), (4, 2)])
+def test_op9_equals_recursion(documents, order, cutoff):
     rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()] + [(i, t) for i, t, _ in ODD]
     df = documents.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(0))
-    tokens, words, n, v, p2, history = katz_by_hand(rows)
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(df, block_tokens=5000).collect())
+    tokens, words, n, v, p, histories = katz_by_hand(rows, order, cutoff)
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in katz.score(df, block_tokens=5000, order=order, cutoff=cutoff).collect())
     want = Counter()
     for (i, _), t in zip(rows, tokens, strict=True):
-        score = sum(math.log10(p2(a, b)) for a, b in zip([b"BEGIN", *t], t, strict=False))
-        want[i, len(t), sum(w in words for w in t), n, round(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), 6), round(score, 6)] += 1
+        padded = (b"BEGIN",) * (order - 1) + tuple(t)
+        score = sum(math.log10(p(padded[j : j + order - 1], w)) for j, w in enumerate(t))
+        want[i, len(t), sum(w in words for w in t), n, round(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), 6), round(score, 5)] += 1
     assert got == want
-    for a in list(history)[:40]:  # exactly normalised over all words and the unseen one
-        assert sum(p2(a, w) for w in [*words, b"never seen"]) == pytest.approx(1, abs=1e-9)
+    for h in histories[:: max(1, len(histories) // 60)]:  # exactly normalised over all words and the unseen one
+        assert sum(p(h, w) for w in [*words, b"never seen"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_op9_empty(none):
