@@ -18,8 +18,8 @@ How it moves. A block is ``block_tokens`` (800,000) tokens of one input partitio
 own order, so that answers hold a small number an n-gram and no key; it also marks one block as the owner of each. The answers,
 partitioned by block, are the model's count tables. With those of one length a block knows which longer n-grams to ask for, and
 sends these in the same way. With all it scores its documents but for the backoff weights: it sums what
-its own n-grams take from the mass of their histories, and lists the histories its documents back off from. The sums by history
-give the weights, and a join adds them. A frequent word is spread over the buckets of its n-grams, and counts of it are one number a
+its own n-grams take from the mass of their histories, and asks for the weights of the histories that its documents back off from, again
+as packed hashes. The sums by history give the weights, buckets answer, and a block adds them to its documents. A frequent word is spread over the buckets of its n-grams, and counts of it are one number a
 block; no task holds all of any word, and what moves is distinct n-grams a block, not tokens.
 
 Defined results: a null or empty text (or one of white space only) is its end alone. Without training documents every
@@ -248,7 +248,7 @@ class Statistics:
 
 REQUEST = "length int, bucket int, block long, n int, hashes binary, counts binary"
 ANSWER = "block long, length int, bucket int, n int, answer binary, r array<long>, types array<long>, tokens long, ends long"
-PART = "kind string, block long, ix int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, hash long, x double, y double, kept long, seen long"
+PART = "kind string, block long, ix int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, hash long, x double, y double, kept long, seen long, data binary"
 NAMES = {k: [x.split()[0] for x in v.split(", ")] for k, v in {"request": REQUEST, "answer": ANSWER, "part": PART}.items()}
 
 
@@ -330,7 +330,7 @@ def rebuilt(texts: Iterable[bytes], told: dict[int, np.ndarray], s: Statistics)
 
 
 def scored(b: Block, s: Statistics) -> tuple:
-    """The documents' sums, the histories they back off from as (document, hash, times), and the owned n-grams' sums as (hash, x: discounted, y: what the shorter ones give, kept and seen counts)."""
+    """The documents' sums, the histories they back off from as (document, hash) for each position, and the owned n-grams' sums as (hash, x: discounted, y: what the shorter ones give, kept and seen counts)."""
     words, tokens = b.levels[0], b.tokens
     p = s.unigram(words.counts)
     score, low = np.log10(p[tokens]), p[tokens]  # of each position, and the probability that the next length backs off to
@@ -363,14 +363,42 @@ def scored(b: Block, s: Statistics) -> tuple:
     b.levels = levels
     documents.append(np.add.reduceat(score, b.starts))
     doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
-    rows = np.concatenate([np.zeros((0, 2), np.int64), *backs])
-    pairs = np.empty(len(rows), [("doc", np.int64), ("hash", np.int64)])
-    pairs["doc"], pairs["hash"] = doc[rows[:, 0]], rows[:, 1]
-    order = np.lexsort((pairs["hash"], pairs["doc"]))
-    pairs = pairs[order]
-    starts = np.nonzero(np.append(True, pairs[1:] != pairs[:-1]))[0] if len(pairs) else np.zeros(0, np.int64)
-    times = np.diff(np.append(starts, len(pairs)))
-    return documents, (pairs["doc"][starts], pairs["hash"][starts], times), tuple(np.concatenate([np.zeros(0), *(o[i] for o in owned)]) if i else np.concatenate([np.zeros(0, np.int64), *(o[0] for o in owned)]) for i in range(5))
+    at = np.concatenate([np.zeros((0, 2), np.int64), *backs])
+    return documents, (doc[at[:, 0]], at[:, 1]), tuple(np.concatenate([np.zeros(0, owned[0][i].dtype if owned else float), *(o[i] for o in owned)]) for i in range(5))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed byte by byte."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def pickled(per: np.ndarray, at: np.ndarray) -> bytes:
+    """The two arrays as bytes, the first with its length in front."""
+    first = planes(per)
+    return len(first).to_bytes(8, "little") + first + planes(at)
+
+
+def unpickled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return unplaned(data[8:end]).astype(np.int64), unplaned(data[end:]).astype(np.int64)
+
+
+def weighed(needs: pa.Table, weights: pa.Table) -> pa.Table:
+    """A bucket's answers: to each block the log10 backoff weights of its hashes, in its order; 0 for those that have none."""
+    history, weight = (weights.column(k).to_numpy() for k in ("history", "weight"))
+    order = np.argsort(history.view(U64))
+    history, weight = history.view(U64)[order], weight[order]
+    out = []
+    for data in needs.column("data").to_pylist():
+        hashes = unpacked(data)
+        at = np.minimum(np.searchsorted(history, hashes), max(len(history) - 1, 0))
+        found = np.where(history[at] == hashes, weight[at], 0.0) if len(history) else np.zeros(len(hashes))
+        out.append(zlib.compress(found.view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
+    return pa.table([needs.column("block"), needs.column("ix"), pa.array(out, pa.binary())], names=["block", "bucket", "weights"])
 
 
 def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, order: int = 3, cutoff: int = 2) -> DataFrame:
@@ -417,24 +445,34 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
         b = block_of(left, right)
         while len(b.levels) < order:  # no block had a longer n-gram to ask for
             b.extend(np.zeros(len(b.tokens), bool)).learn(np.zeros(0, np.int64))
-        docs, backs, owned = scored(b, s)
-        n, nb, no = len(left), len(backs[0]), len(owned[0])
+        docs, (doc, wanted), owned = scored(b, s)
+        del b
+        order_ = np.argsort(doc, kind="stable")
+        doc, wanted = doc[order_], wanted[order_]
+        wanted, at = np.unique(wanted.view(U64), return_inverse=True)
+        _, edges = by_bucket(wanted, bits)
+        asked = [(i, packed(wanted[a:z])) for i, (a, z) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if z > a]
+        n, no = len(left), len(owned[0])
         long, double = pa.int64(), pa.float64()
-        none = lambda k, t: pa.nulls(k, t)
-        columns = [
-            pa.array(["document"] * n + ["backoff"] * nb + ["owned"] * no, pa.string()),
-            pa.array([block] * (n + nb + no), long),
-            pa.concat_arrays([pa.array(range(n), pa.int32()), pa.array(backs[0], pa.int32()), none(no, pa.int32())]),
-            pa.concat_arrays([left.column("doc_id").combine_chunks(), none(nb + no, left.schema.field("doc_id").type)]),
-            pa.concat_arrays([left.column("held_out").combine_chunks(), none(nb + no, pa.bool_())]),
-            *(pa.concat_arrays([pa.array(docs[i], t), none(nb + no, t)]) for i, t in enumerate((long, long, double, double))),
-            pa.concat_arrays([none(n, long), pa.array(backs[1], long), pa.array(owned[0], long)]),
-            pa.concat_arrays([none(n, double), pa.array(backs[2].astype(float)), pa.array(owned[1], double)]),
-            pa.concat_arrays([none(n + nb, double), pa.array(owned[2], double)]),
-            *(pa.concat_arrays([none(n + nb, long), pa.array(owned[i].astype(np.int64), long)]) for i in (3, 4)),
-        ]
-        whole = pa.table(columns, names=NAMES["part"])
-        return pa.Table.from_batches(whole.to_batches(max_chunksize=20_000))  # the JVM holds a batch at a time
+        documents_, needs, sums = ({"kind": pa.array([k] * m, pa.string()), "block": pa.array([block] * m, long)} for k, m in (("document", n), ("need", len(asked)), ("owned", no)))
+        documents_ |= {"ix": pa.array(range(n), pa.int32()), "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(docs[0], long), "n_known": pa.array(docs[1], long), "base_score": pa.array(docs[2], double), "score": pa.array(docs[3], double)}
+        # with the block's first document: how many histories each document backs off from, and which
+        documents_["data"] = pa.array([pickled(np.bincount(doc, minlength=n), at), *[None] * (n - 1)], pa.binary())
+        needs |= {"ix": pa.array([i for i, _ in asked], pa.int32()), "data": pa.array([x for _, x in asked], pa.binary())}
+        sums |= {"hash": pa.array(owned[0], long), "x": pa.array(owned[1], double), "y": pa.array(owned[2], double), "kept": pa.array(owned[3].astype(np.int64), long), "seen": pa.array(owned[4].astype(np.int64), long)}
+        fields = [pa.field(k, documents_[k].type if k in documents_ else sums[k].type) for k in NAMES["part"]]
+        whole = pa.concat_tables([pa.table([x.get(f.name, pa.nulls(len(x["kind"]), f.type)) for f in fields], names=NAMES["part"]) for x in (documents_, needs, sums)])
+        return pa.Table.from_batches(whole.combine_chunks().to_batches(max_chunksize=20_000))  # the JVM holds a batch at a time
+
+    def finished(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The documents of a block with the weights that it asked for."""
+        left, right = left.sort_by("ix"), right.sort_by("bucket")
+        per, at = unpickled(left.column("data")[0].as_py())
+        weights = np.concatenate([np.zeros(0), *(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T.copy().view("<f8").ravel() for x in right.column("weights").to_pylist())])
+        added = np.bincount(np.repeat(np.arange(len(per)), per), weights[at], len(per))
+        total = left.column("score").to_numpy() + added
+        out = left.select(["doc_id", "held_out", "n_tokens", "n_known"]).append_column("train_tokens", pa.array([s.n] * len(left), pa.int64()))
+        return out.append_column("base_score", left.column("base_score")).append_column("score", pa.array(total, pa.float64()))
 
     texts = df.mapInArrow(carried, f"block long, ix int, doc_id {kind}, held_out boolean, text binary")
     for length in range(3, order + 1):
@@ -448,11 +486,12 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     owned = of.agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("seen").alias("seen"), F.sum("kept").alias("kept"))
     left_over = F.col("x") + (F.col("seen") - F.col("kept"))
     weights = stored(owned.select(F.col("hash").alias("history"), (F.log10(left_over) - F.log10("seen") - F.log10(1 - F.col("y"))).alias("weight")), "weights")
-    back = parts.where(F.col("kind") == "backoff").select("block", "ix", "hash", "x")
-    added = back.join(weights, back["hash"] == weights["history"]).groupBy("block", "ix").agg(F.sum(F.col("x") * F.col("weight")).alias("added"))
-    docs = parts.where(F.col("kind") == "document")
-    whole = docs.join(added, ["block", "ix"], "left").withColumn("score", F.col("score") + F.coalesce("added", F.lit(0.0)))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(s.n).cast("long").alias("train_tokens"), "base_score", "score")
+    bucket = (F.shiftrightunsigned("history", 64 - bits) if bits else F.lit(0)).cast("int")
+    needs = parts.where(F.col("kind") == "need").select("block", "ix", "data")
+    replies = needs.groupBy("ix").cogroup(weights.withColumn("ix", bucket).groupBy("ix")).applyInArrow(weighed, "block long, bucket int, weights binary")
+    docs = parts.where(F.col("kind") == "document").select("block", "ix", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "data")
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return docs.groupBy("block").cogroup(stored(replies, "weights_by_block").groupBy("block")).applyInArrow(finished, result)
 
 
 def unseen_mass(answers: DataFrame, s: Statistics) -> float:
