@@ -36,11 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and its lineage cut.
 
-    A reader that loses an executor reads the files again. The folder's owner removes it after the run."""
+    A reader that loses an executor reads the files again. ``discard`` removes it; the folder's owner removes the rest after the run."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagequery-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more: only what was made of them and is stored itself."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Plans of these nodes alone give the same rows in the same partitions whenever they are read.

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, release_shuffles, remainder, settled, stored, table
+from .common import discard, release_memory, release_shuffles, remainder, settled, stored, table
 
 BLOCK_TOKENS = 800_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
@@ -64,22 +64,22 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """The distinct n-grams of one length in a block: at (which one ends at each position, or -1), their histories and last words, hashes, and training counts once they are known."""
+    """The distinct n-grams of one length in a block: at (which one ends at each position, or -1), hashes (sorted, but for words), and training counts once they are known."""
 
     at: np.ndarray
-    first: np.ndarray
-    second: np.ndarray
     hashes: np.ndarray
-    begin: int  # the history before a text is one more, with this number
+    begin: int  # the number of the history before a text
     begin_hash: int
+    words: bool = False
     counts: np.ndarray | None = None
     owner: np.ndarray | None = None
 
     def learn(self, told: np.ndarray) -> None:
         """told: by hash, twice the count, plus one where this block is the owner."""
-        by_hash = np.empty(len(self.hashes), np.int64)
-        by_hash[np.argsort(self.hashes)] = told
-        self.counts, self.owner = by_hash >> 1, (by_hash & 1).astype(bool)
+        if self.words:  # these are numbered as they are met
+            by_hash, told = told, np.empty(len(self.hashes), np.int64)
+            told[np.argsort(self.hashes)] = by_hash
+        self.counts, self.owner = told >> 1, (told & 1).astype(bool)
 
 
 class Block:
@@ -99,8 +99,7 @@ class Block:
         del ids
         self.sizes, self.tokens = np.array(sizes, np.int64), np.array(tokens, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        none = np.zeros(0, np.int64)
-        self.levels = [Level(self.tokens, none, none, self.hashes, BEGIN, int(self.hashes[BEGIN]))]
+        self.levels = [Level(self.tokens, self.hashes, BEGIN, int(self.hashes[BEGIN]), True)]
 
     def histories(self) -> np.ndarray:
         """For each position the n-gram of the last level that stands before it, or -1."""
@@ -113,23 +112,29 @@ class Block:
     def seen(self, history: np.ndarray, documents: int) -> np.ndarray:
         """How often each history was followed by anything in training."""
         last = self.levels[-1]
-        counts = np.append(last.counts, [0, 0])
-        counts[-2] = documents if last.begin == len(last.counts) else 0
-        if last.begin < len(last.counts):  # words: the beginning has a number of its own, and an end is no history
+        counts = np.append(last.counts, [documents, 0])  # -1: not asked for, so below the cutoff
+        if last.words:
             counts[BEGIN], counts[END] = documents, 0
         return counts[history]
 
     def extend(self, use: np.ndarray | None = None) -> Level:
         """Adds the next length, of the positions in use (all)."""
-        last, history = self.levels[-1], self.histories()
-        codes = history << 32 | self.tokens
-        at = np.full(len(self.tokens), -1)
-        use = np.ones(len(at), bool) if use is None else use
-        codes, at[use] = np.unique(codes[use], return_inverse=True)
-        first, second = codes >> 32, codes & 0xFFFFFFFF
-        before = np.append(last.hashes, U64(last.begin_hash))
-        begin = int(pair_hash(np.array([last.begin_hash], U64), self.hashes[BEGIN : BEGIN + 1])[0])
-        self.levels.append(Level(at, first, second, pair_hash(before[first], self.hashes[second]), len(codes), begin))
+        last, history, words = self.levels[-1], self.histories(), self.tokens
+        if use is not None:
+            history, words = history[use], words[use]
+        found = pair_hash(np.append(last.hashes, U64(last.begin_hash))[history], self.hashes[words])
+        order = np.argsort(found)
+        found = found[order]
+        new = np.append(True, found[1:] != found[:-1]) if len(found) else np.zeros(0, bool)
+        number = np.empty(len(found), np.int64)
+        number[order] = np.cumsum(new) - 1
+        at = number
+        if use is not None:
+            at = np.full(len(self.tokens), -1)
+            at[use] = number
+        hashes = found[new]
+        begin_hash = int(pair_hash(np.array([last.begin_hash], U64), self.hashes[BEGIN : BEGIN + 1])[0])
+        self.levels.append(Level(at, hashes, len(hashes), begin_hash))
         return self.levels[-1]
 
     def wanted(self, documents: int, cutoff: int) -> np.ndarray:
@@ -173,11 +178,10 @@ def loosened(data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def by_bucket(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the hashes, and where each bucket (their first bits) starts in it."""
-    order = np.argsort(hashes)
-    edges = np.searchsorted(hashes[order], np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(0, np.int64)
-    return order, np.concatenate([[0], edges, [len(hashes)]])
+def by_bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket (their first bits) starts in sorted hashes."""
+    edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(0, np.int64)
+    return np.concatenate([[0], edges, [len(hashes)]])
 
 
 def blocks_of(batches, columns: list[str], block_tokens: int):
@@ -254,8 +258,9 @@ NAMES = {k: [x.split()[0] for x in v.split(", ")] for k, v in {"request": REQUES
 
 def packets(block: int, length: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """REQUEST rows of a block's n-grams of one length, one a bucket."""
-    order, edges = by_bucket(hashes, bits)
+    order = np.argsort(hashes) if length == 1 else slice(None)
     h, c = hashes[order], counts[order]
+    edges = by_bucket(h, bits)
     rows = [(length, i, block, e - s, packed(h[s:e]), squeezed(c[s:e])) for i, (s, e) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if e > s]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], NAMES["request"])
@@ -343,11 +348,10 @@ def scored(b: Block, s: Statistics) -> tuple:
         told = np.append(level.counts, 0)[level.at]
         kept = told >= s.kept(length)
         d = s.discounts[length](told) if length in s.discounts else np.ones(len(told))
-        mine = np.zeros(len(tokens), bool)  # one position of each n-gram that this block owns
-        at = level.at[kept]
-        mine[np.nonzero(kept)[0][np.unique(at, return_index=True)[1]]] = True
-        mine &= np.append(level.owner, False)[level.at]
-        sums = [np.bincount(history[mine], v[mine], len(before.hashes) + 2) for v in ((1 - d) * told, low, told.astype(float))]
+        place = np.full(len(level.hashes), -1)  # a position of each n-gram
+        place[level.at[kept]] = np.nonzero(kept)[0]
+        mine = place[level.owner & (place >= 0)]
+        sums = [np.bincount(history[mine], v, len(before.hashes) + 2) for v in ((1 - d[mine]) * told[mine], low[mine], told[mine].astype(float))]
         hashes = np.append(before.hashes, U64(before.begin_hash)).view(np.int64)
         of = np.zeros(len(sums[0]), np.int64)
         of[history[mine]] = seen[mine]
@@ -412,6 +416,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
     s = Statistics(cutoff)
     answers = answered(requests(df, bits, block_tokens, order), s, "counts")
+    tables = [answers]
     s.unseen = unseen_mass(answers, s)
 
     def carried(batches):
@@ -450,7 +455,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
         order_ = np.argsort(doc, kind="stable")
         doc, wanted = doc[order_], wanted[order_]
         wanted, at = np.unique(wanted.view(U64), return_inverse=True)
-        _, edges = by_bucket(wanted, bits)
+        edges = by_bucket(wanted, bits)
         asked = [(i, packed(wanted[a:z])) for i, (a, z) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if z > a]
         n, no = len(left), len(owned[0])
         long, double = pa.int64(), pa.float64()
@@ -478,14 +483,16 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     for length in range(3, order + 1):
         replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
         asked = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, REQUEST)
-        answers = answers.unionByName(answered(asked, s, f"counts_{length}"))
+        tables.append(answered(asked, s, f"counts_{length}"))
+        answers = answers.unionByName(tables[-1])
     replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
     parts = stored(texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, PART.format(kind=kind)), "parts")
-    release_shuffles(df.sparkSession)
+    discard(*tables)
     of = parts.where(F.col("kind") == "owned").groupBy("hash")
     owned = of.agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("seen").alias("seen"), F.sum("kept").alias("kept"))
     left_over = F.col("x") + (F.col("seen") - F.col("kept"))
     weights = stored(owned.select(F.col("hash").alias("history"), (F.log10(left_over) - F.log10("seen") - F.log10(1 - F.col("y"))).alias("weight")), "weights")
+    release_shuffles(df.sparkSession)
     bucket = (F.shiftrightunsigned("history", 64 - bits) if bits else F.lit(0)).cast("int")
     needs = parts.where(F.col("kind") == "need").select("block", "ix", "data")
     replies = needs.groupBy("ix").cogroup(weights.withColumn("ix", bucket).groupBy("ix")).applyInArrow(weighed, "block long, bucket int, weights binary")
