@@ -120,6 +120,7 @@ def hashed_sample(df: DataFrame, most: int) -> list:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM collects what nothing refers to any more."""
+    spark.range(1).collect()  # the last job is let go when another has run
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -30,15 +30,16 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before i
 U64 = np.uint64
 
 
+@lru_cache(maxsize=1)
+def codec() -> tuple:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def deflated(data: bytes) -> bytes:
+    return codec()[0].compress(data)
+
+
+def inflated(data: bytes) -> bytes:
+    return codec()[1].decompress(data)
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 7)
 
@@ -168,11 +182,11 @@ def squeezed(values: np.ndarray) -> bytes:
     """Small non-negative integers, compressed; those of 255 and more apart."""
     big = values >= 255
     low = np.where(big, 255, values).astype(np.uint8).tobytes()
-    return zlib.compress(low + values[big].astype("<i8").tobytes(), 1)
+    return deflated(low + values[big].astype("<i8").tobytes())
 
 
 def loosened(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
+    raw = inflated(data)
     values = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     values[values == 255] = np.frombuffer(raw, "<i8", offset=n)
     return values
@@ -373,11 +387,11 @@ def scored(b: Block, s: Statistics) -> tuple:
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers below 2**32, compressed byte by byte."""
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return deflated(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(inflated(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def pickled(per: np.ndarray, at: np.ndarray) -> bytes:
@@ -401,7 +415,7 @@ def weighed(needs: pa.Table, weights: pa.Table) -> pa.Table:
         hashes = unpacked(data)
         at = np.minimum(np.searchsorted(history, hashes), max(len(history) - 1, 0))
         found = np.where(history[at] == hashes, weight[at], 0.0) if len(history) else np.zeros(len(hashes))
-        out.append(zlib.compress(found.view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
+        out.append(deflated(found.view(np.uint8).reshape(-1, 8).T.tobytes()))
     return pa.table([needs.column("block"), needs.column("ix"), pa.array(out, pa.binary())], names=["block", "bucket", "weights"])
 
 
@@ -422,7 +436,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     def carried(batches):
         for block, texts, rest in blocks_of(batches, ["doc_id", "held_out"], block_tokens):
             n = len(texts)
-            yield from pa.table([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest.columns, pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["block", "ix", "doc_id", "held_out", "text"]).to_batches(1000)
+            yield from pa.table([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest.columns, pa.array([*map(deflated, texts)], pa.binary())], names=["block", "ix", "doc_id", "held_out", "text"]).to_batches(1000)
 
     def block_of(left: pa.Table, right: pa.Table) -> Block:
         told: dict[int, list] = {}
@@ -431,7 +445,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
             told.setdefault(length, []).append(loosened(a, n))
         for length in range(3, max(told) + 1):
             told.setdefault(length, [np.zeros(0, np.int64)])
-        return rebuilt((zlib.decompress(x.as_py()) for x in left.column("text")), {k: np.concatenate(v) for k, v in told.items()}, s)
+        return rebuilt((inflated(x.as_py()) for x in left.column("text")), {k: np.concatenate(v) for k, v in told.items()}, s)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """The requests of a block for the next length."""
@@ -473,7 +487,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
         """The documents of a block with the weights that it asked for."""
         left, right = left.sort_by("ix"), right.sort_by("bucket")
         per, at = unpickled(left.column("data")[0].as_py())
-        weights = np.concatenate([np.zeros(0), *(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T.copy().view("<f8").ravel() for x in right.column("weights").to_pylist())])
+        weights = np.concatenate([np.zeros(0), *(np.frombuffer(inflated(x), np.uint8).reshape(8, -1).T.copy().view("<f8").ravel() for x in right.column("weights").to_pylist())])
         added = np.bincount(np.repeat(np.arange(len(per)), per), weights[at], len(per))
         total = left.column("score").to_numpy() + added
         out = left.select(["doc_id", "held_out", "n_tokens", "n_known"]).append_column("train_tokens", pa.array([s.n] * len(left), pa.int64()))
@@ -488,6 +502,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
     parts = stored(texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, PART.format(kind=kind)), "parts")
     discard(*tables)
+    release_shuffles(df.sparkSession)
     of = parts.where(F.col("kind") == "owned").groupBy("hash")
     owned = of.agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("seen").alias("seen"), F.sum("kept").alias("kept"))
     left_over = F.col("x") + (F.col("seen") - F.col("kept"))

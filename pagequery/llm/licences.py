@@ -1,18 +1,22 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the non-blank lines of a text. The classifier is a multinomial logistic regression over the word 1- and 2-grams of the
+Paragraphs are the blocks of a text between blank lines. Each line of a block is judged, and a block of several lines (up to ``BLOCK_LINES``
+in one piece; longer ones in windows of so many, half overlapping) as a whole, so a notice is found on a line of its own as well as a licence that is wrapped
+over many. A line stands for itself where its prediction is confirmed; a block where it is confirmed and none of its lines is.
+
+The classifier is a multinomial logistic regression over the word 1- and 2-grams of the
 templates (no other word can speak for a licence), made sparse by an L1 penalty, with a class of its own for paragraphs that are
-no licence. It is trained from variants of the templates and from a bounded sample of paragraphs of the corpus
-(``sample_rows`` of least hash among those that share a word with a template, are like none of them and are no part of one); a temperature fitted on
-variants and paragraphs held out of the training calibrates its probabilities. A licence family is predicted where its
+no licence. It is trained from variants of the templates and from a bounded sample of lines of the corpus
+(``sample_rows`` of least hash, of about ``sample_documents`` documents by hash, among those that share a word with a template, are like none of them and are no part of one). A temperature
+calibrates its probabilities: it is fitted on whole templates that a trial fit has not seen, in any variant, and on lines held out. A licence family is predicted where its
 probability is over one half; the prediction is confirmed where some template of the family shares ``similar`` or more of its
 2-grams with the paragraph.
 
 Everything that touches all texts is built-in functions. A paragraph without any n-gram of positive weight scores no more than
 the biases, and the fit makes sure that this is unknown; so texts are first searched for the words of such n-grams.
 
-Defined results: null and empty texts give no row; a paragraph of any length is judged whole; equal paragraphs give rows of their own.
-An empty table gives an empty result.
+Defined results: null and empty texts give no row; a paragraph of any length is judged; equal paragraphs give rows of their own. Equal probabilities go to the
+family that stands first in ``TEMPLATES``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,28 +26,29 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, table
+from .common import ROW, hashed_sample, numbered, settled, table
 
-#: Notices by which texts name their licence, and opening passages of the licences.
+#: Notices by which texts name their licence, and paragraphs of the licences (fixed texts).
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT licensed"],
-    "Apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "Distributed under the Apache License 2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GPL version 2 or any later version"],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
-    "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL version 3"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license", "BSD license"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "MIT": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT licensed"],
+    "Apache": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "Distributed under the Apache License 2.0"],
+    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the GPL version 2 or any later version"],
+    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
+    "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL version 3"],
+    "BSD": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license", "BSD license"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the Creative Commons Attribution License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal", "Dedicated to the public domain under the Creative Commons CC0 Public Domain Dedication"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
     "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.", "Unauthorised copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
 }
 UNKNOWN = "unknown"
+BLOCK_LINES = 64
 
 
 def grams(text: str) -> list[str]:
@@ -106,14 +111,14 @@ class Model:
         return sorted({w for p in parts for w in p} - weak)
 
 
-def variants() -> list[tuple[str, str]]:
-    """(text, family): the templates, and each with words lost at its ends, in capitals, and within a sentence."""
+def variants() -> list[tuple[str, str, bool]]:
+    """(text, family, whether its template is held out of the trial): the templates, and each with words lost at its ends, in capitals, and within a sentence."""
     out = []
     for family, texts in TEMPLATES.items():
-        for t in texts:
-            w = t.split()
-            out += [(t, family), (t.upper(), family), (f"Copyright 2020. {t}", family), (f"{t} See the file for details.", family)]
-            out += [(" ".join(w[a : len(w) - b]), family) for a, b in ((1, 0), (0, 1), (2, 0), (1, 1)) if len(w) - a - b >= 4]
+        for number, t in enumerate(texts):
+            w, held = t.split(), number % 3 == 2
+            out += [(x, family, held) for x in (t, t.upper(), f"Copyright 2020. {t}", f"{t} See the file for details.")]
+            out += [(" ".join(w[a : len(w) - b]), family, held) for a, b in ((1, 0), (0, 1), (2, 0), (1, 1), (0, len(w) // 2), (len(w) // 2, 0)) if len(w) - a - b >= 4]
     return out
 
 
@@ -125,14 +130,14 @@ def fit(negatives: list[list[str]], penalty: float = 2e-4, steps: int = 400) ->
     at = {g: i for i, g in enumerate(vocabulary)}
     # nothing of a template, each common word alone, and what the corpus shows
     none = [[], *([g] for g in vocabulary if " " not in g), *negatives]
-    rows = [(grams(t), families.index(f)) for t, f in positive] + [(g, len(families) - 1) for g in none]
+    rows = [(grams(t), families.index(f), held) for t, f, held in positive] + [(g, len(families) - 1, i % 4 == 3) for i, g in enumerate(none)]
     x, y = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(families)))
-    for i, (g, k) in enumerate(rows):
+    for i, (g, k, _) in enumerate(rows):
         x[i, [at[v] for v in g if v in at]] = 1
         y[i, k] = 1
     share = y.sum(0)
     weight = (y / np.sqrt(share)).sum(1)
-    held = np.arange(len(rows)) % 4 == 3
+    held = np.array([x for *_, x in rows])
 
     def solve(use: np.ndarray) -> Model:
         xs, ys, ws = x[use], y[use], weight[use, None] / weight[use].sum()
@@ -149,6 +154,7 @@ def fit(negatives: list[list[str]], penalty: float = 2e-4, steps: int = 400) ->
             t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
             look, look_bias = new + (before - 1) / t * (new - m.weights), new_bias + (before - 1) / t * (new_bias - m.bias)
             m.weights, m.bias = new, new_bias
+        m.bias[-1] = max(m.bias[-1], m.bias[:-1].max())  # a paragraph with no n-gram in favour is unknown; before the calibration, which knows it
         return m
 
     trial = solve(~held)  # its mistakes on what it has not seen set the temperature
@@ -163,7 +169,6 @@ def fit(negatives: list[list[str]], penalty: float = 2e-4, steps: int = 400) ->
     model.temperature = float(best)
     seen = Counter(w for g in negatives for w in g if " " not in w)
     model.common = sorted((w for w in vocabulary if " " not in w), key=lambda w: (-seen[w], len(w), w))
-    model.bias[-1] = max(model.bias[-1], model.bias[:-1].max())  # a paragraph with no n-gram in favour is unknown
     return model
 
 
@@ -183,12 +188,29 @@ def part_of_a_template(gram_array: Column) -> Column:
     return (F.size(pairs) >= 2) & F.array_max(F.array(*within))
 
 
+def has_word(text: Column, anchors: list[str]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), strings(anchors))
+
+
+def lines_of(documents: DataFrame, anchors: list[str]) -> DataFrame:
+    """doc_id, line (from 0), text of the lines with one of these words."""
+    some = documents.select("doc_id", "text").where(has_word(F.col("text"), anchors))
+    lines = some.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "text"))
+    return lines.where(has_word(F.col("text"), anchors))
+
+
 def paragraphs(documents: DataFrame, anchors: list[str]) -> DataFrame:
-    """doc_id, paragraph (its line, from 0), text of the lines with one of these words."""
-    has = lambda text: F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), strings(anchors))
-    some = documents.select("doc_id", "text").where(has(F.col("text")))
-    lines = some.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("paragraph", "text"))
-    return lines.where(has(F.col("text")))
+    """row, doc_id, paragraph (from 0), line (within it, from 0; -1 for the whole or a window of it), text, of those with one of these words."""
+    some = numbered(documents, "doc_id", "text").where(has_word(F.col("text"), anchors))
+    blocks = some.select(ROW, "doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n|\r", "\n"), r"\n(?:[ \t]*\n)+")).alias("paragraph", "block"))
+    blocks = blocks.where(has_word(F.col("block"), anchors)).select(ROW, "doc_id", "paragraph", F.split("block", "\n").alias("lines"))
+    half = BLOCK_LINES // 2
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - half - 1), F.lit(half))
+    windows = F.when(F.size("lines") > 1, F.transform(starts, lambda i: F.struct(F.lit(-1).alias("line"), F.array_join(F.slice("lines", i + 1, F.lit(BLOCK_LINES)), " ").alias("text"))))
+    single = F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("text")))
+    units = F.concat(single, F.coalesce(windows, F.array().cast("array<struct<line:int,text:string>>")))
+    out = blocks.select(ROW, "doc_id", "paragraph", F.explode(units).alias("u")).select(ROW, "doc_id", "paragraph", "u.line", "u.text")
+    return out.where(has_word(F.col("text"), anchors))
 
 
 def template_words() -> list[str]:
@@ -201,18 +223,22 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def train(documents: DataFrame, sample_rows: int = 2000) -> Model:
+def train(documents: DataFrame, sample_rows: int = 2000, sample_documents: int = 20_000) -> Model:
+    total, scale = documents.count(), 1 << 30
+    if total > sample_documents:
+        documents = documents.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < scale * sample_documents // total)
     vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
-    shown = once(paragraphs(documents, template_words()), "all", grams_of(words_of(F.col("text"))))
+    shown = once(lines_of(documents, template_words()), "all", grams_of(words_of(F.col("text"))))
     shown = once(shown, "g", F.array_sort(F.array_intersect("all", strings(vocabulary))))
     shown = shown.select("g", (F.size("g") == F.size("all")).alias("whole")).distinct().where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
     shown = shown.where(~(F.col("whole") & part_of_a_template(F.col("g")))).select("g").distinct()
     return fit([r["g"] for r in hashed_sample(shown, sample_rows)])
 
 
-def scan(documents: DataFrame, sample_rows: int = 2000, similar: float = 0.6, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed: the paragraphs of documents(doc_id, text) that a licence family is predicted for."""
-    model = model or train(documents, sample_rows)
+def scan(documents: DataFrame, sample_rows: int = 2000, similar: float = 0.6, model: Model | None = None, sample_documents: int = 20_000) -> DataFrame:
+    """doc_id, paragraph, line, family, probability, similarity, confirmed: the lines and blocks of documents(doc_id, text) that a licence family is predicted for."""
+    documents = settled(documents)
+    model = model or train(documents, sample_rows, sample_documents)
     kept = np.nonzero(np.abs(model.weights).max(1) > 0)[0]
     vocabulary = strings(model.vocabulary[i] for i in kept)
     df = once(paragraphs(documents, model.anchors()), "g", grams_of(words_of(F.col("text"))))
@@ -227,8 +253,15 @@ def scan(documents: DataFrame, sample_rows: int = 2000, similar: float = 0.6, mo
     p = 1 / F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("top")))
     family = F.get(strings(model.families), F.array_position("z", F.col("top")).cast("int") - 1)
     df = once(once(df, "family", family), "probability", p).where((F.col("family") != UNKNOWN) & (F.col("probability") > 0.5))
-    df = df.withColumn("similarity", like_a_template(F.col("g"), list(TEMPLATES), F.col("family")))
-    return df.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= similar).alias("confirmed"))
+    df = df.withColumn("similarity", like_a_template(F.col("g"), list(TEMPLATES), F.col("family"))).withColumn("confirmed", F.col("similarity") >= similar)
+    df = df.select(ROW, "doc_id", "paragraph", "line", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+    # of a paragraph, the confirmed lines; without any, the best confirmed window of it; without that, the lines that are predicted
+    whole = Window.partitionBy(ROW, "paragraph")
+    line, block = (F.max(F.col("confirmed") & ((F.col("line") >= 0) == F.lit(x))).over(whole) for x in (True, False))
+    best = F.row_number().over(Window.partitionBy(ROW, "paragraph", "line").orderBy(F.desc("similarity"), F.desc("probability"), "family"))
+    df = df.withColumns({"by_line": line, "by_block": block & ~line, "best": best})
+    keep = F.when(F.col("by_line"), F.col("line") >= 0).when(F.col("by_block"), (F.col("line") == -1) & (F.col("best") == 1)).otherwise(F.col("line") >= 0)
+    return df.where(keep).select("doc_id", "paragraph", "line", "family", "probability", "similarity", "confirmed")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

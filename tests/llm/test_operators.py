@@ -7,6 +7,8 @@ import html
 import itertools
 import math
 import random
+import re
+import textwrap
 import time
 import unicodedata
 import uuid
@@ -515,8 +517,8 @@ def test_op6_families(spark, odd):
     lines = {"MIT": "Released under the MIT License.", "Apache": "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0", "GPL": "(c) me. This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     texts = [(i, f"some text\n{t}\nmore of the same work under way") for i, t in enumerate(lines.values())] + [(100, "He was at MIT to get a license for driving."), (101, "free software in general and public use"), (102, None)]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert {i: (r.paragraph, r.family, r.confirmed) for i, r in got.items()} == {i: (1, f, True) for i, f in enumerate(lines)}
-    assert licences.scan(odd).count() == 0
+    assert {i: (r.paragraph, r.line, r.family, r.confirmed) for i, r in got.items()} == {i: (0, 1, f, True) for i, f in enumerate(lines)}
+    assert licences.scan(odd).count() == 0 and licences.scan(odd.limit(0)).count() == 0
 
 
 def test_op6_short_notices(spark):
@@ -526,6 +528,52 @@ def test_op6_short_notices(spark):
     assert got == {**{i: (f, True) for i, f in enumerate(lines)}, **{k: ("Proprietary", True) for k in range(10, 40)}}
 
 
+def test_op6_wrapped_licences(spark):
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n))
+    prose = "It rained all week and nobody went out.\nThe paper was late again."
+    longest = {f: max(ts, key=len) for f, ts in licences.TEMPLATES.items() if f in ("MIT", "Apache", "BSD", "GPL")}
+    texts = [(i, f"{prose}\n\n{wrap(t, 60)}\n \n{prose}") for i, t in enumerate(longest.values())] * 2
+    texts += [(50, prose + "\n" + "\n".join(["no more than filler here"] * 200) + "\n" + wrap(longest["MIT"], 60) + "\n" + "\n".join(["and filler there"] * 200)), (51, prose.replace("\n", "\r\n\r\n"))]
+    got = Counter((r.doc_id, r.paragraph, r.line, r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).where("confirmed").collect())
+    assert got == {**{(i, 1, -1, f, True): 2 for i, f in enumerate(longest)}, (50, 0, -1, "MIT", True): 1}
+
+
+def test_op6_is_brute_force(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9000, "Released under the\nMIT License.\n\nAll rights reserved."), (9000, "Released under the\nMIT License.\n\nAll rights reserved.")], "doc_id long, text string"))
+    model = licences.train(df)
+
+    def judged(text):
+        g = licences.grams(text)
+        x = np.array([[float(v in set(g)) for v in model.vocabulary]])
+        p = model.probabilities(x)[0]
+        family = model.families[int(p.argmax())]
+        if family == licences.UNKNOWN or p.max() <= 0.5:
+            return None
+        like = max(len(set(licences.bigrams(t)) & set(g)) / len(licences.bigrams(t)) for t in licences.TEMPLATES[family])
+        return family, float(p.max()), like, like >= 0.6
+
+    want = Counter()
+    for doc_id, text in df.collect():
+        for k, block in enumerate(re.split(r"\n(?:[ \t]*\n)+", text.replace("\r\n", "\n").replace("\r", "\n"))):
+            lines = block.split("\n")
+            by_line = {i: j for i, t in enumerate(lines) if (j := judged(t))}
+            windows = [" ".join(lines[a : a + 64]) for a in range(0, max(1, len(lines) - 32), 32)] if len(lines) > 1 else []
+            by_block = [j for t in windows if (j := judged(t)) and j[3]]
+            if not any(j[3] for j in by_line.values()) and by_block:
+                by_line = {-1: max(by_block, key=lambda j: (round(j[2], 6), round(j[1], 6)))}
+            want.update((doc_id, k, i, j[0], round(j[1], 4), round(j[2], 6), j[3]) for i, j in by_line.items())
+    got = Counter((r.doc_id, r.paragraph, r.line, r.family, round(r.probability, 4), r.similarity, r.confirmed) for r in licences.scan(df, model=model).collect())
+    assert got == want and sum(want.values()) > 5
+
+
+def test_op6_held_out_templates():
+    rows = licences.variants()
+    texts = lambda held: {frozenset(licences.grams(t)) for t, _, h in rows if h == held}
+    assert texts(True) and len([1 for *_, h in rows if h]) > 20
+    of = {t: h for f, ts in licences.TEMPLATES.items() for t, h in zip(ts, (i % 3 == 2 for i in range(len(ts))), strict=True)}
+    assert all(h == of[t] for t, _, h in rows if t in of)
+
+
 def test_op6_column_equals_model(spark):
     model = licences.fit([["of", "the"], ["the", "this"], ["under"]])
     texts = [t for ts in licences.TEMPLATES.values() for t in ts] + ["this is the software", "under the"]
