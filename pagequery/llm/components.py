@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     now = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(most):
         before, now = now, stored(_star(_star(now, True), False), "links")
-        if now.join(before, ["a", "b"], "left_anti").isEmpty() and before.join(now, ["a", "b"], "left_anti").isEmpty():
+        settled = now.join(before, ["a", "b"], "left_anti").isEmpty() and before.join(now, ["a", "b"], "left_anti").isEmpty()
+        discard(before)
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {most} steps")

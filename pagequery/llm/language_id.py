@@ -36,6 +36,9 @@ UNDETERMINED = "und"
 FAR = 3 / math.sqrt(DIMENSIONS)
 
 
+ASCII_OTHERS = re.compile("[^a-z]+")
+
+
 @lru_cache(maxsize=1)
 def others() -> tuple[re.Pattern, re.Pattern]:
     """Runs of what is neither a letter nor a mark of one, and a letter."""
@@ -84,6 +87,8 @@ class Trigrams:
 
 def letters(text: str | None) -> str:
     """The text's letters and single spaces between them; empty without a letter."""
+    if text and text.isascii():
+        return ASCII_OTHERS.sub(" ", text.lower()).strip()
     runs, letter_ = others()
     return runs.sub(" ", text.lower()).strip() if text and letter_.search(text) else ""
 
