@@ -143,7 +143,7 @@ class Vocabulary:
 class Transducer:
     """The deterministic transducer of a word's bytes: states by number, and transitions with what they emit, compiled when first taken."""
 
-    def __init__(self, vocabulary: Vocabulary, states: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, states: int = 400_000):
         self.vocabulary, self.most = vocabulary, states
         self.clear()
 
