@@ -280,14 +280,13 @@ query("l12_picks", on_sources(lambda p: extract.extract(p, parse_patterns(TRIMME
     PICKED.format("least", "ls[line + 1]", "page_no > (SELECT last FROM o WHERE d = doc_id) - 2"),
 ]) + ") SELECT doc_id, variable, string_agg(value, '|' ORDER BY place) AS selected FROM m WHERE variable = 'value' OR variable = 'single' AND place = 1 OR variable = 'later' AND place = 2 OR variable = 'least' AND place > k - 2 GROUP BY 1, 2")
 
-SIDES = {"above": parse_legacy("License:above:1:line"), "below": parse_legacy("License:below:1:line"), "word": parse_legacy("License:below:1:word"), "number": parse_legacy("License:right:0:number"), "under": parse_legacy("License:below:2:number"), "rest": parse_legacy("License:right:1:text")}
+SIDES = {"above": parse_legacy("License:above:1:line"), "word": parse_legacy("License:below:1:word"), "number": parse_legacy("License:right:0:number")}
 query("l20_sides", on_sources(lambda p: extract.scrape(p, SIDES)), r"WITH " + SOURCES + r""", k AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls, list_position(list_transform(string_split(text, chr(10)), lambda x: contains(lower(x), 'license')), true) AS i FROM p),
  w AS (SELECT *, list_filter(string_split_regex(ls[i], '\s+'), lambda x: x <> '') AS w, strpos(lower(ls[i]), 'license') - 1 AS k0 FROM k WHERE i > 0),
- b AS (SELECT *, len(list_filter(range(1, len(w) + 1), lambda j: length(array_to_string(w[1:j], ' ')) + 1 < k0 + 7)) AS b, list_filter(string_split_regex(ls[i + 1], '\s+'), lambda x: x <> '') AS w1, list_filter(string_split_regex(ls[i + 2], '\s+'), lambda x: x <> '') AS w2 FROM w),
- o AS (SELECT doc_id AS filename, page_no AS page, CASE WHEN i > 1 AND regexp_matches(ls[i - 1], '\S') THEN regexp_replace(ls[i - 1], '^\s+|\s+$', '', 'g') END AS above, CASE WHEN len(w1) > 0 THEN regexp_replace(ls[i + 1], '^\s+|\s+$', '', 'g') END AS below, w1[1] AS word,
-   list_filter(list_transform(w[b + 2:b + 4], lambda x: regexp_extract(x, '-?[0-9]+(?:[.,][0-9]+)*')), lambda x: x <> '')[1] AS number, list_filter(list_transform(w2[1:3], lambda x: regexp_extract(x, '-?[0-9]+(?:[.,][0-9]+)*')), lambda x: x <> '')[1] AS under,
-   CASE WHEN b + 2 < len(w) THEN array_to_string(w[b + 3:], ' ') END AS rest FROM b WHERE b < len(w))
- SELECT filename, page, coalesce(above, '') AS above, coalesce(below, '') AS below, coalesce(word, '') AS word, coalesce(number, '') AS number, coalesce(under, '') AS under, coalesce(rest, '') AS rest FROM o WHERE coalesce(above, below, word, number, under, rest) IS NOT NULL""")
+ b AS (SELECT *, len(list_filter(range(1, len(w) + 1), lambda j: length(array_to_string(w[1:j], ' ')) + 1 < k0 + 7)) AS b, list_filter(string_split_regex(ls[i + 1], '\s+'), lambda x: x <> '') AS w1 FROM w),
+ o AS (SELECT doc_id AS filename, page_no AS page, CASE WHEN i > 1 AND regexp_matches(ls[i - 1], '\S') THEN regexp_replace(ls[i - 1], '^\s+|\s+$', '', 'g') END AS above, w1[1] AS word,
+   list_filter(list_transform(w[b + 2:b + 4], lambda x: regexp_extract(x, '-?[0-9]+(?:[.,][0-9]+)*')), lambda x: x <> '')[1] AS number FROM b WHERE b < len(w))
+ SELECT filename, page, coalesce(above, '') AS above, coalesce(word, '') AS word, coalesce(number, '') AS number FROM o WHERE coalesce(above, word, number) IS NOT NULL""")
 query("l24_debug", on_sources(lambda p: extract.debug(p, parse_patterns(["License:l1wd1"])[0]).select("doc_id", "page_no", "line", "word", "match_text", "target_line", "target_word", "extracted", F.md5(F.col("line_text").cast("binary")).alias("line_text"))), f"WITH {PAGE_WORDS} SELECT doc_id, page_no, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, x AS match_text, CAST(line AS INTEGER) AS target_line, CAST(greatest(word - 1, 0) AS INTEGER) AS target_word, w[greatest(word - 1, 0) + 1] AS extracted, md5(t) AS line_text FROM x WHERE contains(c, 'license')")
 query("l9_matches", on_sources(lambda p: extract.matches(p, parse_patterns(["License:wd1"])).select("doc_id", "page_no", "line", "word", "match_text")), rf"WITH {SOURCES}, l AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM p), w AS (SELECT doc_id, page_no, line, unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS match_text, generate_subscripts(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''), 1) - 1 AS word FROM l) SELECT doc_id, page_no, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, match_text FROM w WHERE contains(regexp_replace(lower(match_text), '[^\p{{L}}\p{{N}}]', '', 'g'), 'license')")
 
