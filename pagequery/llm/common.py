@@ -53,26 +53,35 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Plans of these nodes alone give the same rows in the same partitions whenever they are read.
-SCANS = ("Relation", "Project", "Filter", "LocalRelation", "Union")
+#: Plans of these nodes alone, over one table of Parquet files, give rows that the place in their file names for good.
+SCANS = ("Relation", "Project", "Filter")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, or what it holds now as a stored table, unless it is read from files: a second reading gives each row the same key."""
+    """df, or what it holds now as a stored table, unless it is read from Parquet files: every reading gives each row the same key.
+
+    The key is the row's file and its index in there, so it does not depend on how a scan is split, which follows the executors at hand."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = [x.lstrip(" :+-!").split(" ")[0].split("[")[0] for x in plan.splitlines() if x.strip()]
     random = any(x in plan for x in ("rand(", "randn(", "uuid(", "monotonically_increasing_id", "spark_partition_id"))
-    return df if all(x in SCANS for x in nodes) and not random else stored(df, "input")
+    if all(x in SCANS for x in nodes) and plan.rstrip().endswith(" parquet") and not random:
+        return df
+    return stored(df, "input")
+
+
+def row_key(df: DataFrame) -> Column:
+    """The key of a row of a settled table: a hash of its file's path, and its index in the file."""
+    of = df.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(of["file_path"]).alias("file"), of["row_index"].alias("row"))
 
 
-def row_key() -> Column:
-    """The key of a row of a settled table."""
-    return F.monotonically_increasing_id()
+#: The type of a row's key.
+KEY = "struct<file: bigint, row: bigint>"
 
 
 def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """ROW and these columns of a settled table."""
-    return df.select(row_key().alias(ROW), *columns)
+    return df.select(row_key(df).alias(ROW), *columns)
 
 
 def free_name(df: DataFrame, name: str = ROW) -> str:
@@ -86,7 +95,7 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a settled table whose key is not in gone(row)."""
     row = free_name(df)
     gone = gone.select(F.col(gone.columns[0]).alias(free_name(df, "__pq_gone")))
-    keyed = df.withColumn(row, row_key())
+    keyed = df.withColumn(row, row_key(df))
     return keyed.join(gone, keyed[row] == gone[gone.columns[0]], "left_anti").drop(row)
 
 

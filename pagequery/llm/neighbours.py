@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, settled, stored, table
+from .common import ROW, stored, table
 
 BLOCK = "part int, ix int, dim int, n int, rows binary, q binary, scale binary, size binary, residual binary"
 WIDEST = 1024  # 127 * 127 * 1024 < 2**24: sums of int8 products that float32 holds exactly
@@ -185,7 +185,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, query_rows: int
     parts = F.coalesce("embedding", F.array().cast(embeddings.schema["embedding"].dataType))
     finite = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     taking_part = F.col("vec_id").isNotNull() & (F.size(parts) > 0) & finite & F.exists(parts, lambda x: x != 0)
-    valid = numbered(settled(embeddings), "vec_id", "embedding").where(taking_part)
+    # numbered once and stored: each reading gives each row the same key
+    valid = stored(embeddings.where(taking_part).select(F.monotonically_increasing_id().alias(ROW), "vec_id", "embedding"), "vectors")
     asked = valid.where(F.col("vec_id") % every == 0)
     n, n_queries = valid.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     queries = stored(packed(asked.repartition(max(1, -(-n_queries // query_rows))), query_rows), "queries")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, settled, stored, table, without
+from .common import KEY, ROW, numbered, settled, stored, table, without
 from .components import components
 
 BITS, PIVOTS, TILE = 64, 24, 768
@@ -56,7 +56,7 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fp)], [ROW, "doc_id", "fp"])
 
-    return numbered(documents, "doc_id", "text").mapInArrow(run, f"{ROW} long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return numbered(documents, "doc_id", "text").mapInArrow(run, f"{ROW} {KEY}, doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def keys_of(fp, extra: int, radius: int) -> list:
