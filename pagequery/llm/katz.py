@@ -13,7 +13,7 @@ and than the n-gram without its first word, so only those longer n-grams are loo
 Discounts are Good-Turing: r* / r with r* = (r + 1) N(r + 1) / N(r) for the low counts where that is between 0 and r, and by the
 log-linear fit to N(r) beyond, over all counts that are kept. Every count keeps a discount below one, so every history has mass to back off with.
 
-How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition. Each block sends its distinct words and pairs, as sorted
+How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition, stored once as a row of compressed texts. Each block sends its distinct words and pairs, as sorted
 64-bit hashes packed by difference, to buckets by hash. A bucket adds up the training counts and answers each block in the block's
 own order, so that answers hold a small number an n-gram and no key; it also marks one block as the owner of each. The answers,
 partitioned by block, are the model's count tables. With those of one length a block knows which longer n-grams to ask for, and
@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release_memory, release_shuffles, remainder, settled, stored, table
+from .common import discard, release_memory, release_shuffles, remainder, stored, table
 
 BLOCK_TOKENS = 800_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
@@ -198,23 +198,43 @@ def by_bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], edges, [len(hashes)]])
 
 
-def blocks_of(batches, columns: list[str], block_tokens: int):
-    """(block, texts as lower-case bytes, the batches' other columns) of about block_tokens tokens; the same for each reading of a partition."""
-    part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
-    for batch in batches:
-        start = 0
-        for i, t in enumerate(batch.column("text").to_pylist()):
-            b = t.encode().lower() if t else b""
-            texts.append(b)
-            size += len(b) // 6 + 1
-            if size >= block_tokens:
-                held.append(batch.slice(start, i + 1 - start).select(columns))
-                yield (part << 24) + number, texts, pa.Table.from_batches(held)
-                start, number, texts, held, size = i + 1, number + 1, [], [], 0
-        if start < len(batch):
-            held.append(batch.slice(start).select(columns))
-    if texts:
-        yield (part << 24) + number, texts, pa.Table.from_batches(held)
+def blocks(df: DataFrame, block_tokens: int) -> DataFrame:
+    """block, doc_id, held_out, n_bytes (arrays), texts (in lower case, one after another, compressed): a row for each block of about block_tokens tokens of df(doc_id, held_out, text).
+
+    Stored: a block's number is that of the task that wrote it, and what is read again later are the rows written, however many executors read them."""
+    kind, columns = df.schema["doc_id"].dataType.simpleString(), ["doc_id", "held_out"]
+
+    def run(batches):
+        part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def made():
+            whole = pa.Table.from_batches(held).combine_chunks()
+            doc_id, held_out = (pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), whole.column(c).combine_chunks()) for c in columns)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + number], pa.int64()), doc_id, held_out, pa.array([[*map(len, texts)]], pa.list_(pa.int64())), pa.array([deflated(b"".join(texts))], pa.binary())], ["block", *columns, "n_bytes", "texts"])
+
+        for batch in batches:
+            start = 0
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                b = t.encode().lower() if t else b""
+                texts.append(b)
+                size += len(b) // 6 + 1
+                if size >= block_tokens:
+                    held.append(batch.slice(start, i + 1 - start).select(columns))
+                    yield made()
+                    start, number, texts, held, size = i + 1, number + 1, [], [], 0
+            if start < len(batch):
+                held.append(batch.slice(start).select(columns))
+        if texts:
+            yield made()
+
+    return stored(df.select("doc_id", "held_out", "text").mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, n_bytes array<long>, texts binary"), "blocks")
+
+
+def texts_of(n_bytes: Iterable[int], texts: bytes) -> Iterator[bytes]:
+    at, data = 0, inflated(texts)
+    for n in n_bytes:
+        yield data[at : at + n]
+        at += n
 
 
 class Discount:
@@ -280,19 +300,20 @@ def packets(block: int, length: int, hashes: np.ndarray, counts: np.ndarray, bit
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], NAMES["request"])
 
 
-def requests(df: DataFrame, bits: int, block_tokens: int, order: int) -> DataFrame:
+def requests(texts: DataFrame, bits: int, order: int) -> DataFrame:
     """Distinct words and pairs of each block, with their training counts."""
 
     def run(batches):
-        for block, texts, rest in blocks_of(batches, ["held_out"], block_tokens):
-            release_memory()
-            b = Block(texts)
-            train = ~np.array(rest.column("held_out").to_pylist(), bool)
-            for length in range(1, min(order, 2) + 1):
-                level = b.levels[0] if length == 1 else b.extend()
-                yield packets(block, length, level.hashes, b.counted(level, train), bits)
+        for batch in batches:
+            for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
+                release_memory()
+                b = Block(texts_of(row["n_bytes"], row["texts"]))
+                train = ~np.array(row["held_out"], bool)
+                for length in range(1, min(order, 2) + 1):
+                    level = b.levels[0] if length == 1 else b.extend()
+                    yield packets(row["block"], length, level.hashes, b.counted(level, train), bits)
 
-    return df.select("text", "held_out").mapInArrow(run, REQUEST)
+    return texts.select("block", "held_out", "n_bytes", "texts").mapInArrow(run, REQUEST)
 
 
 def answer(rows: pa.Table) -> pa.Table:
@@ -424,20 +445,15 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
 
     There are about two buckets an input partition. A task holds one block (some 200 bytes a token) or one bucket; larger blocks
     have fewer distinct n-grams a token and larger packets, so executors with more memory should take them."""
-    documents = settled(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     df = documents.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
     bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
     s = Statistics(cutoff)
-    answers = answered(requests(df, bits, block_tokens, order), s, "counts")
-    tables = [answers]
+    texts = blocks(df, block_tokens)
+    answers = answered(requests(texts, bits, order), s, "counts")
+    tables = [texts, answers]
     s.unseen = unseen_mass(answers, s)
 
-    def carried(batches):
-        for block, texts, rest in blocks_of(batches, ["doc_id", "held_out"], block_tokens):
-            n = len(texts)
-            yield from pa.table([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rest.columns, pa.array([*map(deflated, texts)], pa.binary())], names=["block", "ix", "doc_id", "held_out", "text"]).to_batches(1000)
-
     def block_of(left: pa.Table, right: pa.Table) -> Block:
         told: dict[int, list] = {}
         ordered = right.sort_by([("length", "ascending"), ("bucket", "ascending")])
@@ -445,21 +461,19 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
             told.setdefault(length, []).append(loosened(a, n))
         for length in range(3, max(told) + 1):
             told.setdefault(length, [np.zeros(0, np.int64)])
-        return rebuilt((inflated(x.as_py()) for x in left.column("text")), {k: np.concatenate(v) for k, v in told.items()}, s)
+        return rebuilt(texts_of(left.column("n_bytes")[0].as_py(), left.column("texts")[0].as_py()), {k: np.concatenate(v) for k, v in told.items()}, s)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """The requests of a block for the next length."""
         release_memory()
-        left = left.sort_by("ix")
         b = block_of(left, right)
         length = len(b.levels) + 1
         level = b.extend(b.wanted(s.documents, s.kept(length)))
-        train = ~np.array(left.column("held_out").to_pylist(), bool)
+        train = ~np.array(left.column("held_out")[0].as_py(), bool)
         return pa.Table.from_batches([packets(left.column("block")[0].as_py(), length, level.hashes, b.counted(level, train), bits)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         release_memory()
-        left = left.sort_by("ix")
         block = left.column("block")[0].as_py()
         b = block_of(left, right)
         while len(b.levels) < order:  # no block had a longer n-gram to ask for
@@ -471,10 +485,10 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
         wanted, at = np.unique(wanted.view(U64), return_inverse=True)
         edges = by_bucket(wanted, bits)
         asked = [(i, packed(wanted[a:z])) for i, (a, z) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)) if z > a]
-        n, no = len(left), len(owned[0])
+        n, no = len(docs[0]), len(owned[0])
         long, double = pa.int64(), pa.float64()
         documents_, needs, sums = ({"kind": pa.array([k] * m, pa.string()), "block": pa.array([block] * m, long)} for k, m in (("document", n), ("need", len(asked)), ("owned", no)))
-        documents_ |= {"ix": pa.array(range(n), pa.int32()), "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(docs[0], long), "n_known": pa.array(docs[1], long), "base_score": pa.array(docs[2], double), "score": pa.array(docs[3], double)}
+        documents_ |= {"ix": pa.array(range(n), pa.int32()), "doc_id": left.column("doc_id").combine_chunks().flatten(), "held_out": left.column("held_out").combine_chunks().flatten(), "n_tokens": pa.array(docs[0], long), "n_known": pa.array(docs[1], long), "base_score": pa.array(docs[2], double), "score": pa.array(docs[3], double)}
         # with the block's first document: how many histories each document backs off from, and which
         documents_["data"] = pa.array([pickled(np.bincount(doc, minlength=n), at), *[None] * (n - 1)], pa.binary())
         needs |= {"ix": pa.array([i for i, _ in asked], pa.int32()), "data": pa.array([x for _, x in asked], pa.binary())}
@@ -493,7 +507,6 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
         out = left.select(["doc_id", "held_out", "n_tokens", "n_known"]).append_column("train_tokens", pa.array([s.n] * len(left), pa.int64()))
         return out.append_column("base_score", left.column("base_score")).append_column("score", pa.array(total, pa.float64()))
 
-    texts = df.mapInArrow(carried, f"block long, ix int, doc_id {kind}, held_out boolean, text binary")
     for length in range(3, order + 1):
         replies = answers.where(F.col("block") >= 0).select("block", "length", "bucket", "n", "answer")
         asked = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, REQUEST)
