@@ -4,6 +4,7 @@ Names start with the operator that a query shows. Every query runs over whole ta
 
 from __future__ import annotations
 
+import itertools
 import warnings
 from collections.abc import Callable
 
@@ -16,8 +17,10 @@ from pagequery.functions.classify import format_size
 from pagequery.operators import analysis, extract, groups, layout
 from pagequery.sources import relations, sinks
 
+from . import arguments
 from .compact import parse_legacy, parse_patterns
 from .compile import GROUP_COLUMNS
+from .parser import parse
 from .trimmers import parse_trimmers
 
 FLAGSHIP = "d_and_not"
@@ -162,6 +165,49 @@ query("j12_ranges", on_conversations(lambda p: groups.format_ranges(PageQuery(p)
 query("j13_unselected", on_conversations(lambda p: groups.unselected(p, rows(p, "contains:'the',last 1"))), f"WITH {CONVERSATIONS}, {COUNTED} SELECT doc_id, page_no FROM q WHERE NOT contains(text, 'the') AND page_no < n")
 query("j14_estimate", on_conversations(lambda p: groups.output_estimates(p, rows(p, "first 2")).select("doc_id", F.round("size_mb", 9).alias("size_mb"))), f"WITH {CONVERSATIONS} SELECT doc_id, round(sum(size_bytes) / 1048576 * least(2, max(page_no)) / count(*), 9) AS size_mb FROM p GROUP BY 1")
 
+# --- documents of any size: the same by ranges of pages, in two levels -------------------------------------------------
+
+EACH = 50
+
+
+def ranged(pages: DataFrame) -> PageQuery:
+    return PageQuery(pages, range_pages=EACH)
+
+
+LONG = f"{SOURCES}, {COUNTED}"
+LONG_LIST = "contains:'token',9-1,last 20"
+LONG_LIST_SQL = f"{LONG}, l AS (SELECT doc_id, 1 AS group_ix, page_no AS pos, page_no FROM q WHERE n >= 9 AND contains(text, 'token') UNION ALL SELECT doc_id, 2, -page_no, page_no FROM q WHERE n >= 9 AND page_no <= 9 UNION ALL SELECT doc_id, 3, page_no, page_no FROM q WHERE n >= 9 AND page_no > n - 20)"
+LONG_SECTIONS = "contains:'License' to contains:'token'"
+query("c7_offset_ranges", on_sources(lambda p: ranged(p).select("contains:'token'+3").rows), f"WITH {LONG}, r AS (SELECT *, coalesce(lag(contains(text, 'token'), 3) OVER (PARTITION BY doc_id ORDER BY page_no), false) AS m FROM q) SELECT doc_id, CAST(1 AS INTEGER) AS group_ix, page_no AS pos, page_no, $$contains:'token'+3$$ AS spec, count(*) OVER (PARTITION BY doc_id) > 1 AS is_range, false AS preserve_order FROM r WHERE m")
+query("c7_offset_far_ranges", on_sources(lambda p: ranged(p).where("contains:'token'-70 | last 3")), f"WITH {LONG}, r AS (SELECT *, coalesce(lead(contains(text, 'token'), 70) OVER (PARTITION BY doc_id ORDER BY page_no), false) AS m FROM q) SELECT doc_id, page_no FROM r WHERE m OR page_no > n - 3")
+query("e3_sections_ranges", on_sources(lambda p: groups.nested(ranged(p).select(LONG_SECTIONS).rows).select("doc_id", "group_ix", F.get("pages", F.lit(0)).alias("first"), F.size("pages").alias("n"))), ORACLE_SQL["e3_sections_long"])
+query("e5_section_pages_ranges", on_sources(lambda p: ranged(p).where(LONG_SECTIONS)), f"WITH {section_sql('contains(text, $$License$$)', 'contains(text, $$token$$)', SOURCES)} SELECT DISTINCT doc_id, CAST(page_no AS INTEGER) AS page_no FROM (SELECT doc_id, unnest(generate_series(lo, hi)) AS page_no FROM s)")
+LONG_SPLIT = f"{LONG}, f AS (SELECT doc_id, page_no, contains(text, 'License') AS a, contains(text, 'token') AS b FROM q WHERE page_no % 2 = 1), g AS (SELECT *, CASE WHEN a OR coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY page_no), true) THEN 1 ELSE 0 END AS o FROM f), h AS (SELECT doc_id, page_no, CAST(sum(o) OVER (PARTITION BY doc_id ORDER BY page_no) AS INTEGER) AS group_ix FROM g)"
+query("g2_split_ranges", on_sources(lambda p: ranged(p).select("odd").split("contains:'License'", "contains:'token'").rows.select("doc_id", "group_ix", "page_no", "spec", "is_range")), f"WITH {LONG_SPLIT}, c AS (SELECT doc_id, group_ix, count(*) AS k, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS t FROM h GROUP BY 1, 2) SELECT h.doc_id, h.group_ix, page_no, CASE WHEN k = 1 THEN 'page' ELSE 'pages' END || t AS spec, k > 1 AS is_range FROM h JOIN c ON c.doc_id = h.doc_id AND c.group_ix = h.group_ix")
+query("f9_ordered_pages_ranges", on_sources(lambda p: ranged(p).select(LONG_LIST).pages()), f"WITH {LONG_LIST_SQL}, d AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.doc_id = l.doc_id AND o.page_no = l.page_no AND o.group_ix < l.group_ix)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_ix, pos) AS INTEGER) AS out_ix, page_no FROM d")
+query("j12_ranges_ranges", on_sources(lambda p: groups.format_ranges(ranged(p).where("!contains:'token'"), EACH)), f"WITH {SOURCES}, i AS (SELECT doc_id, page_no, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS k FROM p WHERE NOT contains(text, 'token')), r AS (SELECT doc_id, min(page_no) AS a, max(page_no) AS b FROM i GROUP BY doc_id, k) SELECT doc_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1")
+query("h4_keep_ranges", on_sources(lambda p: ranged(p).query("all", group_start="contains:'License'", filter_matches="contains:'token'").rows.select("doc_id", "group_ix", "page_no")), f"WITH {LONG}, h AS (SELECT doc_id, page_no, text, CAST(sum(CASE WHEN page_no = 1 OR contains(text, 'License') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no) AS INTEGER) AS group_ix FROM q), k AS (SELECT doc_id, group_ix FROM h GROUP BY 1, 2 HAVING bool_or(contains(text, 'token'))) SELECT h.doc_id, h.group_ix, page_no FROM h JOIN k ON k.doc_id = h.doc_id AND k.group_ix = h.group_ix")
+
+# --- any number of arguments -------------------------------------------------------------------------------------------
+
+MANY = 10_000
+MANY_SPANS = ",".join(f"{i}-{i + i % 7}" for i in range(1, MANY + 1))
+FOUR_LETTERS = ["".join(x) for x in itertools.product("abcdefghij", repeat=4)]  # as many texts
+MANY_TEXTS = ",".join(f"contains:'{x}'" for x in FOUR_LETTERS)
+#: t: the four letters at each place of a text; k: their number among all such.
+FOURS = "t AS (SELECT DISTINCT doc_id, page_no, substr({0}, CAST(i AS INTEGER), 4) AS t FROM (SELECT *, unnest(range(1, length({0}) - 2)) AS i FROM {1}) WHERE regexp_full_match(substr({0}, CAST(i AS INTEGER), 4), '[a-j]{{4}}')), k AS (SELECT *, CAST(1 + 1000 * (ascii(t) - 97) + 100 * (ascii(substr(t, 2)) - 97) + 10 * (ascii(substr(t, 3)) - 97) + ascii(substr(t, 4)) - 97 AS INTEGER) AS group_ix FROM t)"
+query("f3_many_spans", on_sources(lambda p: PageQuery(p, on_error="ignore").select(MANY_SPANS).rows), f"WITH {LONG}, a AS (SELECT i AS group_ix, i AS lo, i + i % 7 AS hi FROM range(1, {MANY + 1}) r(i)) SELECT doc_id, CAST(group_ix AS INTEGER) AS group_ix, page_no AS pos, page_no, lo || '-' || hi AS spec, true AS is_range, false AS preserve_order FROM q JOIN a ON page_no BETWEEN lo AND hi AND n >= hi")
+query("f3_many_texts", on_conversations(lambda p: PageQuery(p).select(MANY_TEXTS).rows), f"WITH {CONVERSATIONS}, {FOURS.format('text', 'p')} SELECT doc_id, group_ix, page_no AS pos, page_no, 'contains:' || chr(39) || t || chr(39) AS spec, count(*) OVER (PARTITION BY doc_id, group_ix) > 1 AS is_range, true AS preserve_order FROM k")
+query("f3_mixed_table", on_conversations(lambda p: plan_table(p, "1-2,last 2,contains:'the',odd,!contains:'and',first 1,contains/i:'LA',2-1")), f"WITH {CONVERSATIONS}, {COUNTED}, a AS (SELECT *, 1 AS g, '1-2' AS spec FROM q WHERE page_no <= 2 UNION ALL SELECT *, 2, 'last 2' FROM q WHERE page_no > n - 2 UNION ALL SELECT *, 3, $$contains:'the'$$ FROM q WHERE contains(text, 'the') UNION ALL SELECT *, 4, 'odd' FROM q WHERE page_no % 2 = 1 UNION ALL SELECT *, 5, $$!contains:'and'$$ FROM q WHERE NOT contains(text, 'and') UNION ALL SELECT *, 6, 'first 1' FROM q WHERE page_no = 1 UNION ALL SELECT *, 7, $$contains/i:'LA'$$ FROM q WHERE contains(lower(text), 'la') UNION ALL SELECT *, 8, '2-1' FROM q WHERE page_no <= 2) SELECT doc_id, CAST(g AS INTEGER) AS group_ix, CASE WHEN g = 8 THEN -page_no ELSE page_no END AS pos, page_no, spec, CASE WHEN g IN (3, 5, 7) THEN count(*) OVER (PARTITION BY doc_id, g) > 1 ELSE g <> 4 END AS is_range, true AS preserve_order FROM a WHERE n >= 2")
+
+
+def plan_table(pages: DataFrame, expression: str) -> DataFrame:
+    return arguments.select_table(pages, parse(expression))
+
+
+PROBLEM = "2,contains:'und' to contains:'la',4-,9-6"
+query("q3_problems", on_conversations(lambda p: PageQuery(p).problems(PROBLEM)), f"WITH {CONVERSATIONS}, {COUNTED}, d AS (SELECT doc_id, max(n) AS n, bool_or(contains(text, 'und')) AS a, bool_or(contains(text, 'und') AND EXISTS (SELECT 1 FROM p e WHERE e.doc_id = q.doc_id AND e.page_no >= q.page_no AND contains(e.text, 'la'))) AS s FROM q GROUP BY 1) SELECT doc_id, CAST(1 AS INTEGER) AS argument, '2' AS spec, 'page 2 of ' || n AS reason FROM d WHERE n < 2 UNION ALL SELECT doc_id, 2, $$contains:'und' to contains:'la'$$, CASE WHEN a THEN 'no end behind a start' ELSE 'no start' END FROM d WHERE NOT s UNION ALL SELECT doc_id, 3, '4-', 'page 4 of ' || n FROM d WHERE n < 4 UNION ALL SELECT doc_id, 4, '9-6', 'page 9 of ' || n FROM d WHERE n < 9")
+
 # --- documents and analysis -------------------------------------------------------------------------------------------
 
 query("a1_document_info", on_conversations(lambda p: relations.document_info(p).select("doc_id", "page_count", F.round("size_mb", 9).alias("size_mb"))), f"WITH {CONVERSATIONS} SELECT doc_id, max(page_no) AS page_count, round(sum(size_bytes) / 1048576, 9) AS size_mb FROM p GROUP BY 1")
@@ -219,13 +265,12 @@ per_document("o31_hashes", on_documents(lambda: names.content_hash(F.col("text")
 per_document("o8_trim_warnings", on_documents(lambda: F.size(trimming.trim_warnings(F.col("text"), [("ch", 40), ("wd", 5), ("ln", 1), ("nb", 1)]))), f"CAST((length(text) <= 40)::INT + (len({WORDS}) <= 5)::INT + (len(string_split(text, chr(10))) <= 1)::INT AS INTEGER)")
 CONTENT = r"regexp_replace(regexp_replace({0}, '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 for kind, bare in (("number", r"regexp_replace({0}, '[^0-9.\-]', '-', 'g')"), ("date", r"regexp_replace(regexp_replace({0}, '[/\\]', '-', 'g'), '(?:,|\s+)+', '-', 'g')")):
-    part = "substr(text, 1, 60)"
-    found = CONTENT.format(bare.format(TRIM.format(part)))
-    per_document(f"o11_content_{kind}", on_documents(lambda kind=kind: names.sanitize_content(F.left("text", F.lit(60)), kind)), f"CASE WHEN NOT regexp_matches({part}, '\\S') THEN 'empty' WHEN {found} = '' THEN 'content' ELSE {found} END")
+    found = CONTENT.format(bare.format(TRIM.format("text")))
+    per_document(f"o11_content_{kind}", on_documents(lambda kind=kind: names.sanitize_content(F.col("text"), kind)), f"CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty' WHEN {found} = '' THEN 'content' ELSE {found} END")
 LANGUAGE = "nullif(regexp_extract(url, '://[^/]*/([a-z]+)/', 1), '')"
-query("o27_smart_names", lambda s, d: relations.read(s, d, "pages").select("page_id", names.smart_name("{lang}-{range}", {"lang": F.nullif(F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1), F.lit(""))}, F.lit("stem"), F.lit("2-4")).alias("value")), f"SELECT page_id, CASE WHEN {LANGUAGE} IS NULL THEN 'stem_pages2-4.pdf' ELSE {LANGUAGE} || '-2-4.pdf' END AS value FROM pages")
-query("o32_estimates", lambda s, d: relations.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", names.estimated_pages(F.concat_ws("-", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("9")))).alias("value")), "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 9 - l_linenumber + 1 ELSE 1 END AS INTEGER) AS value FROM lineitem")
-query("o28_lists", lambda s, d: relations.read(s, d, "orders").select("o_orderkey", names.estimated_pages(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.lit(" 7"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")))).alias("value")), "SELECT o_orderkey, CAST(2 AS INTEGER) AS value FROM orders")
+query("o32_smart_names", lambda s, d: relations.read(s, d, "pages").select("page_id", names.smart_name("{lang}-{range}", {"lang": F.nullif(F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1), F.lit(""))}, F.lit("stem"), F.lit("2-4")).alias("value")), f"SELECT page_id, CASE WHEN {LANGUAGE} IS NULL THEN 'stem_pages2-4.pdf' ELSE {LANGUAGE} || '-2-4.pdf' END AS value FROM pages")
+query("o27_estimates", lambda s, d: relations.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", names.estimated_pages(F.concat_ws("-", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("9")))).alias("value")), "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 9 - l_linenumber + 1 ELSE 1 END AS INTEGER) AS value FROM lineitem")
+query("o27_lists", lambda s, d: relations.read(s, d, "orders").select("o_orderkey", names.estimated_pages(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(" 7")), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")), F.when(F.col("o_orderkey") % 5 == 0, F.lit("8")))).alias("value")), "SELECT o_orderkey, CAST(1 + (o_orderkey % 2 = 0)::INT + (o_orderkey % 5 = 0)::INT AS INTEGER) AS value FROM orders")
 query("j11_table_stats", lambda s, d: analysis.table_stats(relations.read(s, d, "documents").select("text", "lang", "source")).select("rows", "columns", "empty_cells", "filled_cells"), r"SELECT count(*) AS rows, CAST(3 AS INTEGER) AS columns, count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS empty_cells, 3 * count(*) - count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS filled_cells FROM documents")
 
 # --- extraction -------------------------------------------------------------------------------------------------------
@@ -291,6 +336,14 @@ query("l24_debug", on_sources(lambda p: extract.debug(p, parse_patterns(["Licens
 query("l9_matches", on_sources(lambda p: extract.matches(p, parse_patterns(["License:wd1"])).select("doc_id", "page_no", "line", "word", "match_text")), rf"WITH {SOURCES}, l AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM p), w AS (SELECT doc_id, page_no, line, unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS match_text, generate_subscripts(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''), 1) - 1 AS word FROM l) SELECT doc_id, page_no, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, match_text FROM w WHERE contains(regexp_replace(lower(match_text), '[^\p{{L}}\p{{N}}]', '', 'g'), 'license')")
 
 
+query("l9_many_keywords", on_sources(lambda p: extract.matches(p, many_patterns()).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "page_no").alias("pages"))), f"WITH {PAGE_WORDS}, y AS (SELECT DISTINCT c, doc_id, page_no, line, word, substr(c, CAST(i AS INTEGER), 4) AS t FROM (SELECT *, unnest(range(1, length(c) - 2)) AS i FROM x) WHERE regexp_full_match(substr(c, CAST(i AS INTEGER), 4), '[a-j]{{4}}')) SELECT CAST(1000 * (ascii(t) - 97) + 100 * (ascii(substr(t, 2)) - 97) + 10 * (ascii(substr(t, 3)) - 97) + ascii(substr(t, 4)) - 97 AS INTEGER) AS pattern, count(*) AS n, count(DISTINCT (doc_id, page_no)) AS pages FROM y GROUP BY t")
+query("l22_many_words", on_sources(lambda p: extract.legacy_matches_of(p, FOUR_LETTERS).groupBy("keyword", "word").agg(F.count(F.lit(1)).alias("n"))), rf"WITH {SOURCES}, w AS (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word FROM p), u AS (SELECT word, count(*) AS n FROM w GROUP BY 1), y AS (SELECT DISTINCT word, n, substr(lower(word), CAST(i AS INTEGER), 4) AS keyword FROM (SELECT *, unnest(range(1, length(word) - 2)) AS i FROM u) WHERE regexp_full_match(substr(lower(word), CAST(i AS INTEGER), 4), '[a-j]{{4}}')) SELECT keyword, word, n FROM y")
+
+
+def many_patterns() -> list:
+    return parse_patterns([f"v{i}={x}:wd1" for i, x in enumerate(FOUR_LETTERS)])
+
+
 # --- layout -----------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pagequery.errors import PatternError
@@ -125,7 +126,7 @@ def parse_pattern(text: str) -> Pattern:
 
 def parse_patterns(texts: list[str]) -> list[Pattern]:
     out = [parse_pattern(t) for t in texts]
-    twice = {p.variable for p in out if sum(q.variable == p.variable for q in out) > 1}
+    twice = {v for v, n in Counter(p.variable for p in out).items() if n > 1}
     if twice:
         raise PatternError(f"variables that occur twice: {', '.join(sorted(twice))}")
     return out

@@ -1,7 +1,8 @@
 """From trees to plans.
 
 Predicates on a page become boolean columns of one projection, so text never enters a shuffle. What looks beyond a page (the
-number of pages, offsets, sections) becomes windows that all partition by doc_id: one exchange, whatever the expression.
+number of pages, offsets, sections) becomes windows: over documents, with one exchange whatever the expression, or, for documents
+of any size, over ranges of ``each`` pages in two levels (``windows``).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagequery.errors import SelectionError
@@ -17,23 +18,7 @@ from pagequery.functions.classify import page_type, size_matches
 from pagequery.functions.text import java_regex, lines, trim_ws
 
 from .ast import All, And, Argument, First, Last, Match, Node, Not, Or, Section, Selection, Shift, Span, Step
-
-
-
-def document() -> WindowSpec:
-    return Window.partitionBy("doc_id")
-
-
-def ordered() -> WindowSpec:
-    return document().orderBy("page_no")
-
-
-def so_far() -> WindowSpec:
-    return ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def from_here() -> WindowSpec:
-    return ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+from .windows import ByDocument, ByRange
 
 
 def predicate(node: Match) -> Column:
@@ -75,35 +60,46 @@ def bounds(node: Node) -> list[int]:
     return []
 
 
+def needs_document(node: Node) -> bool:
+    """Whether a page alone does not tell if it is in the node's set."""
+    return any(isinstance(x, (Last, Section, Shift)) for x in walk(node))
+
+
 class Plan:
-    """A page relation with a column for each node that was asked for."""
+    """A page relation with a column for each node that was asked for. each: pages a range, if documents are cut into ranges."""
 
-    def __init__(self, pages: DataFrame, nodes: list[Node], keep: tuple[str, ...] = ()):
+    def __init__(self, pages: DataFrame, nodes: list[Node], keep: tuple[str, ...] = (), each: int | None = None):
         matches = list(dict.fromkeys(x for n in nodes for x in walk(n) if isinstance(x, Match)))
         self.columns: dict[object, Column] = {m: F.col(f"__m{i}") for i, m in enumerate(matches)}
-        self.df = pages.select("doc_id", "page_no", *keep, *(predicate(m).alias(f"__m{i}") for i, m in enumerate(matches)))
+        flags = pages.select("doc_id", "page_no", *keep, *(predicate(m).alias(f"__m{i}") for i, m in enumerate(matches)))
+        self.windows = ByRange(flags, each) if each else ByDocument(flags)
         self.made = 0
 
-    def add(self, key: object, value: Column) -> Column:
+    @property
+    def df(self) -> DataFrame:
+        return self.windows.df
+
+    def add(self, key: object, how, *of) -> Column:
+        """The column that a method of the windows adds for a key, made once."""
         if key not in self.columns:
             name = f"__w{self.made}"
             self.made += 1
-            self.df = self.df.withColumn(name, value)
+            how(name, *of)
             self.columns[key] = F.col(name)
         return self.columns[key]
 
     @property
     def n(self) -> Column:
         """The document's number of pages."""
-        return self.add("n", F.max("page_no").over(document()))
+        return self.add("n", self.windows.highest, F.col("page_no"))
 
     def section_end(self, node: Section) -> Column:
         """On a start page that has one, the nearest end page at or after it; else null."""
         key = ("end", node)
         if key not in self.columns:
             start, end = self.column(node.start), self.column(node.end)
-            nearest = self.add(("nearest", node.end), F.min(F.when(end, F.col("page_no"))).over(from_here()))
-            self.add(key, F.when(start, nearest))
+            nearest = self.add(("nearest", node.end), self.windows.least_ahead, F.when(end, F.col("page_no")))
+            self.add(key, self.windows.add, F.when(start, nearest))
         return self.columns[key]
 
     def column(self, node: Node) -> Column:
@@ -132,26 +128,27 @@ class Plan:
             return self.column(node.left) | self.column(node.right)
         if isinstance(node, Shift):
             of = self.column(node.node)
-            return self.add(node, F.coalesce(F.lag(of, node.by).over(ordered()) if node.by > 0 else F.lead(of, -node.by).over(ordered()), F.lit(False)))
+            return self.add(node, self.windows.shifted, of, node.by)
         if isinstance(node, Section):
             # the end of a later start is never before that of an earlier one, so the last one seen decides
             end = self.section_end(node)
-            return self.add(node, F.coalesce(F.last(end, ignorenulls=True).over(so_far()) >= page, F.lit(False)))
+            latest = self.add(("latest", node), self.windows.latest, end)
+            return self.add(node, self.windows.add, F.coalesce(latest >= page, F.lit(False)))
         raise SelectionError(f"no plan for {node}")
 
     def holds(self, argument: Argument) -> Column | None:
         """Whether the argument is valid in the document; None: in any."""
         if isinstance(argument.node, Section):
             end = self.section_end(argument.node)
-            return self.add(("pairs", argument.node), F.count(end).over(document())) > 0
+            return self.add(("pairs", argument.node), self.windows.total, end.isNotNull().cast("int")) > 0
         if argument.form in ("numeric", "page") and (needed := bounds(argument.node)):
             return F.lit(min(needed) >= 1) & (self.n >= max(needed))
         return None
 
 
-def page_set(pages: DataFrame, node: Node, keep: tuple[str, ...] = ()) -> DataFrame:
+def page_set(pages: DataFrame, node: Node, keep: tuple[str, ...] = (), each: int | None = None) -> DataFrame:
     """doc_id, page_no (and keep) of the pages in the node's set: no shuffle unless it looks beyond a page."""
-    plan = Plan(pages, [node], keep)
+    plan = Plan(pages, [node], keep, each if needs_document(node) else None)
     member = plan.column(node)
     return plan.df.where(member).select("doc_id", "page_no", *keep)
 
@@ -159,15 +156,16 @@ def page_set(pages: DataFrame, node: Node, keep: tuple[str, ...] = ()) -> DataFr
 GROUP_COLUMNS = ("doc_id", "group_ix", "pos", "page_no", "spec", "is_range", "preserve_order")
 
 
-def select(pages: DataFrame, selection: Selection, on_error: str = "skip") -> DataFrame:
+def select(pages: DataFrame, selection: Selection, on_error: str = "skip", each: int | None = None, observation: Observation | None = None) -> DataFrame:
     """The selection relation: a row for each page of each group, in the order of (doc_id, group_ix, pos).
 
     Groups are numbered from 1 by their argument, a range pattern has one for each section, and an argument without a page keeps
     its number. on_error: 'skip' leaves out documents that some argument is invalid in, 'ignore' only that argument, 'raise' is
-    an error (and costs an action)."""
+    an error (and costs an action). observation: counts, in the job that writes the rows, the documents and those that an argument is invalid in
+    (which ones and why: ``arguments.problems``)."""
     if on_error not in ("skip", "ignore", "raise"):
         raise SelectionError(f"unknown on_error: {on_error}")
-    plan = Plan(pages, [a.node for a in selection.arguments])
+    plan = Plan(pages, [a.node for a in selection.arguments], each=each)
     page, valid, rows, base = F.col("page_no"), [], [], F.lit(1)
     row_type = "array<struct<group_ix:int,pos:int,page_no:int,spec:string,is_range:boolean>>"
     for k, a in enumerate(selection.arguments):
@@ -176,23 +174,25 @@ def select(pages: DataFrame, selection: Selection, on_error: str = "skip") -> Da
         ignored = holds if on_error == "ignore" and holds is not None and not isinstance(a.node, Section) else F.lit(True)
         if isinstance(a.node, Section):
             end = plan.section_end(a.node)
-            number = plan.add(("number", k, a.node), F.count(end).over(so_far()))
+            number = plan.add(("number", k, a.node), plan.windows.running, end.isNotNull().cast("int"))
             group, spec = (base + number - 1).cast("int"), F.concat(F.lit(f"{a.spec} (section "), number.cast("string"), F.lit(")"))
             made = _section_rows(page, end, group, spec)
             rows.append(F.when(end.isNotNull(), made).otherwise(F.array().cast(row_type)).cast(row_type))
             base = base + plan.columns["pairs", a.node]
         else:
             member = plan.column(a.node) & ignored
-            is_range = F.lit(a.is_range) if a.is_range is not None else plan.add(("size", a.node), F.sum(member.cast("int")).over(document())) > 1
+            is_range = F.lit(a.is_range) if a.is_range is not None else plan.add(("size", a.node), plan.windows.total, member.cast("int")) > 1
             pos = -page if isinstance(a.node, Span) and a.node.reverse else page
             one = F.struct(base.cast("int").alias("group_ix"), pos.cast("int").alias("pos"), page.cast("int").alias("page_no"), F.lit(a.spec).alias("spec"), is_range.alias("is_range"))
             rows.append(F.when(member, F.array(one)).otherwise(F.array().cast(row_type)).cast(row_type))
             base = base + 1
-    df = plan.df
+    df, bad = plan.df, F.lit(False)
+    for v in valid:
+        bad = bad | ~v
+    if observation is not None:
+        first = F.col("page_no") == 1
+        df = df.observe(observation, F.count_if(first).alias("documents"), F.count_if(first & bad).alias("invalid"))
     if valid and on_error != "ignore":
-        bad = ~valid[0]
-        for v in valid[1:]:
-            bad = bad | ~v
         if on_error == "raise":
             if first := df.where(bad).select("doc_id").first():
                 raise SelectionError(f"the expression is invalid in document {first[0]}")

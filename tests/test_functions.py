@@ -114,12 +114,16 @@ def test_d9_to_d12(spark):
     assert extracted(spark, "X:l1wd3_$ch1pg3", pages).selected == ["cX"]  # D12: _ first, then trimming
 
 
+def found(text, keyword):
+    return [m[1:] for m in extract.Page(text, extract.phrases_of((keyword,))).found()]
+
+
 def test_l8_l9_find():
     text = "An INVOICE-number: 5\nthe in-voice num ber\n -- \nx Invoice, Number"
-    assert extract.find(text, "invoice") == [(0, 1, "INVOICE-number:"), (1, 1, "in-voice"), (3, 1, "Invoice,")]
-    assert extract.find(text, "Invoice Number") == [(3, 2, "Invoice, Number")]
-    assert [m[:2] for m in extract.find("a -- b", "--")] == [(0, 0), (0, 1), (0, 2)]  # no letter or digit: every word
-    assert extract.find("", "x") == [] == extract.find("x", " ")
+    assert found(text, "invoice") == [(0, 1, "INVOICE-number:"), (1, 1, "in-voice"), (3, 1, "Invoice,")]
+    assert found(text, "Invoice Number") == [(3, 2, "Invoice, Number")]
+    assert [m[:2] for m in found("a -- b", "--")] == [(0, 0), (0, 1), (0, 2)]  # no letter or digit: every word
+    assert found("", "x") == [] == found("x", " ")
 
 
 def test_l24_debug_and_sql(spark):
