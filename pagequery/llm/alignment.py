@@ -21,6 +21,7 @@ A null doc_id is kept. Texts of any length are read whole. An empty table gives
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right as bisect
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, compress
@@ -147,9 +148,9 @@ def grown(array: np.ndarray, n: int) -> np.ndarray:
 
 
 class Aligner:
-    """Aligns texts by their segments; what short ones give is kept, in arrays by segment number."""
+    """Aligns texts by their segments; what short ones give is kept, in arrays by segment number. Pairs are numbered as they are met."""
 
-    def __init__(self, a: Encoder, b: Encoder, segments_kept: int = 600_000, longest: int = 64):
+    def __init__(self, a: Encoder, b: Encoder, segments_kept: int = 500_000, longest: int = 64):
         self.a, self.b, self.most, self.longest = a, b, segments_kept, longest
         self.size_a, self.size_b = (np.array([len(t) for t in e.tokens]) for e in (a, b))
         self.clear()
@@ -157,9 +158,22 @@ class Aligner:
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.texts: list[str] = []
-        self.facts = np.zeros((1 << 10, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_a is -1 where the bytes differ
+        self.facts = np.zeros((1 << 10, 4), np.int32)  # n_a, n_b, n_groups, n_links; n_a is -1 where the bytes differ
         self.start = np.zeros(1 << 10, np.int64)
-        self.pairs, self.times = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pairs, self.times = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.known = np.zeros(0, np.int64)  # the pairs by number
+        self.sorted, self.order = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def numbered(self, pairs: np.ndarray) -> np.ndarray:
+        """The pairs' numbers."""
+        at = np.searchsorted(self.sorted, pairs)
+        new = np.unique(pairs[self.sorted[np.minimum(at, len(self.sorted) - 1)] != pairs] if len(self.sorted) else pairs)
+        if len(new):
+            self.known = np.concatenate([self.known, new])
+            self.order = np.argsort(self.known, kind="stable").astype(np.int32)
+            self.sorted = self.known[self.order]
+            at = np.searchsorted(self.sorted, pairs)
+        return self.order[at]
 
     def learn(self, new: list[str]) -> None:
         """Adds segments: all of them are encoded and aligned together."""
@@ -174,7 +188,7 @@ class Aligner:
         self.facts[n : n + len(new)] = (-1, 0, 0, 0)  # where the bytes differ
         self.facts[n : n + len(new)][ok] = made.facts
         self.start[n + 1 : n + 1 + len(new)] = used + np.concatenate([[0], made.ends])[np.cumsum(ok)]
-        self.pairs[used : used + len(made.pairs)], self.times[used : used + len(made.pairs)] = made.pairs, made.times
+        self.pairs[used : used + len(made.pairs)], self.times[used : used + len(made.pairs)] = self.numbered(made.pairs), made.times
         texts = iter(made.texts)
         self.texts += [next(texts) if x else "" for x in same]
         self.numbers.update(zip(new, range(n, n + len(new)), strict=True))
@@ -185,42 +199,50 @@ class Aligner:
         if len(self.numbers) > self.most:
             self.clear()
             release_memory()
-        numbers, short = self.numbers, len(self.numbers)
-        new = list(dict.fromkeys(s for p in parts for s in p if s not in numbers))
-        new.sort(key=lambda s: len(s) > self.longest)  # long ones come last, and go after this call
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
-        short += sum(len(s) <= self.longest for s in new)
-        sizes = np.array([*map(len, parts)])
-        codes = np.fromiter((numbers[s] for p in parts for s in p), np.int64, int(sizes.sum()))
+        numbers, flat = self.numbers, [*chain.from_iterable(parts)]
+        new = sorted(set(flat).difference(numbers), key=len)  # long ones come last, and go after this call
+        first_long = bisect(new, self.longest, key=len)
+        keep = len(numbers) + first_long
+        for some in (new[:first_long], new[first_long:]):
+            for i in range(0, len(some), 4096):
+                self.learn(some[i : i + 4096])
+        codes = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(sizes).tolist()
         doc = np.repeat(np.arange(len(texts)), sizes)
         facts = np.zeros((len(texts), 4), np.int64)
-        wrong = np.zeros(len(texts), bool)
-        np.logical_or.at(wrong, doc, self.facts[codes, 0] < 0)
+        wrong = np.bincount(doc, self.facts[codes, 0] < 0, len(texts)) > 0
         for k in range(4):
             facts[:, k] = np.where(wrong, 0, np.bincount(doc, self.facts[codes, k], len(texts))).astype(np.int64)
-        digest = [hashlib.sha256(";".join([self.texts[numbers[s]] for s in p]).encode()).hexdigest() if p and not w else "" for p, w in zip(parts, wrong, strict=True)]
+        text_of, listed = self.texts.__getitem__, codes.tolist()
+        digest = [hashlib.sha256(";".join(map(text_of, listed[e - len(p) : e])).encode()).hexdigest() if p and not w else "" for p, e, w in zip(parts, ends, wrong.tolist(), strict=True)]
         pairs, times = self.linked(np.where(wrong[doc], -1, codes), doc, len(texts))
-        for s in new[len(new) - (len(self.numbers) - short) :] if len(self.numbers) > short else []:
+        for s in new[first_long:]:
             del numbers[s]
-        del self.texts[short:]
+        del self.texts[keep:]
         return {"n_a": facts[:, 0], "n_b": facts[:, 1], "n_groups": facts[:, 2], "n_links": facts[:, 3], "groups_sha256": digest, "pairs": pairs, "times": times}
 
     def linked(self, codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-        """Each document's distinct pairs in order, and how often they are linked, as lists."""
+        """Each document's distinct pairs, and how often they are linked, as lists."""
         doc, codes = doc[codes >= 0], codes[codes >= 0]
-        width = len(self.texts)
+        width = max(len(self.texts), 1)
         both, often = np.unique(doc * width + codes, return_counts=True)  # a document's distinct segments
-        doc, codes = both // max(width, 1), both % max(width, 1)
+        doc, codes = both // width, both % width
         size = self.start[codes + 1] - self.start[codes]
         at = np.repeat(self.start[codes] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        doc, pairs, times = np.repeat(doc, size), self.pairs[at], self.times[at] * np.repeat(often, size)
-        order = np.lexsort((pairs, doc))
-        doc, pairs, times = doc[order], pairs[order], times[order]
-        first = np.nonzero(np.append(True, (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1])))[0] if len(doc) else np.zeros(0, np.int64)
-        times = np.add.reduceat(times, first) if len(first) else times
-        offsets = pa.array(np.searchsorted(doc[first], np.arange(n + 1)), pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(pairs[first])), pa.ListArray.from_arrays(offsets, pa.array(times))
+        key, times = np.repeat(doc, size) * len(self.known) + self.pairs[at], self.times[at] * np.repeat(often, size)
+        low = 62 - int(n * max(len(self.known), 1)).bit_length()  # bits for how often, below those for document and pair
+        if len(times) and times.max() >= 1 << max(low, 0):
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+        else:  # one sort of plain numbers
+            both = np.sort(key << low | times)
+            key, times = both >> low, both & ((1 << low) - 1)
+        first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.zeros(0, np.int64)
+        times, key = np.add.reduceat(times, first) if len(first) else times, key[first]
+        offsets = pa.array(np.searchsorted(key, np.arange(n + 1) * len(self.known)), pa.int32())
+        pairs = self.known[key % len(self.known)] if len(key) else key
+        return pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
 
 
 @lru_cache(maxsize=2)

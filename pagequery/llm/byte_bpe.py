@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import release_memory, table
 
@@ -223,7 +224,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [[*map(int, codec(t)[0])] for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([codec.bpe.decode(i) for i in ids], pa.binary())], [*names, "ids", "decoded"])
 
-    schema = documents.schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = StructType([*documents.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
     return documents.mapInArrow(run, schema)
 
 

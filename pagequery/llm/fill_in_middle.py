@@ -58,7 +58,7 @@ def transformed(documents: DataFrame, seed: int = 7, rate: int = 100, spm: int =
     added = ("n_units", "form", "prefix_chars", "middle_chars", "output")
     documents = settled(documents.drop(*added))
     keep = [F.col(f"`{c}`") for c in documents.columns]
-    row = free_name(documents)
+    row, of, units_of, first_of, last_of = (free_name(documents, x) for x in ("__pq_row", "__pq_of", "__pq_units", "__pq_first", "__pq_last"))
     h1, h2, h3, h4 = draws(F.col("doc_id"), seed)
     text = F.coalesce("text", F.lit(""))
     keyed = documents.withColumn(row, row_key(documents))
@@ -71,9 +71,9 @@ def transformed(documents: DataFrame, seed: int = 7, rate: int = 100, spm: int =
     cuts = F.array(*(F.struct(F.lit(i).alias("cut"), (h % (F.col("n") + 1)).alias("wanted")) for i, h in enumerate((h1, h2))))
     hits = ended.withColumn("request", F.explode(cuts)).where((F.col("ordinal") == F.col("request.wanted")) | ((F.col("ordinal") == 1) & (F.col("request.wanted") == 0)))
     at = F.when(F.col("request.wanted") == 0, F.lit(0)).otherwise(F.col("end"))
-    offsets = hits.groupBy(ROW).agg(F.max("n").cast("long").alias("__pq_n"), F.min(at).alias("__pq_first"), F.max(at).alias("__pq_last"))
-    made = keyed.join(offsets, keyed[row] == offsets[ROW], "left")
-    n, first, last = F.coalesce("__pq_n", F.lit(0).cast("long")), F.col("__pq_first"), F.col("__pq_last")
+    offsets = hits.groupBy(F.col(ROW).alias(of)).agg(F.max("n").cast("long").alias(units_of), F.min(at).alias(first_of), F.max(at).alias(last_of))
+    made = keyed.join(offsets, F.col(row) == F.col(of), "left")
+    n, first, last = F.coalesce(units_of, F.lit(0).cast("long")), F.col(first_of), F.col(last_of)
     plain = (n == 0) | (h3 % 100 >= rate)
     for mark in marks.all:
         plain = plain | F.contains(text, F.lit(mark))
