@@ -32,50 +32,25 @@ from __future__ import annotations
 import math
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_TOKENS, U64, blocks, deflated, inflated, loosened, pair_hash, rows_of, squeezed, texts_of
 from .common import discard, release_memory, release_shuffles, remainder, stored, table
 
-BLOCK_TOKENS = 800_000
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
-U64 = np.uint64
-
-
-@lru_cache(maxsize=1)
-def codec() -> tuple:
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-
-def deflated(data: bytes) -> bytes:
-    return codec()[0].compress(data)
-
-
-def inflated(data: bytes) -> bytes:
-    return codec()[1].decompress(data)
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 7)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = a * U64(0x9E3779B97F4A7C15) + (b << U64(32) | b >> U64(32))
-        x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
-        return x ^ x >> U64(31)
-
-
 @dataclass
 class Level:
     """The distinct n-grams of one length in a block: at (which one ends at each position, or -1), hashes (sorted, but for words), and training counts once they are known."""
@@ -178,65 +153,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=U64)
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Small non-negative integers, compressed; those of 255 and more apart."""
-    big = values >= 255
-    low = np.where(big, 255, values).astype(np.uint8).tobytes()
-    return deflated(low + values[big].astype("<i8").tobytes())
-
-
-def loosened(data: bytes, n: int) -> np.ndarray:
-    raw = inflated(data)
-    values = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    values[values == 255] = np.frombuffer(raw, "<i8", offset=n)
-    return values
-
-
 def by_bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Where each bucket (their first bits) starts in sorted hashes."""
     edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(0, np.int64)
     return np.concatenate([[0], edges, [len(hashes)]])
 
 
-def blocks(df: DataFrame, block_tokens: int) -> DataFrame:
-    """block, doc_id, held_out, n_bytes (arrays), texts (in lower case, one after another, compressed): a row for each block of about block_tokens tokens of df(doc_id, held_out, text).
-
-    Stored: a block's number is that of the task that wrote it, and what is read again later are the rows written, however many executors read them."""
-    kind, columns = df.schema["doc_id"].dataType.simpleString(), ["doc_id", "held_out"]
-
-    def run(batches):
-        part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def made():
-            whole = pa.Table.from_batches(held).combine_chunks()
-            doc_id, held_out = (pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), whole.column(c).combine_chunks()) for c in columns)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + number], pa.int64()), doc_id, held_out, pa.array([[*map(len, texts)]], pa.list_(pa.int64())), pa.array([deflated(b"".join(texts))], pa.binary())], ["block", *columns, "n_bytes", "texts"])
-
-        for batch in batches:
-            start = 0
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                b = t.encode().lower() if t else b""
-                texts.append(b)
-                size += len(b) // 6 + 1
-                if size >= block_tokens:
-                    held.append(batch.slice(start, i + 1 - start).select(columns))
-                    yield made()
-                    start, number, texts, held, size = i + 1, number + 1, [], [], 0
-            if start < len(batch):
-                held.append(batch.slice(start).select(columns))
-        if texts:
-            yield made()
-
-    return stored(df.select("doc_id", "held_out", "text").mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, n_bytes array<long>, texts binary"), "blocks")
-
-
-def texts_of(n_bytes: Iterable[int], texts: bytes) -> Iterator[bytes]:
-    at, data = 0, inflated(texts)
-    for n in n_bytes:
-        yield data[at : at + n]
-        at += n
-
-
 class Discount:
     """Good-Turing discounts d(r) of counts from first on, from the numbers of types by count."""
 
@@ -304,14 +226,13 @@ def requests(texts: DataFrame, bits: int, order: int) -> DataFrame:
     """Distinct words and pairs of each block, with their training counts."""
 
     def run(batches):
-        for batch in batches:
-            for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
-                release_memory()
-                b = Block(texts_of(row["n_bytes"], row["texts"]))
-                train = ~np.array(row["held_out"], bool)
-                for length in range(1, min(order, 2) + 1):
-                    level = b.levels[0] if length == 1 else b.extend()
-                    yield packets(row["block"], length, level.hashes, b.counted(level, train), bits)
+        for row in rows_of(batches):
+            release_memory()
+            b = Block(texts_of(row["n_bytes"], row["texts"]))
+            train = ~np.array(row["held_out"], bool)
+            for length in range(1, min(order, 2) + 1):
+                level = b.levels[0] if length == 1 else b.extend()
+                yield packets(row["block"], length, level.hashes, b.counted(level, train), bits)
 
     return texts.select("block", "held_out", "n_bytes", "texts").mapInArrow(run, REQUEST)
 
@@ -449,7 +370,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     df = documents.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
     bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
     s = Statistics(cutoff)
-    texts = blocks(df, block_tokens)
+    texts = blocks(df, ["doc_id", "held_out"], block_tokens)
     answers = answered(requests(texts, bits, order), s, "counts")
     tables = [texts, answers]
     s.unseen = unseen_mass(answers, s)
