@@ -1,7 +1,7 @@
 """The parts of the engine that look at one page at a time, on streams of pages: selections, classification and extraction.
 
-What looks beyond a page (offsets, sections, last N) needs whole documents and is refused here. Groups by time use Spark's own
-watermarks and windows on what these functions give."""
+What looks beyond a page (offsets, sections, last N) needs whole documents and is refused here: ``documents.selection_stream`` keeps
+state for it. Groups by time use Spark's own watermarks and windows on what these functions give."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def select_stream(pages: DataFrame, expression: str, keep: tuple[str, ...] = ())
     """doc_id, page_no (and keep) of the pages of one argument."""
     node = parse_argument(expression).node
     if any(isinstance(x, (Last, Section, Shift)) for x in walk(node)):
-        raise SelectionError(f"needs whole documents, not a stream of pages: {expression}")
+        raise SelectionError(f"needs whole documents, so selection_stream: {expression}")
     return page_set(pages, node, keep)
 
 
