@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 
-from pagequery.operators import groups
+from pagequery.operators import analysis, groups
 from pagequery.plans import arguments
 from pagequery.plans import compile as plans
 from pagequery.plans.ast import Section
 from pagequery.plans.parser import parse, parse_argument
+from pagequery.plans.reuse import PageSets
+from pagequery.sources import sinks
 
 
 TABLE_FROM = 64
@@ -29,6 +31,10 @@ class Selected:
     def keep(self, criteria: str | None) -> Selected:
         return self._with(groups.keep_groups(self.rows, self.source, criteria, self.range_pages))
 
+    def followed_by(self, other: Selected) -> Selected:
+        """The groups of both, the other's behind these in each document."""
+        return self._with(groups.merged(self.rows, other.rows))
+
     def dedup(self, strategy: str = "strict") -> Selected:
         return self._with(groups.dedup(self.rows, strategy))
 
@@ -68,6 +74,22 @@ class PageQuery:
         """doc_id, argument, spec, reason: why documents are left out of a selection."""
         return arguments.problems(self.source, parse(expression, self.base_dir), self.range_pages)
 
+    def analyze(self) -> DataFrame:
+        """Type, size and text of each page."""
+        return analysis.analyze(self.source)
+
+    def split_pages(self) -> DataFrame:
+        """One output a page, of documents with more than one."""
+        return sinks.split_to_pages(self.source)
+
+    def outputs(self, selected: Selected, mode: str = "single", strategy: str | None = None) -> DataFrame:
+        """The pages of a selection by output: one a document (single), group (grouped) or page (separate)."""
+        return sinks.outputs(selected.rows, self.source, mode, strategy)
+
+    def kept(self, folder: str | None = None) -> PageSets:
+        """Page sets that are kept and read again."""
+        return PageSets(self.source, folder, self.range_pages)
+
     def where(self, expression: str, keep: tuple[str, ...] = ()) -> DataFrame:
         """The set of pages of one argument: a filter, without a shuffle unless it looks beyond a page."""
         return plans.page_set(self.source, parse_argument(expression).node, keep, self.range_pages)

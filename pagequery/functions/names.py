@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagequery.plans.template import literal_parts
+from pagequery.plans.template import described, literal_parts
 
 from .text import SPACES, collapse, trim_ws
 
@@ -91,6 +91,23 @@ def extraction_name(stem: Column, description: Column, mode: str = "single", pre
     return F.concat(F.when(F.length(full) > 80, cut).otherwise(full), F.lit(".pdf"))
 
 
+def selection_description(arguments: list[str], total_pages: Column, most: int = 50) -> Column:
+    """A short description of a selection of so many pages."""
+    text, counts = described(arguments, most)
+    return F.concat(F.lit(f"{text}_"), total_pages.cast("string"), F.lit("pg")) if counts else F.lit(text)
+
+
+def missing_value(name: str, preview: bool = False) -> Column:
+    """What stands for a variable without a value: in a preview that it would be extracted, else that there is none."""
+    return F.lit(f"{'PREVIEW' if preview else 'NO'}_{name.upper()}")
+
+
+def template_variables(values: dict[str, Column], stem: Column, page_range: Column, preview: bool = False) -> dict[str, Column]:
+    """All variables of a template: built-in ones, and extracted ones or what stands for them."""
+    built_in = {"original_name": stem, "range": page_range, "page_count": estimated_pages(page_range)}
+    return built_in | {k: F.coalesce(v, missing_value(k, preview)) for k, v in values.items()}
+
+
 def estimated_pages(description: Column) -> Column:
     """How many pages a description names: those of a range a-b, the numbers of a list, else one."""
     span = description.rlike(r"^\d+-\d+$")

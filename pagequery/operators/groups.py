@@ -49,6 +49,13 @@ def range_group(start: Column, stop: Column) -> Column:
     return F.sequence(F.least(start, stop), F.greatest(start, stop))
 
 
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One selection of two, in order: the second's groups follow the first's in each document, numbered on; documents of either are kept."""
+    of = first.groupBy(F.col("doc_id").alias("__doc")).agg(F.max("group_ix").alias("__groups"))
+    behind = second.join(of, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").withColumn("group_ix", (F.col("group_ix") + F.coalesce("__groups", F.lit(0))).cast("int"))
+    return first.select(*GROUP_COLUMNS).unionByName(behind.select(*GROUP_COLUMNS))
+
+
 def renumbered(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("group_ix", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(*order)))
 

@@ -15,14 +15,17 @@ PAGE = ("doc_id", "page_no")
 def line_groups(chars: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """chars with line (from 0, top first) and place (from 0, by x0): a line holds what is within the tolerance of its first character's height."""
 
-    def fold(begun: Column, y: Column) -> Column:
-        return F.when(F.coalesce(F.abs(F.element_at(begun, -1) - y) <= tolerance, F.lit(False)), begun).otherwise(F.concat(begun, F.array(y)))
+    def fold(state: Column, y: Column) -> Column:
+        same = F.coalesce(F.abs(state["first"] - y) <= tolerance, F.lit(False))
+        line = F.when(same, state["line"]).otherwise(state["line"] + 1)
+        return F.struct(F.when(same, state["first"]).otherwise(y).alias("first"), line.alias("line"), F.concat(state["lines"], F.array(line)).alias("lines"))
 
-    df = chars.select(*PAGE, "text", "x0", "x1", "y1")
+    df = chars.select(*PAGE, "text", "x0", "x1", F.col("y1").cast("double").alias("y1"))
     heights = df.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y1"), False).alias("heights"))
-    begun = F.aggregate(F.slice("heights", 2, F.size("heights")), F.slice("heights", 1, 1), fold)
-    df = df.join(heights.select(*PAGE, begun.alias("begun")), list(PAGE))
-    df = df.withColumn("line", F.size(F.filter("begun", lambda y: y >= F.col("y1"))) - 1).drop("begun")
+    empty = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    # a height's line once, and then its characters
+    lines = heights.select(*PAGE, F.explode(F.arrays_zip("heights", F.aggregate("heights", empty, fold)["lines"].alias("lines"))).alias("z"))
+    df = df.join(lines.select(*PAGE, F.col("z.heights").alias("y1"), F.col("z.lines").alias("line")), [*PAGE, "y1"]).select(*PAGE, "text", "x0", "x1", "y1", "line")
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE, "line").orderBy("x0", F.desc("y1"))) - 1)
 
 

@@ -11,7 +11,7 @@ from itertools import accumulate
 from pagequery.errors import SelectionError
 
 from . import lexer
-from .ast import All, And, First, Last, Match, Not, Or, Shift, Span, Step
+from .ast import All, First, Last, Span, Step
 from .parser import FILE, is_pattern, parse_argument
 
 VARIABLE = re.compile(r"\{([^{}|]+)(?:\|([^{}]*))?\}")
@@ -125,43 +125,67 @@ def plain(text: str) -> str:
 CATEGORIES = ("files", "patterns", "booleans", "ranges", "keywords")
 
 
-def described(argument: str) -> tuple[str, str]:
-    """(its category, a word or two for it), by what the parser makes of the argument."""
-    text = argument.strip()
-    if text.startswith("file:"):
-        return "files", plain(os.path.splitext(text[5:])[0])
+#: Where a text alone decides, whatever the parser makes of it: prefixes that make a pattern, and what makes a boolean.
+PATTERNS, BOOLEANS = ("contains:", "regex:"), "&|"
+
+
+def category(argument: str) -> str:
+    """What an argument is counted as. One that holds a contains or regex pattern anywhere counts as a pattern, booleans included."""
+    if any(p in argument for p in PATTERNS):
+        return "patterns"
+    if any(c in argument for c in BOOLEANS):
+        return "booleans"
+    if argument.startswith("file:"):
+        return "files"
+    try:
+        node = parse_argument(argument).node
+    except SelectionError:
+        return "patterns"
+    if isinstance(node, Span) and node.start is not None and node.stop is not None:
+        return "ranges"
+    return "keywords" if isinstance(node, (All, First, Last)) or (isinstance(node, Step) and argument.isalpha()) else "patterns"
+
+
+def words_for(argument: str) -> str:
+    """A word or two for an argument. One that begins with a pattern's prefix is described by it, whatever follows."""
+    if argument.startswith("contains:"):
+        value = argument.removeprefix("contains:").strip("\"'")
+        return "contains_" + plain(value if len(value) <= 15 else f"{value[:12]}...")
+    if argument.startswith("regex:"):
+        return "regex_pattern"
+    if any(c in argument for c in BOOLEANS):
+        return "boolean_expr"
+    if argument.startswith("file:"):
+        return plain(os.path.splitext(argument[5:])[0])
     try:
-        node = parse_argument(text).node
+        node = parse_argument(argument).node
     except SelectionError:
-        return "patterns", plain(text)[:10]
-    match node.node if isinstance(node, Shift) else node:
-        case Span(start=int(first), stop=int(last)):
-            return "ranges", f"pages{first}" if first == last and text.isdecimal() else f"pages{first}-{last}"
-        case Span():
-            return "ranges", plain(text)[:10]
-        case Match(kind="contains", value=value):
-            return "patterns", "contains_" + plain(value if len(value) <= 15 else f"{value[:12]}...")
-        case Match(kind="regex"):
-            return "patterns", "regex_pattern"
-        case And() | Or() | Not():
-            return "booleans", "boolean_expr"
+        return plain(argument)[:10]
+    match node:
+        case Span(start=int(), stop=int()) if re.fullmatch(r"\d+(?:-\d+)?", argument):
+            return f"pages{argument}"
         case All() | First() | Last() as found:
-            return "keywords", f"{type(found).__name__.lower()}_pages"
-        case Step(start=first, stop=None, step=2) if first in (1, 2):
-            return "keywords", "odd_pages" if first == 1 else "even_pages"
-    return "patterns", plain(text)[:10]
+            return f"{type(found).__name__.lower()}_pages"
+        case Step(start=first, stop=None, step=2) if argument.isalpha():
+            return "odd_pages" if first == 1 else "even_pages"
+    return plain(argument)[:10]
+
+
+def described(arguments: list[str], most: int = 50) -> tuple[str, bool]:
+    """A short description of a list of arguments, of many or long ones how many there are of each kind; and whether the number of pages belongs behind it."""
+    texts = [a.strip() for a in arguments]
+    listed = ", ".join(map(words_for, texts))
+    if len(texts) < 2 or (len(texts) <= 3 and len(listed) <= most):
+        return listed or "empty", False
+    counted = Counter(map(category, texts))
+    named = [f"{counted[c]}{c}" for c in CATEGORIES if c in counted]
+    mixed = f"mixed_{len(texts)}args_" if len(named) > 2 else ""
+    return f"{mixed}{'-'.join(named[:2])}", True
 
 
 def describe(arguments: list[str], total_pages: int, most: int = 50) -> str:
-    """A short description of a list of arguments; of many or long ones, how many there are of each kind."""
-    read = [described(a) for a in arguments]
-    listed = ", ".join(words for _, words in read)
-    if len(read) < 2 or (len(read) <= 3 and len(listed) <= most):
-        return listed or "empty"
-    counted = Counter(category for category, _ in read)
-    named = [f"{counted[c]}{c}" for c in CATEGORIES if c in counted]
-    mixed = f"mixed_{len(read)}args_" if len(named) > 2 else ""
-    return f"{mixed}{'-'.join(named[:2])}_{total_pages}pg"
+    text, counts = described(arguments, most)
+    return f"{text}_{total_pages}pg" if counts else text
 
 
 def safe(text: str, most: int = 20) -> str:

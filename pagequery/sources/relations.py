@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagequery.storage import stored
+
 PAGE_SCHEMA = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("page_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("image_count", T.IntegerType()), T.StructField("size_bytes", T.LongType())])
 
 
@@ -33,22 +35,21 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_relation(read(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn") + 1, F.col("text"), F.length("text") % 3, F.col("role"))
 
 
-PAGES_EACH = 1 << 18  # pages of one source that one task puts in order
+PAGES_EACH = 1 << 18  # rows that one task puts in order
 
 
 def numbered(df: DataFrame, key: str, order: str, name: str, each: int = PAGES_EACH) -> DataFrame:
-    """df with name: the row's number, from 1, among those of its key in the order of a column of whole numbers.
-
-    A key's rows are dealt out by even ranges of that column: ranges have their counts summed, rows are ordered within a range. So a
-    key with any share of the rows is spread over tasks."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    parts = max(1, -(-n // each))
-    part = F.lit(0) if low is None else F.coalesce(F.floor((F.col(order) - low) * parts / (high - low + 1)).cast("int"), F.lit(-1))
-    dealt = df.withColumn("__part", part)
+    """df with name: the row's number, from 1, among those of its key in an order.
+
+    More than each rows are dealt out by ranges of (key, order) of about each rows, whatever the values, and stored, so that a range is the same rows whenever
+    it is read. Rows are ordered within a range, and ranges have their counts summed: a key with any share of the rows is spread over tasks."""
+    n = df.count()
+    if n <= each:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    dealt = stored(df.repartitionByRange(-(-n // each), key, order).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy(order))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = dealt.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumnRenamed("__key", key).withColumnRenamed("__of", "__part").select(F.col(key).alias("__key"), F.col("__part").alias("__of"), before.alias("__before"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("__n")).select("__key", "__of", before.alias("__before"))
     joined = dealt.withColumn(name, inside).join(counts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
     return joined.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
 

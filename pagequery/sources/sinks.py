@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagequery.errors import ConflictError
 from pagequery.functions.names import clean_cell
 from pagequery.operators import groups
+from pagequery.storage import stored
 
 MODES = ("single", "grouped", "separate")
 #: What to do about an output that exists, as Spark's save modes; ask stands for rename where nobody can be asked.
@@ -40,11 +41,45 @@ def split_to_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("__n", n).where("__n > 1").drop("__n").withColumn("output", F.format_string("%s_page%02d", F.col("doc_id"), F.col("page_no")))
 
 
-def write_outputs(rows: DataFrame, path: str, conflict: str = "fail", by: str = "output") -> str:
-    """Parquet, one folder an output; gives the path that was written."""
-    path = resolved(path, conflict, lambda p: path_exists(rows.sparkSession, p))
-    rows.write.partitionBy(by).mode(SAVE.get(conflict, "errorifexists")).parquet(path)
-    return path
+def existing_outputs(spark: SparkSession, path: str, by: str = "output") -> DataFrame:
+    """name: the outputs that a folder holds."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "name string")
+    return spark.read.schema(f"`{by}` string").parquet(path).select(F.col(by).alias("name")).distinct()
+
+
+def decided(planned: DataFrame, existing: DataFrame, conflict: str) -> DataFrame:
+    """name, action, final_name for each planned(name), which are distinct: create, or what the strategy does to one that exists in any case.
+
+    rename (and ask, where nobody can be asked) gives the least number that neither an output nor a planned one has: _1, _2 and so on."""
+    if conflict not in (*SAVE, "rename", "ask"):
+        raise ValueError(f"unknown conflict strategy: {conflict}")
+    action = "rename" if conflict == "ask" else conflict
+    names = planned.select("name", F.lower("name").alias("__name"))
+    have = existing.select(F.lower("name").alias("__have")).distinct()
+    taken = have.select(F.col("__have").alias("__taken")).unionByName(names.select(F.col("__name").alias("__taken"))).distinct()
+    number = r"^(.*)_(\d{1,9})$"
+    used = taken.where(F.col("__taken").rlike(number)).groupBy(F.regexp_extract("__taken", number, 1).alias("__stem")).agg(F.collect_set(F.regexp_extract("__taken", number, 2).cast("int")).alias("__used"))
+    joined = names.join(have, F.col("__name") == F.col("__have"), "left").join(used, F.col("__name") == F.col("__stem"), "left")
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.coalesce(F.size("__used"), F.lit(0)) + 1), F.coalesce("__used", F.array().cast("array<int>"))))
+    found = F.col("__have").isNotNull()
+    final = F.when(found & F.lit(action == "rename"), F.concat("name", F.lit("_"), free.cast("string"))).otherwise(F.col("name"))
+    return joined.select("name", F.when(found, action).otherwise("create").alias("action"), final.alias("final_name"))
+
+
+def write_outputs(rows: DataFrame, path: str, conflict: str = "fail", by: str = "output") -> DataFrame:
+    """Writes Parquet, one folder an output, and gives the decisions: name, action, final_name.
+
+    Each output that exists already is overwritten, skipped or renamed by itself, by a join with the folder's listing in the job that writes; fail
+    writes nothing and names the first ten. Spark stages the outputs and moves them when all tasks have ended, so a lost task leaves none half-written, and no other output is touched."""
+    spark = rows.sparkSession
+    plan = stored(decided(rows.select(F.col(by).alias("name")).distinct(), existing_outputs(spark, path, by), conflict), "decisions")
+    if conflict == "fail" and (found := [r["name"] for r in plan.where("action = 'fail'").orderBy("name").limit(10).collect()]):
+        raise ConflictError(f"{path} holds {', '.join(found)}", [f"{path}/{by}={x}" for x in found])
+    kept = plan.where("action <> 'skip'").select(F.col("name").alias("__planned"), F.col("final_name").alias("__final"))
+    out = rows.join(kept, F.col(by) == F.col("__planned")).withColumn(by, F.col("__final")).drop("__planned", "__final")
+    out.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return plan
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -90,8 +125,8 @@ def conflicts(planned: DataFrame, existing: DataFrame) -> DataFrame:
 def without_collisions(planned: DataFrame) -> DataFrame:
     """planned(name) with final_name: the second and later ones of a name get _copy_01 and so on, in the order of the input.
 
-    A name's rows are numbered within their task, and after those of the tasks before: no task gathers a name."""
-    dealt = planned.withColumns({"__name": F.lower("name"), "__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    A name's rows are numbered within the task that they came from, and after those of the tasks before: no task gathers a name. Tasks and places are stored, so that counts and rows belong together."""
+    dealt = stored(planned.withColumns({"__name": F.lower("name"), "__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "planned")
     counts = dealt.groupBy("__name", "__task").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__name").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("__name").alias("__of"), F.col("__task").alias("__in"), before.alias("__before"))

@@ -201,11 +201,11 @@ def test_p_sinks(spark, tmp_path):
 
     rows = PageQuery(df).select("3,1-2").rows
     out = str(tmp_path / "out")
-    assert sinks.write_outputs(sinks.outputs(rows, df, "grouped"), out) == out
+    made = {tuple(r) for r in sinks.write_outputs(sinks.outputs(rows, df, "grouped"), out).collect()}
+    assert made == {("d_group01", "create", "d_group01"), ("d_group02", "create", "d_group02")}
     assert spark.read.parquet(out).where("output = 'd_group01'").first().page_no == 3
     with pytest.raises(ConflictError):
-        sinks.write_outputs(sinks.outputs(rows, df), out)
-    assert sinks.write_outputs(sinks.outputs(rows, df), out, "rename") == out + "_1"
+        sinks.write_outputs(sinks.outputs(rows, df, "grouped"), out)
     sinks.write_tsv(spark.createDataFrame([("a\tb", "1 0")], "x string, y string"), str(tmp_path / "t"))
     assert "a b\t10" in "".join(p.read_text() for p in (tmp_path / "t").glob("part*"))
     assert sinks.copy_name("a.pdf", {"a.pdf", "a_copy_01.pdf"}.__contains__) == "a_copy_02.pdf" and sinks.unique_name("a.pdf", {"a.pdf"}.__contains__) == "a_1.pdf"

@@ -145,8 +145,8 @@ def test_o13_o14_o17_templates():
 def test_o18_o22_o23_descriptions():
     assert template.describe(["5"], 10) == "pages5" and template.describe(["1-3", "odd"], 10) == "pages1-3, odd_pages"
     assert template.describe([f"contains:'{i}'" for i in range(5)], 9) == "5patterns_9pg" and template.describe([], 3) == "empty"
-    assert template.describe(["file:lists/mine.txt", "even", "contains:'a' & odd", "4-6"], 8) == "mixed_4args_1files-1booleans_8pg"
-    words = {"first 3": "first_pages", "last 2": "last_pages", "regex:'x+'": "regex_pattern", "contains:'four and twenty birds'": "contains_four_and_twe...", "!odd": "boolean_expr", "9-": "9-", "type:text": "type_text"}
+    assert template.describe(["file:lists/mine.txt", "even", "contains:'a' & odd", "4-6"], 8) == "mixed_4args_1files-1patterns_8pg"
+    words = {"first 3": "first_pages", "last 2": "last_pages", "regex:'x+'": "regex_pattern", "contains:'four and twenty birds'": "contains_four_and_twe...", "odd & 3": "boolean_expr", "9-": "9-", "type:text": "type_text"}
     assert {k: template.describe([k], 9) for k in words} == words
     assert template.pattern_description("contains:'a long one'") == "pattern-match" and template.boolean_description("a & !b") == "a-and-not-b"
     assert template.query_description("all", "contains:a", "contains:b", "1-2", 3) == "all-bounded-filtered-3groups"
