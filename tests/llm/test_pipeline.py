@@ -100,7 +100,12 @@ def test_counts_bound_what_differs_in_large_sets():
         assert np.abs(counts[i] - counts[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
     pivots = shingles.pivot_table(np.stack([m[: shingles.MAP // 64] for m in maps]))
     size = np.array([len(s) for s in sets])
-    assert shingles.hopeful(maps, pivots, size, np.zeros(6, int), 0.8).tolist() == [1, 0, 0, -1, -1, -1]  # unrelated large sets are told apart
+    near = lambda **more: set(zip(*(x.tolist() for x in shingles.hopeful(maps, pivots, size, np.zeros(6, int), 0.8, **more)), strict=True))
+    assert near() == {(0, 1), (1, 0), (2, 0)}  # unrelated large sets are told apart
+    assert near(most=9) == {(i, j) for i in range(3) for j in range(3) if i != j}
+    apart = np.ones((6, 6), bool)
+    apart[0, 1] = apart[1, 0] = False
+    assert near(apart=apart) == {(0, 2), (1, 2), (2, 0)}
 
 
 def test_large_near_copies(spark, monkeypatch):
