@@ -160,5 +160,14 @@ def written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("p9_written_outputs", written_twice, f"WITH {CONVERSATIONS}, o AS (SELECT 'd' || right(doc_id, 1) AS output FROM p WHERE page_no <= 2) SELECT output, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT output || '_1', count(*) FROM o WHERE output IN ('d0', 'd2', 'd4') GROUP BY 1")
+
+
+def dumped_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/pagequery-{spark.sparkContext.applicationId}/dump-{uuid.uuid4().hex}"
+    sinks.dump_text(relations.conversation_pages(spark, sf_dir), path)
+    return relations.read_dump(spark, path).select("doc_id", "page_no", F.md5(F.col("text").cast("binary")).alias("text"), "size_bytes")
+
+
+query("a2_read_dump", dumped_and_read, f"WITH {CONVERSATIONS} SELECT doc_id, page_no, md5(text) AS text, size_bytes FROM p")
 query("e6_sections_to_offset_ranges", on_sources(lambda p: PageQuery(p, range_pages=40).select("contains:'License' to contains:'License'+1").rows.groupBy("doc_id").agg(F.countDistinct("group_ix").alias("n"))), f"WITH {section_sql('contains(text, $$License$$)', 'coalesce(lag(contains(text, $$License$$)) OVER (PARTITION BY doc_id ORDER BY page_no), false)', SOURCES)} SELECT doc_id, count(*) AS n FROM s GROUP BY 1")
 assert len(ORACLE_SQL) == len(QUERIES)

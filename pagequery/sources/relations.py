@@ -66,6 +66,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_relation(df, F.col("doc_id"), F.col("line") + 1, F.col("text"))
 
 
+def read_dump(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The pages of text dumps (``sinks.dump_text``) in a folder, or of those that arrive there. Files are split at their pages' first lines, so a large one is many tasks."""
+    reader = spark.readStream if stream else spark.read
+    records = reader.option("lineSep", "\n=== ").text(path)
+    head = r"(?s)^(?:=== )?([^\n]*), page (\d+) ===\n(.*)$"
+    part = lambda i: F.regexp_extract("value", head, i)
+    text = F.regexp_replace(F.regexp_replace(part(3), r"\n\z", ""), r"(?md)^\\", "")
+    return page_relation(records.where(F.col("value").rlike(head)), part(1), part(2), text)
+
+
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A web page is a document of one page; its images are its img elements."""
     images = F.size(F.split("html", "(?i)<img")) - 1

@@ -183,4 +183,7 @@ def dumped_text(pages: DataFrame) -> DataFrame:
 
 
 def dump_text(pages: DataFrame, path: str) -> None:
-    dumped_text(pages).orderBy("doc_id", "page_no").select("value").write.mode("overwrite").text(path)
+    """Text files of pages in order, which ``relations.read_dump`` reads again: lines that look like a page's first line, and a last line that is empty, are escaped by a backslash."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?md)^(=== |\\)", r"\\$1")
+    text = F.when(F.endswith(text, F.lit("\n")), F.concat(text, F.lit("\\"))).otherwise(text)
+    dumped_text(pages.withColumn("text", text)).orderBy("doc_id", "page_no").select("value").write.mode("overwrite").text(path)

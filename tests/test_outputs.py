@@ -12,7 +12,7 @@ from pagequery.operators import previews
 from pagequery.plans.parser import parse_argument
 from pagequery.plans.reuse import PageSets, canonical
 from pagequery.sources import sinks
-from pagequery.sources.relations import numbered, text_pages
+from pagequery.sources.relations import numbered, read_dump, text_pages
 
 
 def rows_of(df):
@@ -134,3 +134,20 @@ def test_numbered_rows_of_any_ids(spark, each):
     for k in {r[0] for r in rows}:
         want |= {(k, x): n for n, x in enumerate(sorted(x for j, x in rows if j == k), 1)}
     assert {(r.k, r.x): r.n for r in numbered(df, "k", "x", "n", each).collect()} == want
+
+
+def test_dumps_are_read_again(spark, tmp_path):
+    texts = ["plain", "", "ends\n", "\n", "\n\n", "=== d, page 9 ===\nnot a page", "a\n=== b\n\\=== c\n\\", "\\", "x\r\ny\u2028=== z", "é中😀", None, "=== ", "last\n=== "]
+    pages = text_pages(spark, [("d, page 1", i, t) for i, t in enumerate(texts, 1)])
+    want = [(i, t or "") for i, t in enumerate(texts, 1)]
+    sinks.dump_text(pages.repartition(3), str(tmp_path / "dump"))
+    assert [(r.page_no, r.text) for r in read_dump(spark, str(tmp_path / "dump")).orderBy("page_no").collect()] == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        split = read_dump(spark, str(tmp_path / "dump"))
+        assert split.rdd.getNumPartitions() > 2 and [(r.page_no, r.text) for r in split.orderBy("page_no").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    query = read_dump(spark, str(tmp_path / "dump"), stream=True).writeStream.format("memory").queryName("dumped").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.page_no, r.text) for r in spark.table("dumped").collect()) == want

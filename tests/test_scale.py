@@ -35,25 +35,23 @@ def rows_of(df):
 EXPRESSIONS = ["all", "last 3", "contains:'a'+1", "contains:'a'-2", "contains:'b'+13", "contains:'b'-40", "contains:'a' to contains:'b'", "contains:'x'+1 to contains:'d'-1", "(contains:'a' to contains:'b') & !contains:'c' | last 2", "contains:'a' to contains:'none'", "contains:'a',2-1,contains:'b' to contains:'c',last 4", "3,contains:'a' & contains:'b'"]
 
 
-@pytest.mark.parametrize("each", [1, 3, 10, 1000])
-@pytest.mark.parametrize("expression", EXPRESSIONS)
+@pytest.mark.parametrize(("expression", "each"), [*((e, 3) for e in EXPRESSIONS), *((e, each) for e in EXPRESSIONS[-3:] for each in (1, 1000))])
 def test_selections_by_ranges(pages, expression, each):
     plain, ranged = PageQuery(pages).select(expression), PageQuery(pages, range_pages=each).select(expression)
     assert rows_of(ranged.rows) == rows_of(plain.rows)
-    if each in (3, 1000):
+    if "," in expression:
         assert rows_of(ranged.pages()) == rows_of(plain.pages())
 
 
-@pytest.mark.parametrize("each", [1, 4, 10, 1000])
-@pytest.mark.parametrize(("selection", "start", "end"), [("all", "contains:'a'", None), ("all", None, "contains:'b'"), ("odd", "contains:'a'", "contains:'b'"), ("9-1,all", "contains:'a'-1", "contains:'c'"), ("contains:'a' to contains:'b'", "contains:'c'", None), ("all", "contains:'none'", None)])
+@pytest.mark.parametrize(("selection", "start", "end", "each"), [("all", "contains:'a'", None, 1), ("all", None, "contains:'b'", 10), ("odd", "contains:'a'", "contains:'b'", 4), ("9-1,all", "contains:'a'-1", "contains:'c'", 4), ("contains:'a' to contains:'b'", "contains:'c'", None, 4), ("all", "contains:'none'", None, 1000)])
 def test_splits_by_ranges(pages, selection, start, end, each):
     plain, ranged = (PageQuery(pages, range_pages=e).select(selection).split(start, end) for e in (None, each))
     assert rows_of(ranged.rows) == rows_of(plain.rows)
     assert rows_of(ranged.keep("contains:'d'").rows) == rows_of(plain.keep("contains:'d'").rows)
 
 
-@pytest.mark.parametrize("each", [1, 2, 5, 10, 1000])
-@pytest.mark.parametrize("expression", ["all", "contains:'a'", "!contains:'a'", "odd", "contains:'none'", "2-9"])
+@pytest.mark.parametrize("each", [1, 10])
+@pytest.mark.parametrize("expression", ["all", "!contains:'a'", "odd", "contains:'none'"])
 def test_runs_by_ranges(pages, expression, each):
     found = PageQuery(pages, on_error="ignore").where(expression)
     assert rows_of(groups.format_ranges(found, each)) == rows_of(groups.format_ranges(found))
