@@ -125,10 +125,15 @@ def contained(documents: DataFrame, benchmark: DataFrame, least: float = 0.5, ru
     return matched.where((F.col("n_matched") >= least * F.col("n_words")) | (F.col("n_matched") >= run)).select(ROW, "doc_id", "item_id", "n_words", "n_matched")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of documents that contain no item of the benchmark."""
-    documents = settled(documents)
-    return without(documents, contained(documents, benchmark, least).select(ROW).distinct())
+def decontaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5, short: int = 5) -> DataFrame:
+    """The rows of documents that contain no item of the benchmark.
+
+    An item of fewer than ``short`` words is in very many texts that have nothing to do with it, so it only takes documents whose words are its words."""
+    documents, benchmark = settled(documents), settled(benchmark)
+    found = contained(documents, benchmark, least, shortest=short).select(ROW).distinct()
+    few = lambda df: numbered(df, words_of(F.col("text")).alias("words")).where(F.size("words").between(1, short - 1))
+    same = few(documents).join(few(benchmark).select("words").distinct(), "words", "left_semi").select(ROW)
+    return without(documents, found.unionByName(same))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

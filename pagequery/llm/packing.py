@@ -196,7 +196,7 @@ class Packing:
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 2000) -> Packing:
-    """A packing of counts = {length: pieces} by branch and bound; nodes: how many fillings the search may look at, None for all.
+    """A packing of counts = {length: pieces} by branch and bound; nodes: how many steps the search may take (fillings that it looks at, and branches with one sequence fewer), None for all.
 
     A branch is a filling and how many sequences have it. Sequences around the same largest length take their fillings in the
     order of the keys, so no packing is met twice; each node is pruned by the waste so far and by the bound on what is left."""
@@ -223,6 +223,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 20
     if best > bound:
         levels.append(opened(None))
     while levels and best > bound:
+        if nodes is not None and looked >= nodes:
+            return Packing(incumbent, False)
+        looked += 1
         level = levels[-1]
         if level[2]:  # the branch taken is done: one sequence fewer of it
             w, filling = level[1]
@@ -230,13 +233,10 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 20
             used, waste, level[2] = used - 1, waste - w, level[2] - 1
             plan.pop()
         else:
-            if nodes is not None and looked >= nodes:
-                return Packing(incumbent, False)
             level[1] = next(level[0], StopIteration)
             if level[1] is StopIteration:
                 levels.pop()
                 continue
-            looked += 1
             if level[1] is None:
                 continue
             w, filling = level[1]

@@ -154,6 +154,14 @@ class Transducer:
         self.close: dict[int, int] = {}  # the same for a word's last byte -> last token << 8 | tokens emitted
         self.state([(0, -1, 0)])
 
+    def room(self, state: int) -> int:
+        """The state's number; beyond the bound all states go but this one, so that a word of any length is read in bounded memory."""
+        if len(self.states) <= self.most:
+            return state
+        values = array("i", self.states[state])
+        self.clear()
+        return self.state([*zip(values[::3], values[1::3], values[2::3], strict=True)])
+
     def state(self, live: list[tuple[int, int, int]]) -> int:
         """The number of the state with these places under way, (node, last token before, tokens before beyond those emitted); the last is the present one."""
         key = array("i", chain.from_iterable(live)).tobytes()
@@ -200,6 +208,8 @@ class Transducer:
         for byte in word[:-1]:
             x = step.get(state << 8 | byte)
             if x is None:
+                state = self.room(state)
+                step = self.step
                 x = self.compile(state, byte)
             state = x >> 8
             emitted += x & 255
@@ -208,16 +218,20 @@ class Transducer:
 
     def ids(self, word: bytes) -> list[int]:
         """The tokens themselves."""
-        path = [0]
+        state, last = 0, array("i", [-1])  # the last token of what was read, at each place
         for byte in word[:-1]:
-            x = self.step.get(path[-1] << 8 | byte)
-            path.append((self.compile(path[-1], byte) if x is None else x) >> 8)
-        x = self.close.get(path[-1] << 8 | word[-1])
-        token, at, out = (self.compile_close(path[-1], word[-1]) if x is None else x) >> 8, len(word), []
+            x = self.step.get(state << 8 | byte)
+            if x is None:
+                state = self.room(state)
+                x = self.compile(state, byte)
+            state = x >> 8
+            last.append(self.last[state])
+        x = self.close.get(state << 8 | word[-1])
+        token, at, out = (self.compile_close(state, word[-1]) if x is None else x) >> 8, len(word), []
         while token >= 0:
             out.append(token)
             at -= self.length(token)
-            token = self.last[path[at]]
+            token = last[at]
         return out[::-1]
 
     def length(self, token: int) -> int:
@@ -380,17 +394,20 @@ def machine_of(path: str, ids: bool = False) -> Fields:
 class Fields:
     """The compressed edges of whole fields, which white space closes. Each has a number, by which the store tells how many tokens it emits, and which."""
 
-    def __init__(self, encode: Words, edges: int = 750_000):
-        self.encode, self.edges = encode, edges
-        self.closing, self.store = numbering(), Store(encode.ids)
+    def __init__(self, encode: Words, edges: int = 750_000, edge_bytes: int = 24_000_000):
+        self.encode, self.edges, self.edge_bytes = encode, edges, edge_bytes
+        self.closing, self.store, self.held = numbering(), Store(encode.ids), 0
 
     def read(self, fields: Iterable[bytes], n: int) -> np.ndarray:
         """The edges of n fields, by number; valid until the next reading."""
-        if self.store.n > self.edges:
-            self.closing = self.store.forget(self.closing, self.edges // 3)
+        if self.store.n > self.edges or self.held > self.edge_bytes:
+            keep = sum(1 for size in accumulate(map(len, islice(self.closing, self.edges // 3))) if size <= self.edge_bytes // 3)
+            self.closing = self.store.forget(self.closing, keep)
+            self.held = sum(map(len, self.closing))
             release_memory()
         codes = np.fromiter(map(self.closing.__getitem__, fields), np.int64, n)
         new = newest(self.closing, len(self.closing) - self.store.n)
+        self.held += sum(map(len, new))
         for i in range(0, len(new), 1 << 14):
             self.store.append(*self.encode([k.decode() for k in new[i : i + (1 << 14)]]))
         return codes

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagequery.llm import common, decontaminate, katz, neighbours, shingles, simhash, warc
+from pagequery.llm import common, decontaminate, katz, neighbours, packing, shingles, simhash, token_count, warc
 
 DATA = "/root/testdata/sf0.01"
 
@@ -207,3 +207,41 @@ def test_op3_written_files_are_members_of_one_record(spark, tmp_path):
         back += found[1:]
     assert sorted(r["warc-record-id"] for r in back) == sorted(r.record_id for r in records.collect())
     assert {r["block"] for r in back if r["warc-type"] == "conversion"} == {"café".encode(), big.strip().encode()}
+
+
+# --- bounds -----------------------------------------------------------------------------------------------------------
+
+
+def test_op2_states_and_edges_are_bounded():
+    """A word longer than there is room for states, and fields that fill the edges, give the library's ids."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_count.tokenizer_path())
+    made = random.Random(1)
+    words = token_count.load(token_count.tokenizer_path())
+    words.transducer.most = 40
+    fields = token_count.Fields(words, edges=300, edge_bytes=4000)
+    for _ in range(30):
+        part = ["".join(made.choice("abcdetrs") for _ in range(made.choice([3, 9, 400]))) for _ in range(40)]
+        codes = fields.read([x.encode() for x in part], len(part))
+        assert fields.ids(codes).tolist() == [i for x in part for i in library.encode(x, add_special_tokens=False).ids]
+        assert len(words.transducer.states) <= 40 + 2
+    assert fields.store.n < 1200 and fields.held < 40_000
+    counting = token_count.load(token_count.tokenizer_path(), False)
+    counting.transducer.most = 25
+    word = "".join(made.choice("abcdetrs") for _ in range(5000))
+    assert counting.transducer.count(word.encode()) == len(library.encode(word, add_special_tokens=False).ids)
+
+
+def test_op5_every_step_counts():
+    counts = dict.fromkeys((882, 997, 1201, 1350, 1502, 1666, 1801, 1994), 400)
+    short, longer = (packing.bin_completion(counts, 4096, n) for n in (1, 500))
+    assert not short.proven and short.sequences >= longer.sequences >= packing.lower_bound(counts, 4096)
+    assert packing.bin_completion({7: 2, 5: 2, 3: 2}, 10, None).proven
+
+
+def test_short_items_take_only_documents_that_are_the_item(spark):
+    docs = spark.createDataFrame([(1, "yes it is"), (2, "Yes!"), (3, "no"), (4, "the answer is yes"), (5, None), (6, ""), (7, "a b c d e f g"), (8, "x a b c d e f g y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Yes"), (2, "the answer"), (3, "A b c, d e f g"), (4, None), (5, "")], "item_id long, text string")
+    kept = {r.doc_id for r in decontaminate.decontaminated(docs, items).collect()}
+    assert kept == {1, 3, 4, 5, 6}
