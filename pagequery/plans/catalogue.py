@@ -302,8 +302,9 @@ query("l14_warnings", on_sources(lambda p: extract.extract(p, parse_patterns(COM
 
 #: Moves (L10), words, lines and numbers (L11 to L13), all of a line and flexible ones, each with the content by SQL over x.
 WALKS = {
-    "License:u1ln1": "ls[greatest(line - 1, 0) + 1]",
-    "License:d1ln2": "array_to_string(ls[least(line + 1, len(ls) - 1) + 1:least(line + 1, len(ls) - 1) + 2], chr(10))",
+    # a start of a blank line is no place, and gives nothing
+    "License:u1ln1": r"CASE WHEN regexp_matches(ls[greatest(line - 1, 0) + 1], '\S') THEN ls[greatest(line - 1, 0) + 1] END",
+    "License:d1ln2": r"CASE WHEN regexp_matches(ls[least(line + 1, len(ls) - 1) + 1], '\S') THEN array_to_string(ls[least(line + 1, len(ls) - 1) + 1:least(line + 1, len(ls) - 1) + 2], chr(10)) END",
     "License:l2wd2": "array_to_string(w[greatest(word - 2, 0) + 1:greatest(word - 2, 0) + 2], ' ')",
     "License:wd0": "array_to_string(w[word + 1:], ' ')",
     "License:d1wd1": "list_filter(string_split_regex(ls[least(line + 1, len(ls) - 1) + 1], '\\s+'), lambda y: y <> '')[1]",
@@ -312,8 +313,6 @@ WALKS = {
     "License:ln1": "ls[line + 1]",
 }
 WALKS_SQL = " UNION ALL ".join(f"SELECT doc_id, page_no, CAST({i} AS INTEGER) AS pattern, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, {sql} AS extracted FROM x WHERE contains(c, 'license')" for i, sql in enumerate(WALKS.values()))
-# a start of a blank line is no place, and gives nothing
-WALKS_SQL = WALKS_SQL.replace("ls[greatest(line - 1, 0) + 1] AS", r"CASE WHEN regexp_matches(ls[greatest(line - 1, 0) + 1], '\S') THEN ls[greatest(line - 1, 0) + 1] END AS").replace("array_to_string(ls[least", r"CASE WHEN regexp_matches(ls[least(line + 1, len(ls) - 1) + 1], '\S') THEN array_to_string(ls[least").replace(":least(line + 1, len(ls) - 1) + 2], chr(10)) AS", ":least(line + 1, len(ls) - 1) + 2], chr(10)) END AS")
 query("l10_walks", on_sources(lambda p: extract.matches(p, parse_patterns([f"v{i}={x}" for i, x in enumerate(WALKS)])).select("doc_id", "page_no", "pattern", "line", "word", "extracted")), f"WITH {PAGE_WORDS} {WALKS_SQL}")
 TRIMMED = ["value=License:r1wd4_^ch1$ch2pg0mt0", "single=License:wd2pg2", "later=License:wd1pg2-3mt2", "least=License:ln1pg-2mt-2"]
 PICKED = r"""SELECT doc_id, '{0}' AS variable, {1} AS value, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, line, word) AS place, count(*) OVER (PARTITION BY doc_id) AS k FROM x WHERE contains(c, 'license') AND {2}"""

@@ -18,7 +18,7 @@ from pagequery.storage import shared_folder
 from pagequery.streaming.documents import selection_stream
 
 from . import template
-from .catalogue import CONVERSATIONS, COUNTED, LIST, LIST_SQL, LONG, ORACLE_SQL, PAGE_WORDS, QUERIES, ROWS, SOURCES, on_conversations, on_sources, query, rows, section_sql
+from .catalogue import CONVERSATIONS, COUNTED, LIST, LIST_SQL, LONG, NUMBER, ORACLE_SQL, PAGE_WORDS, QUERIES, ROWS, SOURCES, on_conversations, on_sources, query, rows, section_sql
 from .compact import Pick, as_compact, parse_legacy, parse_patterns
 
 SECTIONS = "contains:'the' to contains:'and'"
@@ -116,7 +116,7 @@ LONG_WALKS = {
     "License:r1d1wd2": "CASE WHEN regexp_matches(ls[least(line + 1, len(ls) - 1) + 1], '\\S') THEN array_to_string(list_filter(string_split_regex(ls[least(line + 1, len(ls) - 1) + 1], '\\s+'), lambda y: y <> '')[1:2], ' ') END",
     "License:ln0": "array_to_string(ls[line + 1:], chr(10))",
     "License:ln2-": "array_to_string(list_filter(ls[line + 1:line + 2], lambda y: regexp_matches(y, '\\S')), chr(10))",
-    "License:nb0": "CASE WHEN false THEN '' END",
+    "License:nb1-": f"nullif(regexp_extract(array_to_string(w[word + 1:], ' ') || ' ' || array_to_string(ls[line + 2:], ' '), {NUMBER}), '')",
 }
 query("l10_chained_walks", on_sources(lambda p: extract.matches(p, parse_patterns([f"v{i}={x}" for i, x in enumerate(LONG_WALKS)])).select("doc_id", "page_no", "pattern", "line", "word", "extracted")), f"WITH {PAGE_WORDS} " + " UNION ALL ".join(f"SELECT doc_id, page_no, CAST({i} AS INTEGER) AS pattern, CAST(line AS INTEGER) AS line, CAST(word AS INTEGER) AS word, {sql} AS extracted FROM x WHERE contains(c, 'license')" for i, sql in enumerate(LONG_WALKS.values())))
 
