@@ -55,31 +55,36 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ x >> U64(31)
 
 
+def runs_of(batches, columns: list[str], block_tokens: int) -> Iterator[tuple[int, list[bytes], pa.Table]]:
+    """(block, texts as lower-case bytes, the batches' columns) of about block_tokens words each."""
+    part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+    for batch in batches:
+        start = 0
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            b = t.encode().lower() if t else b""
+            texts.append(b)
+            size += len(b) // 6 + 1
+            if size >= block_tokens:
+                held.append(batch.slice(start, i + 1 - start).select(columns))
+                yield (part << 24) + number, texts, pa.Table.from_batches(held).combine_chunks()
+                start, number, texts, held, size = i + 1, number + 1, [], [], 0
+        if start < len(batch):
+            held.append(batch.slice(start).select(columns))
+    if texts:
+        yield (part << 24) + number, texts, pa.Table.from_batches(held).combine_chunks()
+
+
+def one_row(table: pa.Table, column: str) -> pa.ListArray:
+    """A column as the one list of a row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table.column(column).combine_chunks())
+
+
 def blocks(df: DataFrame, columns: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """block, the columns (arrays), n_bytes (array), texts (in lower case, one after another, compressed): a row for each block of df(columns, text)."""
 
     def run(batches):
-        part, number, texts, held, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def made():
-            whole = pa.Table.from_batches(held).combine_chunks()
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), whole.column(c).combine_chunks()) for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + number], pa.int64()), *arrays, pa.array([[*map(len, texts)]], pa.list_(pa.int64())), pa.array([deflated(b"".join(texts))], pa.binary())], ["block", *columns, "n_bytes", "texts"])
-
-        for batch in batches:
-            start = 0
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                b = t.encode().lower() if t else b""
-                texts.append(b)
-                size += len(b) // 6 + 1
-                if size >= block_tokens:
-                    held.append(batch.slice(start, i + 1 - start).select(columns))
-                    yield made()
-                    start, number, texts, held, size = i + 1, number + 1, [], [], 0
-            if start < len(batch):
-                held.append(batch.slice(start).select(columns))
-        if texts:
-            yield made()
+        for block, texts, table in runs_of(batches, columns, block_tokens):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(one_row(table, c) for c in columns), pa.array([[*map(len, texts)]], pa.list_(pa.int64())), pa.array([deflated(b"".join(texts))], pa.binary())], ["block", *columns, "n_bytes", "texts"])
 
     kinds = ", ".join(f"`{c}` array<{df.schema[c].dataType.simpleString()}>" for c in columns)
     return stored(df.select(*columns, "text").mapInArrow(run, f"block long, {kinds}, n_bytes array<long>, texts binary"), "blocks")

@@ -144,7 +144,7 @@ class ByteBpe:
 class Kept(dict):
     """What make(key) gave, by key: short keys are kept, up to about so many bytes in all, then all but the first third go, since what is frequent was met early."""
 
-    def __init__(self, make: Callable, longest: int = 64, most: int = 160_000_000):
+    def __init__(self, make: Callable, longest: int = 64, most: int = 400_000_000):
         super().__init__()
         self.make, self.longest, self.most, self.size = make, longest, most, 0
 

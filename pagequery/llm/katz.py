@@ -13,7 +13,7 @@ and than the n-gram without its first word, so only those longer n-grams are loo
 Discounts are Good-Turing: r* / r with r* = (r + 1) N(r + 1) / N(r) for the low counts where that is between 0 and r, and by the
 log-linear fit to N(r) beyond, over all counts that are kept. Every count keeps a discount below one, so every history has mass to back off with.
 
-How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition, stored once as a row of compressed texts. Each block sends its distinct words and pairs, as sorted
+How it moves. A block is ``block_tokens`` (800,000) tokens of one input partition, read once and stored as a row of word numbers and word hashes. Each block sends its distinct words and pairs, as sorted
 64-bit hashes packed by difference, to buckets by hash. A bucket adds up the training counts and answers each block in the block's
 own order, so that answers hold a small number an n-gram and no key; it also marks one block as the owner of each. The answers,
 partitioned by block, are the model's count tables. With those of one length a block knows which longer n-grams to ask for, and
@@ -38,10 +38,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_TOKENS, U64, blocks, deflated, inflated, loosened, pair_hash, rows_of, squeezed, texts_of
+from .blocks import BLOCK_TOKENS, U64, deflated, inflated, loosened, one_row, pair_hash, rows_of, runs_of, squeezed
 from .common import discard, release_memory, release_shuffles, remainder, stored, table
 
 END, BEGIN = 0, 1  # local ids of the end of a text, and of what stands before it
@@ -74,7 +75,14 @@ class Level:
 class Block:
     """Tokens of some documents in local ids, and their distinct n-grams length by length."""
 
-    def __init__(self, texts: Iterable[bytes]):
+    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
+        self.sizes, self.tokens, self.hashes = sizes, tokens, hashes
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.levels = [Level(self.tokens, self.hashes, BEGIN, int(self.hashes[BEGIN]), True)]
+
+    @classmethod
+    def of(cls, texts: Iterable[bytes]) -> Block:
+        """Words are numbered from the commonest on, behind the end and the beginning."""
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__  # the next free number
         ids[b" end"], ids[b" begin"]
@@ -84,11 +92,16 @@ class Block:
             tokens.extend(map(ids.__getitem__, t.split()))
             tokens.append(END)
             sizes.append(len(tokens) - before)
-        self.hashes = np.array([*map(word_hash, ids)], U64)
-        del ids
-        self.sizes, self.tokens = np.array(sizes, np.int64), np.array(tokens, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.levels = [Level(self.tokens, self.hashes, BEGIN, int(self.hashes[BEGIN]), True)]
+        hashes = np.fromiter(map(word_hash, ids), U64, len(ids))
+        tokens = np.array(tokens, np.int64)
+        often = np.argsort(-np.bincount(tokens, minlength=len(hashes))[2:], kind="stable") + 2
+        number = np.empty(len(hashes), np.int64)
+        number[:2], number[often] = (END, BEGIN), np.arange(2, len(hashes))
+        return cls(np.array(sizes, np.int64), number[tokens], np.concatenate([hashes[:2], hashes[often]]))
+
+    @classmethod
+    def read(cls, sizes: Iterable[int], tokens: bytes, hashes: bytes) -> Block:
+        return cls(np.array(sizes, np.int64), unplaned(tokens).astype(np.int64), np.frombuffer(hashes, U64))
 
     def histories(self) -> np.ndarray:
         """For each position the n-gram of the last level that stands before it, or -1."""
@@ -222,19 +235,34 @@ def packets(block: int, length: int, hashes: np.ndarray, counts: np.ndarray, bit
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], NAMES["request"])
 
 
-def requests(texts: DataFrame, bits: int, order: int) -> DataFrame:
+def token_blocks(df: DataFrame, block_tokens: int) -> DataFrame:
+    """block, doc_id, held_out, sizes (arrays), tokens, hashes: a row for each block of df(doc_id, held_out, text), its texts read once, as numbers of words and the words' hashes."""
+    columns = ["doc_id", "held_out"]
+
+    def run(batches):
+        for block, texts, table_ in runs_of(batches, columns, block_tokens):
+            release_memory()
+            b = Block.of(texts)
+            parts = [pa.array([b.sizes], pa.list_(pa.int64())), pa.array([planes(b.tokens, 3)], pa.binary()), pa.array([b.hashes.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(one_row(table_, c) for c in columns), *parts], ["block", *columns, "sizes", "tokens", "hashes"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return stored(df.select(*columns, "text").mapInArrow(run, f"block long, doc_id array<{kind}>, held_out array<boolean>, sizes array<long>, tokens binary, hashes binary"), "blocks")
+
+
+def requests(made: DataFrame, bits: int, order: int) -> DataFrame:
     """Distinct words and pairs of each block, with their training counts."""
 
     def run(batches):
         for row in rows_of(batches):
             release_memory()
-            b = Block(texts_of(row["n_bytes"], row["texts"]))
+            b = Block.read(row["sizes"], row["tokens"], row["hashes"])
             train = ~np.array(row["held_out"], bool)
             for length in range(1, min(order, 2) + 1):
                 level = b.levels[0] if length == 1 else b.extend()
                 yield packets(row["block"], length, level.hashes, b.counted(level, train), bits)
 
-    return texts.select("block", "held_out", "n_bytes", "texts").mapInArrow(run, REQUEST)
+    return made.select("block", "held_out", "sizes", "tokens", "hashes").mapInArrow(run, REQUEST)
 
 
 def answer(rows: pa.Table) -> pa.Table:
@@ -278,9 +306,8 @@ def answered(asked: DataFrame, s: Statistics, label: str) -> DataFrame:
     return answers
 
 
-def rebuilt(texts: Iterable[bytes], told: dict[int, np.ndarray], s: Statistics) -> Block:
+def rebuilt(b: Block, told: dict[int, np.ndarray], s: Statistics) -> Block:
     """The block with the n-grams of the lengths that answers are told of, and their counts."""
-    b = Block(texts)
     for length in sorted(told):
         if length == 2:
             b.extend()
@@ -327,9 +354,9 @@ def scored(b: Block, s: Statistics) -> tuple:
     return documents, (doc[at[:, 0]], at[:, 1]), tuple(np.concatenate([np.zeros(0, owned[0][i].dtype if owned else float), *(o[i] for o in owned)]) for i in range(5))
 
 
-def planes(values: np.ndarray) -> bytes:
+def planes(values: np.ndarray, level: int = 1) -> bytes:
     """Numbers below 2**32, compressed byte by byte."""
-    return deflated(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), level)
 
 
 def unplaned(data: bytes) -> np.ndarray:
@@ -370,7 +397,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
     df = documents.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"))
     bits = min(18, max(6, 1 + math.ceil(math.log2(max(1, df.rdd.getNumPartitions())))))
     s = Statistics(cutoff)
-    texts = blocks(df, ["doc_id", "held_out"], block_tokens)
+    texts = token_blocks(df, block_tokens)
     answers = answered(requests(texts, bits, order), s, "counts")
     tables = [texts, answers]
     s.unseen = unseen_mass(answers, s)
@@ -382,7 +409,7 @@ def score(documents: DataFrame, folds: int = 7, held: int = 2, block_tokens: int
             told.setdefault(length, []).append(loosened(a, n))
         for length in range(3, max(told) + 1):
             told.setdefault(length, [np.zeros(0, np.int64)])
-        return rebuilt(texts_of(left.column("n_bytes")[0].as_py(), left.column("texts")[0].as_py()), {k: np.concatenate(v) for k, v in told.items()}, s)
+        return rebuilt(Block.read(*(left.column(k)[0].as_py() for k in ("sizes", "tokens", "hashes"))), {k: np.concatenate(v) for k, v in told.items()}, s)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """The requests of a block for the next length."""
