@@ -82,7 +82,7 @@ class Block:
 
     @classmethod
     def of(cls, texts: Iterable[bytes]) -> Block:
-        """Words are numbered from the commonest on, behind the end and the beginning."""
+        """Words are numbered from the commonest on, behind the end and the beginning; those of one count by hash, which takes the least room."""
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__  # the next free number
         ids[b" end"], ids[b" begin"]
@@ -94,14 +94,14 @@ class Block:
             sizes.append(len(tokens) - before)
         hashes = np.fromiter(map(word_hash, ids), U64, len(ids))
         tokens = np.array(tokens, np.int64)
-        often = np.argsort(-np.bincount(tokens, minlength=len(hashes))[2:], kind="stable") + 2
+        often = np.lexsort((hashes[2:], -np.bincount(tokens, minlength=len(hashes))[2:])) + 2
         number = np.empty(len(hashes), np.int64)
         number[:2], number[often] = (END, BEGIN), np.arange(2, len(hashes))
         return cls(np.array(sizes, np.int64), number[tokens], np.concatenate([hashes[:2], hashes[often]]))
 
     @classmethod
     def read(cls, sizes: Iterable[int], tokens: bytes, hashes: bytes) -> Block:
-        return cls(np.array(sizes, np.int64), unplaned(tokens).astype(np.int64), np.frombuffer(hashes, U64))
+        return cls(np.array(sizes, np.int64), unplaned(tokens).astype(np.int64), unpacked(hashes))
 
     def histories(self) -> np.ndarray:
         """For each position the n-gram of the last level that stands before it, or -1."""
@@ -151,19 +151,14 @@ class Block:
         return np.bincount(level.at[use], minlength=len(level.hashes))
 
 
-def packed(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences, of as many bytes as the largest needs; the first byte tells how many."""
-    steps = np.diff(sorted_hashes, prepend=U64(0)) if len(sorted_hashes) else sorted_hashes
-    first, steps = steps[:1], steps[1:]
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return bytes([width]) + first.astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def packed(hashes: np.ndarray) -> bytes:
+    """Hashes as differences, byte by byte and compressed: of sorted ones the first bytes take next to nothing."""
+    return deflated(np.diff(hashes, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, "<u8", 1, 1) if len(data) > 1 else np.zeros(0, U64)
-    steps = np.zeros(((len(data) - 9) // width if len(data) > 9 else 0, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=min(9, len(data))).reshape(-1, width)
-    return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=U64)
+    planes_ = np.frombuffer(inflated(data), np.uint8).reshape(8, -1)
+    return np.cumsum(planes_.T.copy().view("<u8").ravel(), dtype=U64)
 
 
 def by_bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -243,7 +238,7 @@ def token_blocks(df: DataFrame, block_tokens: int) -> DataFrame:
         for block, texts, table_ in runs_of(batches, columns, block_tokens):
             release_memory()
             b = Block.of(texts)
-            parts = [pa.array([b.sizes], pa.list_(pa.int64())), pa.array([planes(b.tokens, 3)], pa.binary()), pa.array([b.hashes.tobytes()], pa.binary())]
+            parts = [pa.array([b.sizes], pa.list_(pa.int64())), pa.array([planes(b.tokens, 3)], pa.binary()), pa.array([packed(b.hashes)], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(one_row(table_, c) for c in columns), *parts], ["block", *columns, "sizes", "tokens", "hashes"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
