@@ -125,7 +125,7 @@ def contained(documents: DataFrame, benchmark: DataFrame, least: float = 0.5, ru
     return matched.where((F.col("n_matched") >= least * F.col("n_words")) | (F.col("n_matched") >= run)).select(ROW, "doc_id", "item_id", "n_words", "n_matched")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5, short: int = 5) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.5, short: int = 4) -> DataFrame:
     """The rows of documents that contain no item of the benchmark.
 
     An item of fewer than ``short`` words is in very many texts that have nothing to do with it, so it only takes documents whose words are its words."""

@@ -195,7 +195,7 @@ class Packing:
         return sum(n for n, _ in self.patterns)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 2000) -> Packing:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int | None = 5000) -> Packing:
     """A packing of counts = {length: pieces} by branch and bound; nodes: how many steps the search may take (fillings that it looks at, and branches with one sequence fewer), None for all.
 
     A branch is a filling and how many sequences have it. Sequences around the same largest length take their fillings in the
@@ -316,7 +316,7 @@ def tokenised_pieces(documents: DataFrame, path: str, capacity: int, end: int) -
     return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = 4096, end: int = 1, nodes: int | None = 2000) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, capacity: int = 4096, end: int = 1, nodes: int | None = 5000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the pieces of documents(doc_id, text) and their places."""
     spark = documents.sparkSession
     made = stored(tokenised_pieces(documents, path or tokenizer_path(), capacity, end), "pieces")
