@@ -144,3 +144,14 @@ def test_run_on_odd_tables(spark, tmp_path):
             assert rows.first().doc_id not in ids
         starts = [(r.doc_id, r.piece) for r in got]
         assert len(starts) == len(set(starts))  # repeated rows are near-duplicates of one another
+
+
+def test_stages_begin_with_released_heaps(spark, monkeypatch):
+    for name in ("identified", "deduplicated", "decontaminated", "pack"):
+        monkeypatch.setattr(corpus_pipeline, name, lambda docs, *_: docs)
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName()]
+    docs = spark.range(1)
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in beans)
+        assert stage(spark, docs, DATA) is docs
+        assert sum(b.getCollectionCount() for b in beans) > before, name
