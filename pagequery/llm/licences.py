@@ -188,8 +188,22 @@ def part_of_a_template(gram_array: Column) -> Column:
     return (F.size(pairs) >= 2) & F.array_max(F.array(*within))
 
 
+def alternatives(words: list[str]) -> str:
+    """A regular expression of these words by common beginnings, so that each letter of a text is looked at once."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(w[1:])
+    last = "" in tails
+    ways = [re.escape(c) + alternatives(t) for c, t in sorted(tails.items()) if c]
+    return f"(?:{'|'.join(ways)}){'?' * last}" if ways else ""
+
+
 def has_word(text: Column, anchors: list[str]) -> Column:
-    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), strings(anchors))
+    """Whether a word of the text is one of these: a run of letters and digits, as words_of cuts them, found without cutting the others."""
+    if not anchors:
+        return F.lit(False)
+    # no look-behind, which does not see letters beyond U+FFFF
+    return F.lower(text).rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){alternatives(anchors)}(?![\p{{L}}\p{{N}}])")
 
 
 def lines_of(documents: DataFrame, anchors: list[str]) -> DataFrame:
@@ -228,7 +242,7 @@ def train(documents: DataFrame, sample_rows: int = 2000, sample_documents: int =
     if total > sample_documents:
         documents = documents.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < scale * sample_documents // total)
     vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
-    shown = once(lines_of(documents, template_words()), "all", grams_of(words_of(F.col("text"))))
+    shown = once(once(lines_of(documents, template_words()), "words", words_of(F.col("text"))), "all", grams_of(F.col("words")))
     shown = once(shown, "g", F.array_sort(F.array_intersect("all", strings(vocabulary))))
     shown = shown.select("g", (F.size("g") == F.size("all")).alias("whole")).distinct().where(like_a_template(F.col("g"), list(TEMPLATES)) < 0.5)
     shown = shown.where(~(F.col("whole") & part_of_a_template(F.col("g")))).select("g").distinct()
@@ -241,7 +255,7 @@ def scan(documents: DataFrame, sample_rows: int = 2000, similar: float = 0.6, mo
     model = model or train(documents, sample_rows, sample_documents)
     kept = np.nonzero(np.abs(model.weights).max(1) > 0)[0]
     vocabulary = strings(model.vocabulary[i] for i in kept)
-    df = once(paragraphs(documents, model.anchors()), "g", grams_of(words_of(F.col("text"))))
+    df = once(once(paragraphs(documents, model.anchors()), "words", words_of(F.col("text"))), "g", grams_of(F.col("words")))
     df = once(df, "at", F.transform(F.array_intersect("g", vocabulary), lambda g: F.array_position(vocabulary, g).cast("int")))
 
     def logit(k: int) -> Column:
