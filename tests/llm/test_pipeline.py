@@ -78,6 +78,43 @@ def test_near_copies_that_are_not_exact_go(spark, monkeypatch):
         assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, DATA).collect()} == want
 
 
+def test_pairs_of_a_group_of_near_copies_are_few(spark, monkeypatch):
+    """A group of many parts, some of whose pairs are similar and some are not: no more than a few of each node are named."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(320):
+        copy = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, int(rng.integers(2, 4)), replace=False):
+            copy[at] = f"c{k % 40}"
+        rows.append((k, " ".join(copy)))
+    want = {i for i, r in jaccard_groups(rows).items() if i == r}
+    monkeypatch.setattr(shingles, "FEW", 4)
+    monkeypatch.setattr(shingles, "TILE", 16)
+    named, verified = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *more: (named.append(pairs.count()), verified(pairs, *more))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, DATA).collect()} == want
+    assert sum(named) < 8 * len(rows), named
+
+
+def test_forests_connect_what_pairs_connect():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        a, b = np.nonzero(np.triu(rng.random((n, n)) < 0.2, 1))
+        far = rng.integers(0, 9, len(a))
+
+        def parts(kept):
+            root = list(range(n))
+            for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True):
+                root = [root[y] if r == root[x] else r for r in root]
+            return len(set(root))
+
+        one = shingles.forests(a, b, far, 1)
+        assert len(set(one.tolist())) == len(one) == n - parts(np.arange(len(a))) and parts(one) == parts(np.arange(len(a)))
+        assert sorted(shingles.forests(a, b, far, 999).tolist()) == list(range(len(a)))
+
+
 def test_pivots_bound_what_differs():
     rng = np.random.default_rng(4)
     for _ in range(50):
