@@ -33,12 +33,15 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), *(F.bit_xor(F.xxhash64(F.lit(seed), "a", "b")) for seed in (1, 2))).first())
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """node, root (the least node of its component) of all nodes of links(a, b); nodes are of any ordered type, a link joins both ways."""
-    now = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+def components(links: DataFrame, most: int = 60, files: int | None = None) -> DataFrame:
+    """node, root (the least node of its component) of all nodes of links(a, b); nodes are of any ordered type, a link joins both ways.
+
+    files: in how many files at most a step is stored; each costs an executor of a local file system processes of its own (chmod)."""
+    kept = lambda df: stored(df.coalesce(files) if files else df, "links")
+    now = kept(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     for _ in range(most):
-        before, now = now, stored(_star(_star(now, True), False), "links")
+        before, now = now, kept(_star(_star(now, True), False))
         discard(before)
         last, mark = mark, _mark(now)
         if mark == last:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagequery.llm import shingles, token_count
+from pagequery.llm import components, shingles, token_count
 
 DATA = "/root/testdata/sf0.001"
 
@@ -192,3 +192,25 @@ def test_stages_begin_with_released_heaps(spark, monkeypatch):
         before = sum(b.getCollectionCount() for b in beans)
         assert stage(spark, docs, DATA) is docs
         assert sum(b.getCollectionCount() for b in beans) > before, name
+
+
+def test_components_are_stored_in_few_files(spark, monkeypatch):
+    """Each file that is written on a local file system starts processes beside the executor: their number does not follow the partitions of the shuffles."""
+    seen, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label: (out := keep(df, label), seen.append(len(out.inputFiles())))[0])
+    monkeypatch.setattr(shingles, "FILES", 1)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = []
+    for k in range(40):
+        text = [f"w{k}_{i}" for i in range(100)]
+        rows += [(3 * k + i, " ".join([*text, *["c"] * i])) for i in range(3)]
+    want = {i for i, r in jaccard_groups(rows).items() if i == r}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id for r in shingles.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and len(want) == 40
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
